@@ -85,7 +85,7 @@ def counterfactuals(words: set[str]) -> list[tuple[set[int], set[int]]]:
     return out
 
 
-def fit(rows: list[tuple[int, np.ndarray]], swaps: list[tuple[list[int], list[int]]], l1: float = 3e-4, penalty: float = 5.0, steps: int = 400, least_documents: int = 3, least_z: float = 2.0, max_features: int = 20_000) -> Model:
+def fit(rows: list[tuple[int, np.ndarray]], swaps: list[tuple[list[int], list[int]]], l1: float = 3e-5, penalty: float = 5.0, steps: int = 600, least_documents: int = 3, least_z: float = 3.0, max_features: int = 20_000) -> Model:
     """rows: (label, distinct features); swaps: (features lost, features gained) of counterfactual sentences."""
     n = len(rows)
     y = np.array([r[0] for r in rows], np.float64)
@@ -149,7 +149,7 @@ def fit(rows: list[tuple[int, np.ndarray]], swaps: list[tuple[list[int], list[in
     return Model(float(b), {int(names[used[k]]): float(w[k]) for k in on})
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 5000, **how) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 6000, **how) -> Model:
     """A model from at most max_rows labelled documents (by a hash of the id) where learn, a condition on the labels' id, holds.
 
     Features are made on the executors; the driver gets numbers only."""
