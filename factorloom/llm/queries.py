@@ -10,15 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import registered
 
-
-def _modules():
-    for m in pkgutil.iter_modules(registered.__path__):
-        yield importlib.import_module(f"{registered.__name__}.{m.name}")
+MODULES = [importlib.import_module(f"{registered.__name__}.{m.name}") for m in pkgutil.iter_modules(registered.__path__)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {m.NAME: m.query for m in _modules()}
+    return {m.NAME: m.query for m in MODULES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {m.NAME: m.SQL for m in _modules() if getattr(m, "SQL", None)}
+    return {m.NAME: m.SQL for m in MODULES if getattr(m, "SQL", None)}
