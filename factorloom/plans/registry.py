@@ -526,3 +526,16 @@ def generate_nmtf_toy(spark, sf_dir):
 @query()
 def missing_fraction_sweep(spark, sf_dir):
     return missing_sweep(spark, Setup("icm", Priors(rows=1.0, columns=1.0), "random", iterations=20, seed=SEED), 3, None, [0.1, 0.5], 2, 40, 30)
+
+
+@query()
+def kernelized_cross_validation(spark, sf_dir):
+    """Latent sizes compared by folds, with correlations of the filled matrix as kernels of either side."""
+    from ..operators.kernelized import KernelSetup, cross_validate
+
+    c = _small(spark, sf_dir)
+    filled = np.full((c.n_rows, c.n_columns), c.r.mean())
+    filled[c.i, c.j] = c.r
+    kernels = [[np.exp(-((m[:, None] - m[None]) ** 2).mean(2) / 50)] for m in (filled, filled.T)]
+    found, _ = cross_validate(spark, *kernels, c, KernelSetup(iterations=5), [1, 2], 2)
+    return spark.createDataFrame([(k, v["MSE"], v["R^2"], v["Rp"]) for k, v in found.items()], "params string, mse double, r2 double, rp double")
