@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Keep Arrow batches small: texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -27,7 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: lineage is cut, and a lost executor costs no recomputation."""
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # The written files replace the shuffle files behind them; without this those stay until the driver happens to
+    # collect its garbage, and long operators pile them up.
+    old = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, old)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
@@ -56,6 +66,17 @@ def with_text(df: DataFrame, text_col: str = "text") -> Column:
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
 
 
+def sample_by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most so many rows, those whose keys hash lowest, in that order.
+
+    Rows beyond a cut of twice the share wanted are left out where they stand, so that what tasks send for the last
+    choice is bounded in all, not for each task."""
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    n = rows.select(key).count()
+    cut = min(1 << 40, (1 << 40) * 2 * most // max(n, 1) + 1)
+    return rows.where(h < cut).orderBy(h, *rows.columns).limit(most)
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Connected components of edges(u, v) of any one orderable type: node, root (the smallest node reachable).
 
@@ -64,12 +85,11 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """
     kind = edges.schema[0].dataType
     now = materialize(spark, edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
     while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or mark[0] == 0:
+        # Done when each node points to one other, and none points to a node that points on.
+        n, nodes = now.agg(F.count("*"), F.countDistinct("u")).first()
+        if n == nodes and now.join(now.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             break
-        seen = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

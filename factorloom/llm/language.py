@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, fresh
+from .common import arrow_limits, fresh, sample_by_hash
 
 #: Bytes of a stretch, words kept in a task's table.
 SPAN, TABLE_WORDS = 24, 300_000
@@ -167,7 +167,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     n = F.char_length(text_col)
     start = F.pmod(F.xxhash64(id_col), F.greatest(n - max_chars, F.lit(1))).cast("int") + 1
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), start, F.lit(max_chars)).alias("text"), F.xxhash64(id_col).alias("h")).orderBy("h", "lang", "text").limit(max_documents)
+    rows = sample_by_hash(rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.substring(F.col(text_col), start, F.lit(max_chars)).alias("text")), "id", max_documents)
     examples = [(r.lang, words) for r in rows.collect() if LETTER.search(r.text) and (words := stretches(r.text))]
     if not examples:
         return None

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, fresh
+from .common import arrow_limits, fresh, sample_by_hash
 
 WORD = re.compile(r"\w+")
 #: Lengths of word beginnings that are features; words in a task's table.
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     spark = docs.sparkSession
     arrow_limits(spark)
     chosen = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("label"))
-    chosen = chosen.select(F.col(id_col).alias("id"), "label").orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    chosen = sample_by_hash(chosen.select(F.col(id_col).alias("id"), "label"), "id", max_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text")
 
     def run(batches):
