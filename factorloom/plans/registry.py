@@ -339,7 +339,7 @@ def vb_exp_square_diff(spark, sf_dir):
 
 
 # erfc by the Maclaurin series of erf; |x| stays below 3.
-_ERF = "2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), n -> CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END * exp((2 * n + 1) * ln(abs(z) + 1e-300) - lgamma(n + 1)) / (2 * n + 1))) * sign(z)"
+_ERF = "2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda n: CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END * exp((2 * n + 1) * ln(abs(z) + 1e-300) - lgamma(n + 1)) / (2 * n + 1))) * sign(z)"
 
 
 @query(f"""WITH g AS (SELECT id, CAST(id % 13 - 4 AS DOUBLE) / 4 AS mu, CAST(1 + id % 5 AS DOUBLE) / 2 AS tau FROM range(0, 65) t(id)), x AS (SELECT *, 1 / sqrt(tau) AS s, -mu * sqrt(tau) AS x, -mu * sqrt(tau) / sqrt(2) AS z FROM g),
