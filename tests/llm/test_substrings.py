@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from factorloom.llm import substrings as s
 from factorloom.llm.decontaminate import words_of
 
@@ -45,7 +47,9 @@ def test_finds_planted_repeats_and_leaves_the_rest(spark):
     assert s.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_links_are_those_of_exact_jaccard(spark, monkeypatch):
+@pytest.mark.parametrize("rest", [0, 10**6])
+def test_links_are_those_of_exact_jaccard(spark, monkeypatch, rest):
+    monkeypatch.setattr(s, "REST", rest)
     # Single paragraphs that differ by some words: all pairs of one band value must be judged, not only those with its first.
     rng = random.Random(4)
     base = sentence(s.SIZE, rng).split()
@@ -76,5 +80,14 @@ def test_links_are_those_of_exact_jaccard(spark, monkeypatch):
 
 
 def test_bands_and_spans():
-    assert s.bands_for(0.8, 0.99) == 3
+    assert s.bands_for(0.8, 0.98) == 4
     assert s.merged([5, 0, 40]) == [(0, 31), (40, 66)]
+
+
+def test_word_hashes_follow_the_words():
+    texts = [b"One two, one", None, b"", b"two " * 5, "é x y é".encode(), b"-"]
+    h, n = s.word_hashes(texts)
+    words = [w for t in texts for w in words_of(t)]
+    assert n.tolist() == [len(words_of(t)) for t in texts] and len(h) == len(words)
+    assert len(set(h.tolist())) == len(set(words)) and len(set(zip(h.tolist(), words))) == len(set(words))
+    assert s.word_hashes([])[0].size == 0
