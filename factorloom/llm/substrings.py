@@ -4,11 +4,10 @@ A paragraph is a stretch of SIZE words that begins at a word chosen by content:
 starts, the one whose five-word shingle hashes lowest; a document's first and last SIZE words are paragraphs too,
 so that copies match to their ends. Equal passages of SIZE + SPREAD - 1 words or more, wherever
 they stand in their documents and lines, hence have a paragraph in common. The paragraph's MinHash values, two
-to a band, are joined with the first paragraph of the same value (values are aggregated with map-side combine and
-joined, so that a hot one is split); exact Jaccard of five-word shingles decides. Those of a value that are not
-like its first are dealt by a further MinHash and compared among themselves, round by round, until none are left:
-buckets that share a common phrase only fall apart within a few rounds. Links form components; a
-component's paragraphs stay in the document of its smallest (doc_id, word) and go from all others.
+to a band, bring it to buckets. Equal paragraphs are one content; all contents of a bucket are compared with
+all by exact Jaccard of five-word shingles, a large bucket in pairs of blocks, so that its size decides only where
+they are compared. Links form components; a component's paragraphs stay in the document of its smallest
+(doc_id, word) and go from all others.
 
 Words are runs of letters and digits (A-Z lower-cased), so punctuation and case do not matter.
 
@@ -39,11 +38,11 @@ MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB
 PLACES = np.array([int(MIX[1]) * (2 * k + 1) % 2**64 for k in range(SIZE - SHINGLE + 1)], np.uint64)
 BASE = np.uint64(0x100000001B3)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
-#: MinHash values in a band; rows (of all buckets together) that are compared bucket by bucket in one pass.
+#: MinHash values in a band; members of a bucket beyond which it is compared in pairs of blocks.
 ROWS, REST = 2, 20_000
 
 
-def bands_for(likeness: float = LIKENESS, recall: float = 0.98) -> int:
+def bands_for(likeness: float = LIKENESS, recall: float = 0.99) -> int:
     """So many bands of ROWS MinHash values each find a pair of the given likeness with the given probability."""
     return math.ceil(math.log(1 - recall) / math.log(1 - likeness**ROWS))
 
@@ -101,7 +100,7 @@ class Paragraphs:
         ends = np.cumsum(sizes)
         begins, total = ends - sizes, int(sizes.sum())
         long = np.flatnonzero(sizes >= SIZE)
-        self.doc = self.start = np.zeros(0, np.int64)
+        self.doc = self.start = self.size = np.zeros(0, np.int64)
         self.whole, self.shingles = np.zeros(0, np.uint64), np.zeros((0, SIZE - SHINGLE + 1), np.uint64)
         if not len(long):
             return
@@ -129,6 +128,7 @@ class Paragraphs:
             keep.sort()
             at, doc, shingles, whole = at[keep], doc[keep], shingles[keep], whole[keep]
         self.doc, self.start, self.whole, self.shingles = doc, at - begins[doc], whole, shingles
+        self.size = np.full(len(at), SIZE)
 
     def values(self, bands: int) -> np.ndarray:
         """The value of each band (paragraphs x bands)."""
@@ -144,167 +144,162 @@ class Paragraphs:
 
 
 def banded(docs: DataFrame, bands: int) -> DataFrame:
-    """Of id, text: a row (id, pos, band) for each document, with the first word of each paragraph and its values, band by band."""
+    """Of id, text: a row (id, pos, size, band) for each document, with the first word and the words of each paragraph, and its values, band by band."""
 
     def run(batches):
         for b in batches:
             p = Paragraphs(b.column(1).cast(pa.binary()).to_pylist())
             counts = np.bincount(p.doc, minlength=b.num_rows)
             lists = []
-            for x, times in ((p.start.astype(np.int32), 1), (p.values(bands).ravel(), bands)):
+            for x, times in ((p.start.astype(np.int32), 1), (p.size.astype(np.int32), 1), (p.values(bands).ravel(), bands)):
                 lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts * times))).astype(np.int32)), pa.array(x)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["id", "pos", "band"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["id", "pos", "size", "band"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, pos array<int>, band array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, pos array<int>, size array<int>, band array<bigint>")
 
 
 def dealt(rows: DataFrame, bands: int) -> DataFrame:
-    """A row (band, id, pos) for each band of each paragraph."""
-    return rows.select("id", "pos", F.posexplode("band").alias("k", "band")).select("band", "id", F.get("pos", F.expr(f"k div {bands}")).alias("pos"))
+    """A row (band, id, pos, size) for each band of each paragraph."""
+    at = F.expr(f"k div {bands}")
+    return rows.select("id", "pos", "size", F.posexplode("band").alias("k", "band")).select("band", "id", F.get("pos", at).alias("pos"), F.get("size", at).alias("size"))
 
 
 def spelled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words of the wanted paragraphs (id, pos): id, own (a hash of the row's text), pos, words."""
+    """The words of the wanted paragraphs (id, pos, size): id, own (a hash of the row's text), pos, size, words."""
     kind = docs.schema["id"].dataType.simpleString()
-    lists = wanted.groupBy("id").agg(F.collect_set("pos").alias("pos"))
-    rows = docs.join(lists, "id").select("id", F.xxhash64("text").alias("own"), "text", "pos")
+    lists = wanted.groupBy("id").agg(F.collect_set(F.struct("pos", "size")).alias("at"))
+    rows = docs.join(lists, "id").select("id", F.xxhash64("text").alias("own"), "text", "at.pos", "at.size")
 
     def run(batches):
         for b in batches:
-            ids, own, pos, words = [], [], [], []
+            ids, own, pos, size, words = [], [], [], [], []
             keys, hashes = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for k, (text, places) in enumerate(zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist())):
+            for k, (text, places, sizes) in enumerate(zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())):
                 w = words_of(text)
-                for p in sorted(places):
-                    if p + SIZE <= len(w):
+                for p, n in sorted(zip(places, sizes)):
+                    if p + n <= len(w):
                         ids.append(keys[k])
                         own.append(hashes[k])
                         pos.append(p)
-                        words.append(b" ".join(w[p : p + SIZE]).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(own, pa.int64()), pa.array(pos, pa.int32()), pa.array(words, pa.string())], ["id", "own", "pos", "words"])
+                        size.append(n)
+                        words.append(b" ".join(w[p : p + n]).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(own, pa.int64()), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(words, pa.string())], ["id", "own", "pos", "size", "words"])
 
-    return rows.mapInArrow(run, f"id {kind}, own bigint, pos int, words string")
+    return rows.mapInArrow(run, f"id {kind}, own bigint, pos int, size int, words string")
 
 
-def refined(left: DataFrame, turn: int) -> DataFrame:
-    """Rows (id, pos, band, words) with the band mixed with a further MinHash of their paragraphs."""
-    seed = np.uint64(int(MIX[0]) * (1000 + turn) % 2**64)
-
-    def run(batches):
-        for b in batches:
-            bands = b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            h = word_hashes(b.column(3).cast(pa.binary()).to_pylist())[0].reshape(-1, SIZE)
-            least = mix(np.stack([shingle_hashes(x) for x in h]) ^ seed).min(1) if len(h) else bands[:0]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(mix(bands ^ mix(least)).view(np.int64)), b.column(3)], ["id", "pos", "band", "words"])
-
-    rows = left.select("id", "pos", "band", "words")
-    return rows.mapInArrow(run, f"id {left.schema['id'].dataType.simpleString()}, pos int, band bigint, words string").distinct()
-
-
-def compared(met: DataFrame, likeness: float) -> DataFrame:
-    """Rows (id, pos, band, words, rid, rpos, rwords), without the last, and whether both paragraphs are alike enough."""
-
-    def run(batches):
-        for b in batches:
-            ok = [i != r and jaccard(x, y) >= likeness for i, r, x, y in zip(*(b.column(k).to_pylist() for k in (0, 4, 3, 6)))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(ok, pa.bool_())], ["id", "pos", "band", "words", "rid", "rpos", "ok"])
-
-    kind = met.schema["id"].dataType.simpleString()
-    return met.mapInArrow(run, f"id {kind}, pos int, band bigint, words string, rid {kind}, rpos int, ok boolean")
-
-
-def finished(left: DataFrame, likeness: float) -> DataFrame:
-    """The links (u, v) of at most REST rows: in each bucket the first is compared with the others, and those that are
-    not like it among themselves, until none are left."""
-    kind, id_type = left.schema["id"].dataType.simpleString(), to_arrow_type(left.schema["id"].dataType)
-
-    def run(batches):
-        buckets: dict[int, set] = {}
-        for b in batches:  # at most REST rows in all
-            for band, *row in zip(*(c.to_pylist() for c in b.columns)):
-                buckets.setdefault(band, set()).add(tuple(row))
-        out = []
-        for rows in map(sorted, buckets.values()):
-            while rows:
-                (rid, rpos, first), rest = rows[0], []
-                for r in rows[1:]:
-                    if r[0] != rid and jaccard(r[2], first) >= likeness:
-                        out.append((*r[:2], rid, rpos))
-                    else:
-                        rest.append(r)
-                rows = rest
-        ids, pos, rids, rpos = zip(*out) if out else ([],) * 4
-        yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(pos, pa.int32()), pa.array(rids, id_type), pa.array(rpos, pa.int32())], ["id", "pos", "rid", "rpos"])
-
-    rows = left.select("band", "id", "pos", "words").repartition("band").mapInArrow(run, f"id {kind}, pos int, rid {kind}, rpos int")
-    return rows.select(F.struct("id", "pos").alias("u"), F.struct(F.col("rid").alias("id"), F.col("rpos").alias("pos")).alias("v"))
+def shingles_of(words: str) -> set:
+    w = words.split(" ")
+    return {tuple(w[k : k + SHINGLE]) for k in range(max(1, len(w) - SHINGLE + 1))}
 
 
 def jaccard(a: str, b: str) -> float:
     if a == b:
         return 1.0
-    x, y = a.split(" "), b.split(" ")
-    sx, sy = ({tuple(w[k : k + SHINGLE]) for k in range(len(w) - SHINGLE + 1)} for w in (x, y))
+    sx, sy = shingles_of(a), shingles_of(b)
     return len(sx & sy) / len(sx | sy)
 
 
-def judged(pairs: DataFrame, texts: DataFrame, likeness: float) -> DataFrame:
-    """Pairs (id, pos, rid, rpos) with whether any rows' paragraphs of these names are alike enough."""
-    member = texts.select("id", "pos", "words")
-    first = texts.select(F.col("id").alias("rid"), F.col("pos").alias("rpos"), F.col("words").alias("rwords"))
-    rows = pairs.join(member, ["id", "pos"]).join(first, ["rid", "rpos"]).select("id", "pos", "rid", "rpos", "words", "rwords")
+def alike(words: list[str], likeness: float, apart) -> list[tuple[int, int]]:
+    """Pairs of these different paragraphs whose Jaccard reaches the likeness, as many as join all that such pairs join;
+    pairs for which apart(i, j) holds are left out.
+
+    Sets of that likeness share one of each one's n - ceil(likeness n) + 1 rarest shingles, so that a phrase common to
+    the bucket brings no pair together and none is lost."""
+    number: dict[tuple, int] = {}
+    sets = [{number.setdefault(x, len(number)) for x in shingles_of(w)} for w in words]
+    times = np.bincount(np.fromiter((x for s in sets for x in s), np.int64))
+    shingle, owner = [], []
+    for k, s in enumerate(sets):
+        least = math.ceil(likeness * len(s) - 1e-9)
+        rare = sorted(s, key=lambda x: (times[x], x))[: len(s) - max(least, 1) + 1]
+        shingle += rare
+        owner += [k] * len(rare)
+    shingle, owner = np.array(shingle), np.array(owner)
+    order = np.lexsort((owner, shingle))
+    shingle, owner = shingle[order], owner[order]
+    begin = np.searchsorted(shingle, shingle)
+    at = np.argsort(owner, kind="stable")
+    cuts = np.searchsorted(owner[at], np.arange(len(words) + 1))
+    label, out = np.arange(len(words)), []
+    for k in range(len(words)):
+        near = [owner[begin[x] : x] for x in at[cuts[k] : cuts[k + 1]]]
+        near = np.unique(np.concatenate(near))
+        near = near[label[near] != label[k]]
+        for j in near.tolist():
+            if label[j] == label[k] or apart(j, k):
+                continue
+            both = len(sets[j] & sets[k])
+            if both >= likeness * (len(sets[j]) + len(sets[k]) - both):
+                out.append((j, k))
+                label[label == label[k]] = label[j]
+    return out
+
+
+def linked(buckets: DataFrame, likeness: float) -> DataFrame:
+    """The links (u, v) of the contents (band, r, words, lo, hi) of each bucket: all are compared with all.
+
+    Two contents that lie in one and the same document only (lo and hi, their least and greatest id) are not linked. A
+    bucket of more than REST contents is dealt in blocks, and each pair of blocks is compared."""
+    r = to_arrow_type(buckets.schema["r"].dataType)
+    sizes = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    rows = buckets.join(sizes, "band").withColumn("of", F.ceil(F.col("n") / max(REST, 1)).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("words"), F.col("of")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    rows = rows.select("band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "r", "words", "lo", "hi")
+    rows = rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
 
     def run(batches):
-        for b in batches:
-            ok = [jaccard(x, y) >= likeness for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(ok, pa.bool_())], ["id", "pos", "rid", "rpos", "ok"])
+        def judge(bucket):
+            names, words, lo, hi = zip(*bucket)
+            pairs = alike(words, likeness, lambda i, j: lo[i] == hi[i] == lo[j] == hi[j])
+            return [(names[i], names[j]) for i, j in pairs]
 
-    kind = pairs.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, pos int, rid {kind}, rpos int, ok boolean")
-    return out.groupBy("id", "pos", "rid", "rpos").agg(F.max("ok").alias("ok"))
+        def made(out):
+            u, v = zip(*out) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, r), pa.array(v, r)], ["u", "v"])
 
+        key, bucket = None, []
+        for b in batches:
+            out = []
+            for band, x, y, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if key != (band, x, y):
+                    out += judge(bucket) if len(bucket) > 1 else []
+                    key, bucket = (band, x, y), []
+                bucket.append(row)
+            yield made(out)
+        yield made(judge(bucket) if len(bucket) > 1 else [])
 
-def _links(said: DataFrame) -> DataFrame:
-    return said.where("ok").select(F.struct("id", "pos").alias("u"), F.struct(F.col("rid").alias("id"), F.col("rpos").alias("pos")).alias("v"))
+    kind = buckets.schema["r"].dataType.simpleString()
+    return rows.mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, recall: float = 0.98) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, recall: float = 0.99) -> DataFrame:
     """A row for each paragraph that has its like in another document: id, own (hash of the row's text), pos (first
-    word), root_id, root_pos (the component's smallest), removed (whether it stands in another document than that)."""
+    word), size (words), root_id, root_pos, root_size, root_own (the component's smallest), removed (whether it stands
+    in another document than that)."""
     spark = docs.sparkSession
     arrow_limits(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     bands = bands_for(likeness, recall)
     made = materialize(spark, banded(rows, bands))
     left = dealt(made, bands)
-    first = left.groupBy("band").agg(F.min(F.struct("id", "pos")).alias("r"), F.max("id").alias("top")).where("r.id < top")
-    first = materialize(spark, first)  # of its own, so that its shuffle is gone before the join's begins
-    met = materialize(spark, left.join(first, "band").select("band", "id", "pos", F.col("r.id").alias("rid"), F.col("r.pos").alias("rpos")))
-    forget(spark, made, first)
-    texts = materialize(spark, spelled(rows, met.select("id", "pos").distinct()))
-    said = materialize(spark, judged(met.where("id <> rid").select("id", "pos", "rid", "rpos").distinct(), texts, likeness))
-    links = [_links(said)]
-    apart = met.where("id <> rid").join(said.where("not ok"), ["id", "pos", "rid", "rpos"], "left_semi").select("id", "pos", "band")
-    apart = apart.union(met.where("id = rid and pos <> rpos").select("id", "pos", "band"))
-    left = materialize(spark, refined(apart.join(texts.select("id", "pos", "words"), ["id", "pos"]), 0))
+    shared = left.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
+    shared = materialize(spark, shared)  # of its own, so that its shuffle is gone before the join's begins
+    met = materialize(spark, left.join(shared, "band").select("band", "id", "pos", "size").distinct())
+    forget(spark, made, shared)
+    texts = materialize(spark, spelled(rows, met.select("id", "pos", "size").distinct()))
+    # Equal paragraphs are one content, named by its smallest; only contents are compared.
+    contents = texts.groupBy("words").agg(F.min(F.struct("id", "pos", "size", "own")).alias("r"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    contents = materialize(spark, contents)
+    named = contents.select(F.col("r.id").alias("id"), F.col("r.pos").alias("pos"), F.col("r.size").alias("size"), "r", "words", "lo", "hi")
+    buckets = materialize(spark, met.join(named, ["id", "pos", "size"]).select("band", "r", "words", "lo", "hi"))
     forget(spark, met)
-    # From here on rows carry their words, and a round is one join with the firsts of its buckets.
-    while left.count() > REST:
-        first = left.groupBy("band").agg(F.min(F.struct("id", "pos", "words")).alias("r"), F.max("id").alias("top")).where("r.id < top")
-        met = left.join(first, "band").select("id", "pos", "band", "words", F.col("r.id").alias("rid"), F.col("r.pos").alias("rpos"), F.col("r.words").alias("rwords"))
-        met = materialize(spark, compared(met, likeness))
-        links.append(_links(met))
-        more = materialize(spark, refined(met.where("not ok and not (id = rid and pos = rpos)"), len(links)))
-        forget(spark, left)
-        left = more
-    links.append(finished(left, likeness))
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.union(more)
-    roots = components(spark, edges).select("node.id", "node.pos", F.col("root.id").alias("root_id"), F.col("root.pos").alias("root_pos"))
-    own = texts.select("id", "own", "pos").distinct()
-    return own.join(roots, ["id", "pos"]).select("id", "own", "pos", "root_id", "root_pos", (F.col("id") != F.col("root_id")).alias("removed"))
+    roots = components(spark, linked(buckets, likeness))
+    forget(spark, buckets)
+    found = contents.join(roots, F.col("r") == F.col("node"), "left").where("lo < hi or root is not null").select("words", F.coalesce("root", "r").alias("root"))
+    out = texts.distinct().join(found, "words")
+    return out.select("id", "own", "pos", "size", *(F.col(f"root.{x}").alias(f"root_{x}") for x in ("id", "pos", "size", "own")), (F.col("id") != F.col("root.id")).alias("removed"))
 
 
 def merged(starts: list[int]) -> list[tuple[int, int]]:

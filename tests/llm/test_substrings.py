@@ -91,3 +91,29 @@ def test_word_hashes_follow_the_words():
     assert n.tolist() == [len(words_of(t)) for t in texts] and len(h) == len(words)
     assert len(set(h.tolist())) == len(set(words)) and len(set(zip(h.tolist(), words))) == len(set(words))
     assert s.word_hashes([])[0].size == 0
+
+
+def chained(seed):
+    """Three paragraphs, the first like the second, the second like the third, the first not like the third."""
+    rng = random.Random(seed)
+    a = sentence(s.SIZE, rng).split()
+    b = ["p", *a[1:]]
+    b[1] = "q"
+    c = [*b[:-2], "x", "y"]
+    return [" ".join(w) for w in (a, b, c)]
+
+
+def test_all_of_a_bucket_are_compared_at_the_production_bands(spark):
+    texts = [t for k in range(200) for t in chained(k)]
+    assert s.jaccard(texts[0], texts[1]) >= 0.8 <= s.jaccard(texts[1], texts[2]) and s.jaccard(texts[0], texts[2]) < 0.8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r.id: r.root_id for r in s.repeats(df).collect()}
+    pairs = [(3 * k + x, 3 * k + x + 1) for k in range(200) for x in (0, 1)]
+    assert sum(a in root and root[a] == root.get(b) for a, b in pairs) >= 0.98 * len(pairs)
+    # One bucket that holds the chain and others that share a phrase with it: no link is lost, whatever their order.
+    rng = random.Random(1)
+    for order in range(6):
+        words = chained(3) + [" ".join(chained(3)[0].split()[:15]) + " " + sentence(11, rng) for _ in range(30)]
+        rng.shuffle(words)
+        a, b, c = (words.index(t) for t in chained(3))
+        assert {frozenset(x) for x in s.alike(words, 0.8, lambda i, j: False)} >= {frozenset((a, b)), frozenset((b, c))}
