@@ -117,3 +117,16 @@ def test_all_of_a_bucket_are_compared_at_the_production_bands(spark):
         rng.shuffle(words)
         a, b, c = (words.index(t) for t in chained(3))
         assert {frozenset(x) for x in s.alike(words, 0.8, lambda i, j: False)} >= {frozenset((a, b)), frozenset((b, c))}
+
+
+def test_the_number_of_rows_decides_nothing(spark, monkeypatch):
+    rng = random.Random(6)
+    phrase = sentence(18, rng)
+    texts = [phrase + " " + sentence(8, rng) for _ in range(120)]
+    texts += [t.rsplit(" ", 2)[0] + " m n" for t in texts[1:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = []
+    for rest in (0, 10**6):
+        monkeypatch.setattr(s, "REST", rest)
+        got.append({(r.id, r.pos, r.root_id) for r in s.repeats(df, recall=0.5).collect()})
+    assert got[0] == got[1] and got[0]
