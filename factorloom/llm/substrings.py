@@ -3,17 +3,18 @@
 A paragraph is a stretch of SIZE words that begins at a word chosen by content: of every SPREAD consecutive
 starts, the one whose five-word shingle hashes lowest; a document's first and last SIZE words are paragraphs too,
 so that copies match to their ends. Equal passages of SIZE + SPREAD - 1 words or more, wherever
-they stand in their documents and lines, hence have a paragraph in common. The paragraph's MinHash values, two
+they stand in their documents and lines, hence have a paragraph in common. With lines=True, as the query and the
+pipeline ask, each line of any length is a paragraph too, and a whole text of fewer than SIZE words. The paragraph's MinHash values, two
 to a band, bring it to buckets. Equal paragraphs are one content; all contents of a bucket are compared with
 all by exact Jaccard of five-word shingles, a large bucket in pairs of blocks, so that its size decides only where
 they are compared. Links form components; a component's paragraphs stay in the document of its smallest
-(doc_id, word) and go from all others.
+(doc_id, word) and go from all others, with the words on either side that are those beside it in the first document.
 
 Words are runs of letters and digits (A-Z lower-cased), so punctuation and case do not matter.
 
 Of equal paragraphs of one document the first is compared, and the others share its fate.
 
-Cases: a null text, or one of fewer than SIZE words, has no paragraph; rows of a null id are left alone; rows that
+Cases: a null text, or (without lines) one of fewer than SIZE words, has no paragraph; rows of a null id are left alone; rows that
 repeat an id are edited alike where their texts are equal, each by its own text otherwise; repeats inside one
 document stay. An empty table gives an empty table. Extra columns are carried through.
 """
@@ -35,7 +36,6 @@ from .decontaminate import FOLD, cut_spans, words_of
 #: Words of a paragraph, starts among which one is chosen (no more, so that no word of a repeat stays between two), words of a shingle, likeness.
 SIZE, SPREAD, SHINGLE, LIKENESS = 26, 25, 5, 0.8
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-PLACES = np.array([int(MIX[1]) * (2 * k + 1) % 2**64 for k in range(SIZE - SHINGLE + 1)], np.uint64)
 BASE = np.uint64(0x100000001B3)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 #: MinHash values in a band; members of a bucket beyond which it is compared in pairs of blocks.
@@ -54,7 +54,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """For texts one after another: the hash of each word, and the number of words of each text.
+    """For texts one after another: the hash of each word, and the number of words of each text."""
+    return words_and_lines(texts)[:2]
+
+
+def words_and_lines(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, and the first word of each line that has words.
 
     A word's hash is its polynomial in an odd base modulo 2**64, read off prefix sums, and mixed; no word is made an
     object of its own."""
@@ -70,7 +75,10 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(data * power[:-1], out=sums[1:])
     h = mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64) * MIX[0])
     ends = np.cumsum([len(t or b"") + 1 for t in texts]) if texts else np.zeros(0, np.int64)
-    return h, np.diff(np.searchsorted(start, ends), prepend=0)
+    raw = np.frombuffer(b" ".join(t or b"" for t in texts) + b" ", np.uint8)
+    breaks = np.concatenate(([0], np.flatnonzero((raw == 10) | (raw == 13)), ends))
+    lines = np.unique(np.searchsorted(start, breaks))
+    return h, np.diff(np.searchsorted(start, ends), prepend=0), lines[lines < len(h)]
 
 
 def shingle_hashes(h: np.ndarray) -> np.ndarray:
@@ -92,18 +100,51 @@ def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
 
 
 class Paragraphs:
-    """The paragraphs of a batch of texts: doc (position in the batch), start (word), the hash of
-    the whole, and the hashes of its shingles. Of equal paragraphs of one text, first_only keeps the first."""
+    """The paragraphs of a batch of texts: doc (position in the batch), start (word), size (words), the hash of
+    the whole, and the hashes of its shingles, one paragraph's after another's from first on. Of equal paragraphs of one
+    text, first_only keeps the first. lines: lines of any length are paragraphs too, and texts of fewer than SIZE words."""
 
-    def __init__(self, texts: list[bytes | None], first_only: bool = True):
-        h, sizes = word_hashes(texts)
+    def __init__(self, texts: list[bytes | None], first_only: bool = True, lines: bool = False):
+        h, sizes, line_starts = words_and_lines(texts)
         ends = np.cumsum(sizes)
         begins, total = ends - sizes, int(sizes.sum())
+        at, size = self._stretches(h, sizes, begins, ends, total)
+        if lines and total:
+            short = (sizes > 0) & (sizes < SIZE)
+            more = np.concatenate((line_starts, begins[short]))
+            long = np.concatenate((np.diff(np.append(line_starts, total)), sizes[short]))
+            both = np.unique(np.stack((np.concatenate((at, more)), np.concatenate((size, long))), 1), axis=0)
+            at, size = both[:, 0], both[:, 1]
+        doc = np.searchsorted(ends, at, side="right")
+        # A paragraph of fewer than SHINGLE words is one shingle, itself.
+        count = np.maximum(size - SHINGLE + 1, 1)
+        first = np.cumsum(count) - count
+        place = np.arange(int(count.sum())) - np.repeat(first, count)
+        s = np.concatenate((shingle_hashes(h), np.zeros(SHINGLE, np.uint64))) if total >= SHINGLE else np.zeros(total + SHINGLE, np.uint64)
+        shingles = s[np.repeat(at, count) + place]
+        for k in range(1, SHINGLE):
+            few = np.flatnonzero(size == k)
+            own = np.full(len(few), k, np.uint64)
+            for i in range(k):
+                own = own * MIX[0] + h[at[few] + i]
+            shingles[first[few]] = mix(own)
+        whole = mix(np.add.reduceat(shingles * (MIX[1] * (2 * place + 1).astype(np.uint64)), first) + size.astype(np.uint64)) if len(at) else np.zeros(0, np.uint64)
+        if first_only and len(at):
+            _, keep = np.unique(mix(whole + doc.astype(np.uint64) * MIX[0]), return_index=True)
+            keep.sort()
+            kept = np.zeros(len(at), bool)
+            kept[keep] = True
+            shingles = shingles[np.repeat(kept, count)]
+            at, doc, size, whole, count = at[keep], doc[keep], size[keep], whole[keep], count[keep]
+        self.doc, self.start, self.size, self.whole, self.shingles = doc, at - begins[doc], size, whole, shingles
+        self.first = np.cumsum(count) - count
+
+    @staticmethod
+    def _stretches(h, sizes, begins, ends, total) -> tuple[np.ndarray, np.ndarray]:
+        """First word and size of the stretches that are chosen by content."""
         long = np.flatnonzero(sizes >= SIZE)
-        self.doc = self.start = self.size = np.zeros(0, np.int64)
-        self.whole, self.shingles = np.zeros(0, np.uint64), np.zeros((0, SIZE - SHINGLE + 1), np.uint64)
         if not len(long):
-            return
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         s = shingle_hashes(h)
         # A start is valid if the paragraph ends in its text; texts stand one after another, and a stretch of starts
         # that crosses from one to the next can only add a choice.
@@ -120,15 +161,7 @@ class Paragraphs:
         chosen &= valid
         chosen[begins[long]] = chosen[ends[long] - SIZE] = True
         at = np.flatnonzero(chosen)
-        doc = np.searchsorted(ends, at, side="right")
-        shingles = s[at[:, None] + np.arange(SIZE - SHINGLE + 1)]
-        whole = mix((shingles * PLACES).sum(1, dtype=np.uint64))
-        if first_only:
-            _, keep = np.unique(mix(whole + doc.astype(np.uint64) * MIX[0]), return_index=True)
-            keep.sort()
-            at, doc, shingles, whole = at[keep], doc[keep], shingles[keep], whole[keep]
-        self.doc, self.start, self.whole, self.shingles = doc, at - begins[doc], whole, shingles
-        self.size = np.full(len(at), SIZE)
+        return at, np.full(len(at), SIZE)
 
     def values(self, bands: int) -> np.ndarray:
         """The value of each band (paragraphs x bands)."""
@@ -137,18 +170,18 @@ class Paragraphs:
             value = np.full(len(self.doc), b, np.uint64)
             for r in range(b * ROWS, (b + 1) * ROWS if len(self.doc) else 0):
                 # Shingle hashes are well mixed already: an odd multiple of each, shuffled by a constant, orders them anew.
-                least = ((self.shingles ^ np.uint64(int(MIX[1]) * (r + 1) % 2**64)) * np.uint64(int(MIX[0]) * (2 * r + 1) % 2**64)).min(1)
+                least = np.minimum.reduceat((self.shingles ^ np.uint64(int(MIX[1]) * (r + 1) % 2**64)) * np.uint64(int(MIX[0]) * (2 * r + 1) % 2**64), self.first)
                 value = mix(value * MIX[2] + least)
             out.append(value)
         return np.stack(out, 1).view(np.int64)
 
 
-def banded(docs: DataFrame, bands: int) -> DataFrame:
+def banded(docs: DataFrame, bands: int, lines: bool = False) -> DataFrame:
     """Of id, text: a row (id, pos, size, band) for each document, with the first word and the words of each paragraph, and its values, band by band."""
 
     def run(batches):
         for b in batches:
-            p = Paragraphs(b.column(1).cast(pa.binary()).to_pylist())
+            p = Paragraphs(b.column(1).cast(pa.binary()).to_pylist(), lines=lines)
             counts = np.bincount(p.doc, minlength=b.num_rows)
             lists = []
             for x, times in ((p.start.astype(np.int32), 1), (p.size.astype(np.int32), 1), (p.values(bands).ravel(), bands)):
@@ -274,15 +307,15 @@ def linked(buckets: DataFrame, likeness: float) -> DataFrame:
     return rows.mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, recall: float = 0.99) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, recall: float = 0.99, lines: bool = False) -> DataFrame:
     """A row for each paragraph that has its like in another document: id, own (hash of the row's text), pos (first
     word), size (words), root_id, root_pos, root_size, root_own (the component's smallest), removed (whether it stands
-    in another document than that)."""
+    in another document than that). lines: lines of any length are paragraphs too, and texts of fewer than SIZE words."""
     spark = docs.sparkSession
     arrow_limits(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     bands = bands_for(likeness, recall)
-    made = materialize(spark, banded(rows, bands))
+    made = materialize(spark, banded(rows, bands, lines))
     left = dealt(made, bands)
     shared = left.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
     shared = materialize(spark, shared)  # of its own, so that its shuffle is gone before the join's begins
@@ -302,37 +335,77 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lik
     return out.select("id", "own", "pos", "size", *(F.col(f"root.{x}").alias(f"root_{x}") for x in ("id", "pos", "size", "own")), (F.col("id") != F.col("root.id")).alias("removed"))
 
 
-def merged(starts: list[int]) -> list[tuple[int, int]]:
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for p in sorted(starts):
+    for p, q in sorted(spans):
         if out and p <= out[-1][1]:
-            out[-1] = (out[-1][0], p + SIZE)
+            out[-1] = (out[-1][0], max(q, out[-1][1]))
         else:
-            out.append((p, p + SIZE))
+            out.append((p, q))
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, drop_empty: bool = True) -> DataFrame:
-    """docs without the repeated paragraphs of all but their first documents; all columns stay.
+def merged(starts: list[int]) -> list[tuple[int, int]]:
+    return joined([(p, p + SIZE) for p in starts])
+
+
+def extended(w: list[bytes], pos: int, size: int, root: list[bytes], root_pos: int, root_size: int) -> tuple[int, int]:
+    """The span of a paragraph."""
+    return pos, pos + size
+
+
+def repeated_spans(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, lines: bool) -> DataFrame:
+    """Of the rows of repeats(): id, own, spans (first word, word after the last) that go from these texts.
 
-    drop_empty: rows of which no word is left are dropped too."""
+    Equal paragraphs later in a text go with the first; each match is followed to both sides in the root's text."""
+    kind = found.schema["id"].dataType.simpleString()
+    at = found.where("removed").groupBy("id", "own", "root_id", "root_own").agg(F.collect_set(F.struct("pos", "size", "root_pos", "root_size")).alias("at"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("text")).where("id is not null and text is not null").dropDuplicates(["id", "own"])
+    roots = texts.select(F.col("id").alias("root_id"), F.col("own").alias("root_own"), F.col("text").alias("root_text"))
+    rows = at.join(roots, ["root_id", "root_own"]).join(texts, ["id", "own"]).select("id", "own", "text", "root_text", *(F.col(f"at.{x}") for x in ("pos", "size", "root_pos", "root_size")))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for text, root, *places in zip(*(b.column(k).to_pylist() for k in range(2, 8))):
+                text = text.encode()
+                w, r = words_of(text), words_of(root.encode())
+                p = Paragraphs([text], first_only=False, lines=lines)
+                whole = dict(zip(zip(p.start.tolist(), p.size.tolist()), p.whole.tolist()))
+                copies: dict[int, list] = {}
+                for (start, size), x in whole.items():
+                    copies.setdefault(x, []).append((start, size))
+                spans = set()
+                for start, size, root_pos, root_size in zip(*places):
+                    # A row of the same id with another text may have asked for a stretch that is not chosen in this one.
+                    for q, n in copies.get(whole.get((start, size)), [(start, size)]):
+                        spans.add(extended(w, q, n, r, root_pos, root_size))
+                spans = joined(list(spans))
+                out.append([x for span in spans for x in span])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], ["id", "own", "spans"])
+
+    return rows.mapInArrow(run, f"id {kind}, own bigint, spans array<int>").groupBy("id", "own").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, drop_empty: bool = True, lines: bool = False) -> DataFrame:
+    """docs without the repeated passages of all but their first documents, each to its ends; all columns stay.
+
+    drop_empty: rows of which no word is left are dropped too. lines: as in repeats()."""
     spark = docs.sparkSession
-    lists = repeats(docs, id_col, text_col, likeness).where("removed").groupBy("id", "own").agg(F.collect_set("pos").alias("pos"))
-    key, own, pos = (fresh(docs, x) for x in ("key", "own", "pos"))
-    lists = materialize(spark, lists).select(F.col("id").alias(key), F.col("own").alias(own), F.col("pos").alias(pos))
-    rows = docs.join(lists, (F.col(id_col) == F.col(key)) & (F.xxhash64(text_col) == F.col(own)), "left").select(*(docs[c] for c in docs.columns), F.col(pos))
+    found = materialize(spark, repeats(docs, id_col, text_col, likeness, lines=lines).where("removed"))
+    lists = repeated_spans(docs, found, id_col, text_col, lines)
+    key, own, spans = (fresh(docs, x) for x in ("key", "own", "spans"))
+    lists = materialize(spark, lists).select(F.col("id").alias(key), F.col("own").alias(own), F.col("spans").alias(spans))
+    rows = docs.join(lists, (F.col(id_col) == F.col(key)) & (F.xxhash64(text_col) == F.col(own)), "left").select(*(docs[c] for c in docs.columns), F.col(spans))
     at, width = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):
         for b in batches:
             keep, texts = [], b.column(at).to_pylist()
-            for k, starts in enumerate(b.column(width).to_pylist()):
-                if starts:
-                    # Equal paragraphs later in the text go with the first.
-                    p = Paragraphs([texts[k].encode()], first_only=False)
-                    gone = p.whole[np.isin(p.start, starts)]
-                    texts[k] = cut_spans(texts[k], merged([*starts, *p.start[np.isin(p.whole, gone)].tolist()]))
-                keep.append(not (starts and drop_empty and not words_of(texts[k].encode())))
+            for k, ends in enumerate(b.column(width).to_pylist()):
+                if ends:
+                    texts[k] = cut_spans(texts[k], joined(list(zip(ends[::2], ends[1::2]))))
+                keep.append(not (ends and drop_empty and not words_of(texts[k].encode())))
             columns = [*b.columns[:width]]
             columns[at] = pa.array(texts, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, b.schema.names[:width]).filter(pa.array(keep, pa.bool_()))

@@ -130,3 +130,17 @@ def test_the_number_of_rows_decides_nothing(spark, monkeypatch):
         monkeypatch.setattr(s, "REST", rest)
         got.append({(r.id, r.pos, r.root_id) for r in s.repeats(df, recall=0.5).collect()})
     assert got[0] == got[1] and got[0]
+
+
+def test_lines_and_short_texts_are_paragraphs(spark):
+    rng = random.Random(8)
+    short, long, text = sentence(3, rng), sentence(60, rng).split(), sentence(12, rng)
+    near = [*long[:30], "changed", *long[31:]]
+    # A whole text of few words that is broken otherwise, a line of three words, a line of 60 with one word changed.
+    docs = {k: sentence(40, rng) + "\n" + x + "\n" + sentence(40, rng) for k, x in enumerate((short, short.upper(), " ".join(long), " ".join(near), sentence(9, rng)))}
+    docs |= {10: text, 11: text.replace(" ", "\n", 1)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {(r.id, r.pos, r.size, r.root_id) for r in s.repeats(df, lines=True, recall=0.999).collect()}
+    assert got >= {(0, 40, 3, 0), (1, 40, 3, 0), (2, 40, 60, 2), (3, 40, 60, 2), (10, 0, 12, 10), (11, 0, 12, 10)}
+    left = {r.doc_id: words_of(r.text.encode()) for r in s.remove_repeats(df, lines=True).collect()}
+    assert len(left[1]) == 80 and len(left[4]) == 89 and 11 not in left and left[0] == words_of(docs[0].encode())
