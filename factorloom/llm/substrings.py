@@ -350,8 +350,20 @@ def merged(starts: list[int]) -> list[tuple[int, int]]:
 
 
 def extended(w: list[bytes], pos: int, size: int, root: list[bytes], root_pos: int, root_size: int) -> tuple[int, int]:
-    """The span of a paragraph."""
-    return pos, pos + size
+    """The span of a paragraph, and of the words on either side that stand beside its like in the root's text as well."""
+    a, b = w[pos : pos + size], root[root_pos : root_pos + root_size]
+    n = min(SHINGLE, size, root_size)
+    at = {tuple(b[k : k + n]): k for k in range(len(b) - n, -1, -1)}
+    same = [(pos + k, root_pos + at[x]) for k in range(len(a) - n + 1) if (x := tuple(a[k : k + n])) in at]
+    if not same:
+        return pos, pos + size
+    i, j = same[0]
+    while i and j and w[i - 1] == root[j - 1]:
+        i, j = i - 1, j - 1
+    p, q = (x + n for x in same[-1])
+    while p < len(w) and q < len(root) and w[p] == root[q]:
+        p, q = p + 1, q + 1
+    return min(i, pos), max(p, pos + size)
 
 
 def repeated_spans(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, lines: bool) -> DataFrame:

@@ -144,3 +144,19 @@ def test_lines_and_short_texts_are_paragraphs(spark):
     assert got >= {(0, 40, 3, 0), (1, 40, 3, 0), (2, 40, 60, 2), (3, 40, 60, 2), (10, 0, 12, 10), (11, 0, 12, 10)}
     left = {r.doc_id: words_of(r.text.encode()) for r in s.remove_repeats(df, lines=True).collect()}
     assert len(left[1]) == 80 and len(left[4]) == 89 and 11 not in left and left[0] == words_of(docs[0].encode())
+
+
+def test_the_whole_passage_goes(spark):
+    rng = random.Random(9)
+    docs = {}
+    for k in range(0, 60, 2):
+        passage = sentence(51 + k, rng)
+        for j in (k, k + 1):
+            docs[j] = sentence(30, rng) + " first%d " % j + passage + " last%d " % j + sentence(30, rng)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    left = {r.doc_id: words_of(r.text.encode()) for r in s.remove_repeats(df).collect()}
+    for k in range(0, 60, 2):
+        whole = words_of(docs[k + 1].encode())
+        # A stretch of likeness 0.8 may take two words beside the passage with it.
+        assert left[k] == words_of(docs[k].encode()) and 58 <= len(left[k + 1]) <= 62
+        assert left[k + 1][:29] == whole[:29] and left[k + 1][-29:] == whole[-29:]
