@@ -116,13 +116,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
 
 def _component_of(spark: SparkSession, rows: DataFrame, threshold: int) -> DataFrame:
-    """fp -> component_id, for rows (id, fp) that are already written."""
+    """fp -> component_id and root (the component's least fingerprint), for rows (id, fp) that are already written."""
     prints = materialize(spark, rows.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components(spark, linked(spark, prints, threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
     roots = materialize(spark, roots)
     least = prints.join(roots, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("first").alias("least"))
-    reach = roots.join(least, "root").select("node", "least")
-    return prints.join(reach, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    reach = roots.join(least, "root").select("node", "root", "least")
+    return prints.join(reach, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("least", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
 
 
 def hex16(fp: Column) -> Column:
@@ -132,16 +132,22 @@ def hex16(fp: Column) -> Column:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, size: int = 3) -> DataFrame:
     """docs with one row of each component left, the one with the smallest id; all columns stay."""
     spark = docs.sparkSession
-    fp, n, keep = (fresh(docs, x) for x in ("fp", "row", "keep"))
+    fp, n, keep, own = (fresh(docs, x) for x in ("fp", "row", "keep", "print"))
+    # Null ids name nothing: each of their components is told by its least fingerprint.
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = materialize(spark, with_fingerprint(narrow, "fp", size=size).select("id", "fp"))
-    kept = rows.join(_component_of(spark, rows, threshold), "fp").where("id <=> component_id").groupBy("id").agg(F.count("*").alias("n"))
+    named = _component_of(spark, rows, threshold)
+    kept = rows.join(named, "fp").where("id <=> component_id").groupBy("id", F.when(F.col("id").isNull(), F.col("root")).alias("root")).agg(F.count("*").alias("n"), F.min("fp").alias("fp"))
     kept = materialize(spark, kept)
-    out = docs.join(kept.select(F.col("id").alias(keep), F.col("n").alias(n)), F.col(id_col).eqNullSafe(F.col(keep)), "inner")
-    if kept.where("n > 1").isEmpty():
-        return out.select(docs.columns)
+    out = docs.where(F.col(id_col).isNotNull()).join(kept.where("id is not null").select(F.col("id").alias(keep), F.col("n").alias(n)), F.col(id_col) == F.col(keep), "inner")
+    result = out.where(F.col(n) == 1).select(docs.columns)
     # Rows that repeat an id: one of them stays, the one whose text comes first.
-    once = out.where(F.col(n) == 1).select(docs.columns)
-    rest = out.where(F.col(n) > 1).select(docs.columns)
-    first = rest.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col).isNotNull(), F.col(text_col))).alias(fp))
-    return once.union(first.select(f"{fp}.*"))
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col).isNotNull(), F.col(text_col))).alias(fp)
+    if not kept.where("id is not null and n > 1").isEmpty():
+        rest = out.where(F.col(n) > 1).select(docs.columns)
+        result = result.union(rest.groupBy(id_col).agg(first).select(f"{fp}.*"))
+    if not kept.where("id is null").isEmpty():
+        nameless = with_fingerprint(docs.where(F.col(id_col).isNull()), own, text_col, size)
+        nameless = nameless.join(kept.where("id is null").select(F.col("fp").alias(keep)), F.col(own) == F.col(keep), "left_semi")
+        result = result.union(nameless.groupBy(own).agg(first).select(f"{fp}.*"))
+    return result

@@ -76,3 +76,9 @@ def test_filter_keeps_one_row_of_each_component(spark):
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 5]
     assert drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_filter_keeps_null_ids_of_different_components(spark):
+    rows = [(None, "one text that stands alone here", "a"), (None, "quite another story with other words", "b"), (None, "quite another story with other words", "b"), (1, "the third of them all", "c"), (None, "the third of them all", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, keep string")
+    assert sorted(r.keep for r in drop_near_duplicates(df).collect()) == ["a", "b", "c"]
