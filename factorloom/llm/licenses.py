@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Every line of every file, and the file as a whole, is compared with the templates. Term frequencies are those of
-the line; document frequencies of the templates' words are counted over all files. A file whose best likeness
+the line; document frequencies of the templates' words are counted over all files; with all_words, as the query asks,
+those of all words of lines that can match, so that the score does not fade as the table grows. A file whose best likeness
 reaches the threshold has that licence of its own. A file named like a licence file, or of which most words (by
 default four fifths) lie in matching lines, speaks for its directory and all below it; a file without a licence of its own
 takes that of the nearest such directory. Ancestors are enumerated once for each distinct directory, not for each
@@ -47,11 +48,12 @@ def words_of(text: str) -> list[str]:
 
 
 class Matcher:
-    """Cosine of TF-IDF vectors. Words outside the templates count as words of one document in the vector's length."""
+    """Cosine of TF-IDF vectors. Words outside the templates of which df has nothing count as words of one document in
+    the vector's length, or weigh rare."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]], n: int, df: dict[str, int]):
+    def __init__(self, templates: dict[str, tuple[str, ...]], n: int, df: dict[str, int], rare: float | None = None):
         self.n, self.df = n, df
-        self.rare = self._idf(None)
+        self.rare = self._idf(None) if rare is None else rare
         self.templates = []
         for name in sorted(templates):
             for text in templates[name]:
@@ -69,7 +71,7 @@ class Matcher:
         length = 0.0
         v = {}
         for w, c in Counter(words).items():
-            x = c * (self._idf(w) if w in known else self.rare)
+            x = c * (self._idf(w) if w in known or w in self.df else self.rare)
             length += x * x
             if w in known:
                 v[w] = x
@@ -122,7 +124,25 @@ def frequencies(files: DataFrame, text_col: str, vocabulary: set[str]) -> tuple[
     return df.pop("", 0), df
 
 
-def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = 0.8, file_share: float = 0.8) -> tuple[DataFrame, dict[str, str]]:
+def matchable(files: DataFrame, text_col: str, templates: dict[str, tuple[str, ...]], n: int, df: dict[str, int], least: float) -> set[str]:
+    """The words outside the templates of all lines (and whole files) that reach the threshold if these words weigh the
+    least that a word can: no other line can reach it, whatever the words' frequencies are."""
+
+    def run(batches):
+        matcher = Matcher(templates, n, df, rare=1.0)
+        for b in batches:
+            seen: set[str] = set()
+            for text in b.column(0).to_pylist():
+                lines = [words_of(line) for line in (text or "").split("\n")]
+                for words in [*lines, sum(lines, [])] if len(lines) > 1 else lines:
+                    if matcher.best(words)[0] >= least:
+                        seen.update(words)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(seen - matcher.vocabulary), pa.string())], ["word"])
+
+    return {r.word for r in files.select(text_col).mapInArrow(run, "word string").distinct().collect()}
+
+
+def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = 0.8, file_share: float = 0.8, all_words: bool = False) -> tuple[DataFrame, dict[str, str]]:
     """files with new columns, named by the returned dict: license, score, line (their own), inherited, inherited_from
     (a directory; "" is the root), effective."""
     spark = files.sparkSession
@@ -130,6 +150,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     names = {x: fresh(files, x) for x in ("license", "score", "line", "share", "dir", "inherited", "inherited_from", "effective")}
     vocabulary = {w for texts in templates.values() for t in texts for w in words_of(t)}
     n, df = frequencies(files, text_col, vocabulary)
+    if all_words and (more := matchable(files, text_col, templates, n, df, least)):
+        df |= frequencies(files, text_col, more)[1]
     at = files.columns.index(text_col)
     kinds = {"license": T.StringType(), "score": T.DoubleType(), "line": T.IntegerType(), "share": T.DoubleType()}
     schema = T.StructType([*files.schema.fields, *(T.StructField(names[k], kind) for k, kind in kinds.items())])

@@ -80,3 +80,15 @@ def test_matches_brute_force(spark):
     assert len(got) == len(files)
     assert got == want
     assert scan(df.limit(0))[0].count() == 0
+
+
+def test_a_header_with_common_words_does_not_fade_with_the_table(spark):
+    def scores(n):
+        head = "Released under the MIT License acme"
+        texts = [head if k % 20 == 0 else f"acme filler{k} text" for k in range(n)]
+        out, c = scan(spark.createDataFrame([(k, f"d{k}/x", t) for k, t in enumerate(texts)], "doc_id long, path string, text string"), all_words=True)
+        return {r[c["license"]] for r in out.where("doc_id % 20 = 0").collect()}, out.where("doc_id = 0").first()[c["score"]]
+
+    small, large = scores(200), scores(20000)
+    assert small[0] == large[0] == {"MIT"}
+    assert small[1] > 0.9 and abs(small[1] - large[1]) < 0.01
