@@ -234,7 +234,23 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+def _lettered(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs of which the text has a letter."""
+    arrow_limits(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([bool(t and LETTER.search(t)) for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def drop_unidentified(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without those that have no language ("und"); all columns stay."""
-    out, c = identify(docs, train(docs, ~held_out()), text_col)
+    """docs without those that have no language ("und"); all columns stay. Where nothing can be learned from, those with
+    a letter stay."""
+    net = train(docs, ~held_out())
+    if net is None:
+        return _lettered(docs, text_col)
+    out, c = identify(docs, net, text_col)
     return out.where(F.col(c["lang_pred"]) != "und").select(docs.columns)

@@ -61,3 +61,12 @@ def test_table_of_words_stays_bounded(monkeypatch):
     got = small.read(texts)
     assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-5)
     assert stretches("É1a " + "b" * 50) == ["É".encode(), b"a", b"b" * 24, b"b" * 24, b"b" * 2]
+
+
+def test_the_stage_keeps_lettered_documents_where_nothing_is_learned(spark):
+    from factorloom.llm.language import drop_unidentified
+
+    df = spark.createDataFrame([(1, "some words", None), (2, "1 2 --", None), (3, None, None), (4, "été", None), (5, "", None)], "doc_id long, text string, lang string")
+    out = drop_unidentified(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 4]
+    assert drop_unidentified(df.limit(0)).count() == 0
