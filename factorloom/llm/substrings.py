@@ -1,45 +1,54 @@
 """Substring dedup: MinHash banding of paragraphs, exact Jaccard, removal by components.
 
-A paragraph is a stretch of SIZE words that begins at a word chosen by content: of every SPREAD consecutive
-starts, the one whose five-word shingle hashes lowest; a document's first and last SIZE words are paragraphs too,
-so that copies match to their ends. Equal passages of SIZE + SPREAD - 1 words or more, wherever
-they stand in their documents and lines, hence have a paragraph in common. With lines=True, as the query and the
-pipeline ask, each line of any length is a paragraph too, and a whole text of fewer than SIZE words. The paragraph's MinHash values, two
-to a band, bring it to buckets. Equal paragraphs are one content; all contents of a bucket are compared with
-all by exact Jaccard of five-word shingles, a large bucket in pairs of blocks, so that its size decides only where
-they are compared. Links form components; a component's paragraphs stay in the document of its smallest
-(doc_id, word) and go from all others, with the words on either side that are those beside it in the first document.
+Paragraphs are
+- lines of SIZE words or more, and whole texts of fewer than SIZE words: what authors set apart;
+- stretches of SIZE words that begin at a word chosen by content: of every SPREAD consecutive starts, the one whose
+  five-word shingle hashes lowest; a document's first and last SIZE words are stretches too. Equal passages of
+  SIZE + SPREAD - 1 = 50 words or more, wherever they stand in their lines, hence have a stretch in common.
+
+Shorter lines (headings, greetings, notices) repeat by nature and are no passages: a line of fewer than SIZE words is
+compared only as part of what it stands in.
+
+Equal paragraphs, by 128 bits of their words, are one content: whatever repeats a thousand times is one row of what
+follows. The MinHash values of each distinct line's five-word shingles, two to a band, bring it to buckets; the bands
+are as many as find a pair of the given likeness with the given recall. All contents of a bucket are compared with all
+by exact Jaccard of their shingles (as 64-bit hashes); a large bucket is dealt in pairs of blocks, so that its size
+decides only where they are compared. Stretches differ from each other by more than 0.8 once a word inside them
+changes, so they are compared for equality alone. Links form components; a component's paragraphs stay in the document
+of its smallest (id, word) and go from all others, with the words on either side that are those beside it in the first.
 
 Words are runs of letters and digits (A-Z lower-cased), so punctuation and case do not matter.
 
-Of equal paragraphs of one document the first is compared, and the others share its fate.
-
-Cases: a null text, or (without lines) one of fewer than SIZE words, has no paragraph; rows of a null id are left alone; rows that
-repeat an id are edited alike where their texts are equal, each by its own text otherwise; repeats inside one
-document stay. An empty table gives an empty table. Extra columns are carried through.
+Cases: a null text, or one without words, has no paragraph; rows of a null id are left alone; rows that repeat an id
+are edited alike where their texts are equal, each by its own text otherwise, and which of them gives the place of a
+class is not said; repeats inside one document stay. Very long texts are hashed in pieces and never cut short. An empty
+table gives an empty table. Extra columns are carried through.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_limits, components, forget, fresh, materialize
-from .decontaminate import FOLD, cut_spans, words_of
+from .decontaminate import FOLD
 
-#: Words of a paragraph, starts among which one is chosen (no more, so that no word of a repeat stays between two), words of a shingle, likeness.
+#: Words of a paragraph at least, starts among which one is chosen, words of a shingle, likeness.
 SIZE, SPREAD, SHINGLE, LIKENESS = 26, 25, 5, 0.8
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-BASE = np.uint64(0x100000001B3)
-INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
-#: MinHash values in a band; members of a bucket beyond which it is compared in pairs of blocks.
-ROWS, REST = 2, 20_000
+#: Odd bases of the polynomials of a word's bytes, and of a paragraph's words (two, for 128 bits).
+BASE, BASES = 0x100000001B3, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: MinHash values in a band; contents, and words of contents, beyond which a bucket is compared in pairs of blocks.
+ROWS, REST, REST_WORDS = 2, 20_000, 2_000_000
+#: Bytes hashed at once; bytes of texts whose paragraphs are made at once.
+PIECE, PART = 3 << 16, 4 << 20
 
 
 def bands_for(likeness: float = LIKENESS, recall: float = 0.99) -> int:
@@ -53,39 +62,63 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """For texts one after another: the hash of each word, and the number of words of each text."""
-    return words_and_lines(texts)[:2]
+@functools.lru_cache(16)
+def _all_powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base % 2**64, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, out=out)
 
 
-def words_and_lines(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As word_hashes, and the first word of each line that has words.
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers modulo 2**64."""
+    return _all_powers(base, 1 << max(18, n.bit_length()))[:n]
+
 
-    A word's hash is its polynomial in an odd base modulo 2**64, read off prefix sums, and mixed; no word is made an
-    object of its own."""
-    line = b" ".join((t or b"").translate(FOLD) for t in texts) + b" "
+def _spans(line: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word of a folded line, and the byte after its last."""
     data = np.frombuffer(line, np.uint8)
     edge = np.flatnonzero(np.diff(np.concatenate(([False], data != 32, [False])).astype(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    power, back = np.full(len(data) + 1, BASE), np.full(len(data) + 1, INVERSE)
-    power[0] = back[0] = 1
-    np.cumprod(power, out=power)
-    np.cumprod(back, out=back)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(data * power[:-1], out=sums[1:])
-    h = mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64) * MIX[0])
+    return edge[::2], edge[1::2]
+
+
+def _words(line: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of a folded line, and its first byte. No word is made an object of its own: its hash is
+    its polynomial in an odd base modulo 2**64, read off prefix sums, and mixed. Long lines are cut between words."""
+    hashes, starts, at = [], [], 0
+    while at < len(line):
+        to = line.find(b" ", at + PIECE) if at + PIECE < len(line) else -1
+        to = len(line) if to < 0 else to
+        part = line[at:to]
+        start, end = _spans(part)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(np.frombuffer(part, np.uint8) * _powers(BASE, len(part)), out=sums[1:])
+        hashes.append(mix((sums[end] - sums[start]) * _powers(pow(BASE, -1, 2**64), len(part))[start] + (end - start).astype(np.uint64) * MIX[0]))
+        starts.append(start + at)
+        at = to
+    return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def words_and_lines(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts one after another: the hash of each word, the number of words of each text, and the first word of each
+    line that has words."""
+    raw = b" ".join(t or b"" for t in texts) + b" "
+    h, start = _words(raw.translate(FOLD))
     ends = np.cumsum([len(t or b"") + 1 for t in texts]) if texts else np.zeros(0, np.int64)
-    raw = np.frombuffer(b" ".join(t or b"" for t in texts) + b" ", np.uint8)
-    breaks = np.concatenate(([0], np.flatnonzero((raw == 10) | (raw == 13)), ends))
+    data = np.frombuffer(raw, np.uint8)
+    breaks = np.concatenate(([0], np.flatnonzero((data == 10) | (data == 13)), ends))
     lines = np.unique(np.searchsorted(start, breaks))
     return h, np.diff(np.searchsorted(start, ends), prepend=0), lines[lines < len(h)]
 
 
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    return words_and_lines(texts)[:2]
+
+
 def shingle_hashes(h: np.ndarray) -> np.ndarray:
     """Of consecutive words' hashes."""
-    n = len(h) - SHINGLE + 1
+    n = max(len(h) - SHINGLE + 1, 0)
     s = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
+    for k in range(SHINGLE if n else 0):
         s = s * MIX[0] + h[k : k + n]
     return mix(s)
 
@@ -100,192 +133,201 @@ def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
 
 
 class Paragraphs:
-    """The paragraphs of a batch of texts: doc (position in the batch), start (word), size (words), the hash of
-    the whole, and the hashes of its shingles, one paragraph's after another's from first on. Of equal paragraphs of one
-    text, first_only keeps the first. lines: lines of any length are paragraphs too, and texts of fewer than SIZE words."""
+    """The paragraphs of some texts: doc (position among the texts), start (word), size (words), the content (a and b),
+    and whether each is a line or a whole short text."""
 
-    def __init__(self, texts: list[bytes | None], first_only: bool = True, lines: bool = False):
+    def __init__(self, texts: list[bytes | None]):
         h, sizes, line_starts = words_and_lines(texts)
         ends = np.cumsum(sizes)
         begins, total = ends - sizes, int(sizes.sum())
-        at, size = self._stretches(h, sizes, begins, ends, total)
-        if lines and total:
-            short = (sizes > 0) & (sizes < SIZE)
-            more = np.concatenate((line_starts, begins[short]))
-            long = np.concatenate((np.diff(np.append(line_starts, total)), sizes[short]))
-            both = np.unique(np.stack((np.concatenate((at, more)), np.concatenate((size, long))), 1), axis=0)
-            at, size = both[:, 0], both[:, 1]
-        doc = np.searchsorted(ends, at, side="right")
-        # A paragraph of fewer than SHINGLE words is one shingle, itself.
-        count = np.maximum(size - SHINGLE + 1, 1)
-        first = np.cumsum(count) - count
-        place = np.arange(int(count.sum())) - np.repeat(first, count)
-        s = np.concatenate((shingle_hashes(h), np.zeros(SHINGLE, np.uint64))) if total >= SHINGLE else np.zeros(total + SHINGLE, np.uint64)
-        shingles = s[np.repeat(at, count) + place]
-        for k in range(1, SHINGLE):
-            few = np.flatnonzero(size == k)
-            own = np.full(len(few), k, np.uint64)
-            for i in range(k):
-                own = own * MIX[0] + h[at[few] + i]
-            shingles[first[few]] = mix(own)
-        whole = mix(np.add.reduceat(shingles * (MIX[1] * (2 * place + 1).astype(np.uint64)), first) + size.astype(np.uint64)) if len(at) else np.zeros(0, np.uint64)
-        if first_only and len(at):
-            _, keep = np.unique(mix(whole + doc.astype(np.uint64) * MIX[0]), return_index=True)
-            keep.sort()
-            kept = np.zeros(len(at), bool)
-            kept[keep] = True
-            shingles = shingles[np.repeat(kept, count)]
-            at, doc, size, whole, count = at[keep], doc[keep], size[keep], whole[keep], count[keep]
-        self.doc, self.start, self.size, self.whole, self.shingles = doc, at - begins[doc], size, whole, shingles
-        self.first = np.cumsum(count) - count
-
-    @staticmethod
-    def _stretches(h, sizes, begins, ends, total) -> tuple[np.ndarray, np.ndarray]:
-        """First word and size of the stretches that are chosen by content."""
+        self.h, self.s = h, shingle_hashes(h)
+        at = self._stretches(sizes, begins, ends, total)
+        short = (sizes > 0) & (sizes < SIZE)
+        length = np.diff(np.append(line_starts, total))
+        long = length >= SIZE
+        first, size = np.concatenate((line_starts[long], begins[short])), np.concatenate((length[long], sizes[short]))
+        # A stretch that is a line is a line.
+        one_line = np.sort(line_starts[length == SIZE])
+        if len(at) and len(one_line):
+            at = at[one_line[np.minimum(np.searchsorted(one_line, at), len(one_line) - 1)] != at]
+        self.line = np.concatenate((np.zeros(len(at), bool), np.ones(len(first), bool)))
+        self.at, self.size = np.concatenate((at, first)), np.concatenate((np.full(len(at), SIZE), size))
+        order = np.lexsort((self.size, self.at))
+        self.at, self.size, self.line = self.at[order], self.size[order], self.line[order]
+        self.doc = np.searchsorted(ends, self.at, side="right")
+        self.start = self.at - begins[self.doc]
+        self.begins = begins
+        self.a, self.b = (self._content(k) for k in (0, 1))
+
+    def _content(self, k: int) -> np.ndarray:
+        x = self.h if k == 0 else mix(self.h ^ MIX[2])
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(x * _powers(BASES[k], len(x)), out=sums[1:])
+        whole = (sums[self.at + self.size] - sums[self.at]) * _powers(pow(BASES[k], -1, 2**64), len(x) + 1)[self.at]
+        return mix(whole + self.size.astype(np.uint64) * MIX[0])
+
+    def _stretches(self, sizes, begins, ends, total) -> np.ndarray:
+        """First words of the stretches that are chosen by content."""
         long = np.flatnonzero(sizes >= SIZE)
         if not len(long):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        s = shingle_hashes(h)
-        # A start is valid if the paragraph ends in its text; texts stand one after another, and a stretch of starts
-        # that crosses from one to the next can only add a choice.
+            return np.zeros(0, np.int64)
+        # A start is valid if the stretch ends in its text. Only starts that are all valid are chosen among, so that a
+        # text's stretches do not depend on its neighbours here.
         step = np.zeros(total + 1, np.int64)
         np.add.at(step, begins[long], 1)
         np.add.at(step, ends[long] - SIZE + 1, -1)
-        valid = np.cumsum(step)[: len(s)] > 0
-        order = np.where(valid, s, np.uint64(2**64 - 1))
-        chosen = np.zeros(len(s), bool)
+        valid = np.cumsum(step)[: len(self.s)] > 0
+        order = np.where(valid, self.s, np.uint64(2**64 - 1))
+        chosen = np.zeros(len(order), bool)
         if len(order) >= SPREAD:
-            least = _sliding(order, SPREAD, np.minimum)
+            least = np.where(_sliding(valid, SPREAD, np.minimum), _sliding(order, SPREAD, np.minimum), np.uint64(0))
             pad = np.zeros(SPREAD - 1, np.uint64)
             chosen = order == _sliding(np.concatenate((pad, least, pad)), SPREAD, np.maximum)
         chosen &= valid
         chosen[begins[long]] = chosen[ends[long] - SIZE] = True
-        at = np.flatnonzero(chosen)
-        return at, np.full(len(at), SIZE)
+        return np.flatnonzero(chosen)
+
+    def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of these paragraphs, one's after another's, and where each one's begin. A paragraph of fewer than
+        SHINGLE words is one shingle, itself."""
+        count = np.maximum(self.size[which] - SHINGLE + 1, 1)
+        first = np.cumsum(count) - count
+        place = np.arange(int(count.sum())) - np.repeat(first, count)
+        padded = np.concatenate((self.s, np.zeros(SHINGLE, np.uint64)))
+        out = padded[np.minimum(np.repeat(self.at[which], count) + place, len(padded) - 1)]
+        few = self.size[which] < SHINGLE
+        out[first[few]] = self.a[which][few]
+        return out, first
 
-    def values(self, bands: int) -> np.ndarray:
+    def bands(self, which: np.ndarray, bands: int) -> np.ndarray:
         """The value of each band (paragraphs x bands)."""
+        if not len(which):
+            return np.zeros((0, bands), np.int64)
+        s, first = self.shingles(which)
         out = []
         for b in range(bands):
-            value = np.full(len(self.doc), b, np.uint64)
-            for r in range(b * ROWS, (b + 1) * ROWS if len(self.doc) else 0):
+            value = np.full(len(which), b, np.uint64)
+            for r in range(b * ROWS, (b + 1) * ROWS):
                 # Shingle hashes are well mixed already: an odd multiple of each, shuffled by a constant, orders them anew.
-                least = np.minimum.reduceat((self.shingles ^ np.uint64(int(MIX[1]) * (r + 1) % 2**64)) * np.uint64(int(MIX[0]) * (2 * r + 1) % 2**64), self.first)
+                least = np.minimum.reduceat((s ^ np.uint64(int(MIX[1]) * (r + 1) % 2**64)) * np.uint64(int(MIX[0]) * (2 * r + 1) % 2**64), first)
                 value = mix(value * MIX[2] + least)
             out.append(value)
         return np.stack(out, 1).view(np.int64)
 
 
-def banded(docs: DataFrame, bands: int, lines: bool = False) -> DataFrame:
-    """Of id, text: a row (id, pos, size, band) for each document, with the first word and the words of each paragraph, and its values, band by band."""
+def _parts(texts: list[bytes | None]):
+    """Texts in runs of about PART bytes: (first, texts)."""
+    first, held = 0, 0
+    for k, t in enumerate(texts):
+        held += len(t or b"")
+        if held >= PART:
+            yield first, texts[first : k + 1]
+            first, held = k + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
 
-    def run(batches):
-        for b in batches:
-            p = Paragraphs(b.column(1).cast(pa.binary()).to_pylist(), lines=lines)
-            counts = np.bincount(p.doc, minlength=b.num_rows)
-            lists = []
-            for x, times in ((p.start.astype(np.int32), 1), (p.size.astype(np.int32), 1), (p.values(bands).ravel(), bands)):
-                lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts * times))).astype(np.int32)), pa.array(x)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["id", "pos", "size", "band"])
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, pos array<int>, size array<int>, band array<bigint>")
 
+def paragraphs_of(docs: DataFrame, bands: int) -> DataFrame:
+    """Of id, own, text: a row for each paragraph, with pos (first word), size, its content (a, b), and for lines and
+    short texts the values of its bands."""
 
-def dealt(rows: DataFrame, bands: int) -> DataFrame:
-    """A row (band, id, pos, size) for each band of each paragraph."""
-    at = F.expr(f"k div {bands}")
-    return rows.select("id", "pos", "size", F.posexplode("band").alias("k", "band")).select("band", "id", F.get("pos", at).alias("pos"), F.get("size", at).alias("size"))
-
+    def run(batches):
+        for batch in batches:
+            for first, texts in _parts(batch.column(2).cast(pa.binary()).to_pylist()):
+                p = Paragraphs(texts)
+                lines = np.flatnonzero(p.line)
+                ends = np.concatenate(([0], np.cumsum(np.where(p.line, bands, 0)))).astype(np.int32)
+                values = pa.ListArray.from_arrays(pa.array(ends), pa.array(p.bands(lines, bands).ravel(), pa.int64()))
+                at = pa.array(p.doc + first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(p.start.astype(np.int32)), pa.array(p.size.astype(np.int32)), pa.array(p.a.view(np.int64)), pa.array(p.b.view(np.int64)), values], ["id", "own", "pos", "size", "a", "b", "band"])
 
-def spelled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words of the wanted paragraphs (id, pos, size): id, own (a hash of the row's text), pos, size, words."""
     kind = docs.schema["id"].dataType.simpleString()
-    lists = wanted.groupBy("id").agg(F.collect_set(F.struct("pos", "size")).alias("at"))
-    rows = docs.join(lists, "id").select("id", F.xxhash64("text").alias("own"), "text", "at.pos", "at.size")
+    return docs.mapInArrow(run, f"id {kind}, own bigint, pos int, size int, a bigint, b bigint, band array<bigint>")
 
-    def run(batches):
-        for b in batches:
-            ids, own, pos, size, words = [], [], [], [], []
-            keys, hashes = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for k, (text, places, sizes) in enumerate(zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())):
-                w = words_of(text)
-                for p, n in sorted(zip(places, sizes)):
-                    if p + n <= len(w):
-                        ids.append(keys[k])
-                        own.append(hashes[k])
-                        pos.append(p)
-                        size.append(n)
-                        words.append(b" ".join(w[p : p + n]).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(own, pa.int64()), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(words, pa.string())], ["id", "own", "pos", "size", "words"])
 
-    return rows.mapInArrow(run, f"id {kind}, own bigint, pos int, size int, words string")
+def _located(texts: list[bytes | None], places: list[list[dict]]):
+    """For each text and the places (pos, size, a) that are asked of it, those that hold the content a: (text, place, Paragraphs, its number)."""
+    for first, part in _parts(texts):
+        p = Paragraphs(part)
+        number = {x: n for n, x in enumerate(zip(p.doc.tolist(), p.start.tolist(), p.size.tolist()))}
+        for k in range(len(part)):
+            for place in places[first + k]:
+                n = number.get((k, place["pos"], place["size"]))
+                if n is not None and int(p.a[n].view(np.int64)) == place["a"]:
+                    yield first + k, place, p, n
 
 
-def shingles_of(words: str) -> set:
-    w = words.split(" ")
-    return {tuple(w[k : k + SHINGLE]) for k in range(max(1, len(w) - SHINGLE + 1))}
+def shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of wanted contents (a, b and a place: id, pos, size): a, b, the sorted distinct shingles."""
+    lists = wanted.groupBy("id").agg(F.collect_set(F.struct("pos", "size", "a", "b")).alias("at"))
+    rows = docs.join(lists, "id").select("text", "at")
 
+    def run(batches):
+        for batch in batches:
+            a, b, sets = [], [], []
+            for _, place, p, n in _located(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
+                a.append(place["a"])
+                b.append(place["b"])
+                sets.append(np.unique(p.shingles(np.array([n]))[0]).view(np.int64))
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+            flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["a", "b", "shingles"])
 
-def jaccard(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    sx, sy = shingles_of(a), shingles_of(b)
-    return len(sx & sy) / len(sx | sy)
+    # Rows that repeat an id give the same contents again.
+    return rows.mapInArrow(run, "a bigint, b bigint, shingles array<bigint>").groupBy("a", "b").agg(F.first("shingles").alias("shingles"))
 
 
-def alike(words: list[str], likeness: float, apart) -> list[tuple[int, int]]:
-    """Pairs of these different paragraphs whose Jaccard reaches the likeness, as many as join all that such pairs join;
-    pairs for which apart(i, j) holds are left out.
+def alike(sets: list[np.ndarray], likeness: float, apart) -> list[tuple[int, int]]:
+    """Pairs of these sets (arrays of distinct numbers) whose Jaccard reaches the likeness, as many as join all that such
+    pairs join; pairs for which apart(i, j) holds are left out.
 
-    Sets of that likeness share one of each one's n - ceil(likeness n) + 1 rarest shingles, so that a phrase common to
+    Sets of that likeness share one of each one's n - ceil(likeness n) + 1 rarest members, so that a phrase common to
     the bucket brings no pair together and none is lost."""
-    number: dict[tuple, int] = {}
-    sets = [{number.setdefault(x, len(number)) for x in shingles_of(w)} for w in words]
-    times = np.bincount(np.fromiter((x for s in sets for x in s), np.int64))
-    shingle, owner = [], []
-    for k, s in enumerate(sets):
-        least = math.ceil(likeness * len(s) - 1e-9)
-        rare = sorted(s, key=lambda x: (times[x], x))[: len(s) - max(least, 1) + 1]
-        shingle += rare
-        owner += [k] * len(rare)
-    shingle, owner = np.array(shingle), np.array(owner)
-    order = np.lexsort((owner, shingle))
-    shingle, owner = shingle[order], owner[order]
-    begin = np.searchsorted(shingle, shingle)
+
+    def like(i, j):
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return both >= likeness * (len(sets[i]) + len(sets[j]) - both) - 1e-9
+
+    if len(sets) == 2:
+        return [(0, 1)] if not apart(0, 1) and min(map(len, sets)) >= likeness * max(map(len, sets)) - 1e-9 and like(0, 1) else []
+    length = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), length)
+    _, member, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((member, times[member], owner))  # each set's members from the rarest on
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(length) - length, length)
+    rare = order[rank < np.repeat(length - np.maximum(np.ceil(likeness * length - 1e-9), 1) + 1, length)]
+    member, owner = member[rare], owner[rare]
+    by_member = np.lexsort((owner, member))
+    member, owner = member[by_member], owner[by_member]
+    begin = np.searchsorted(member, member)
     at = np.argsort(owner, kind="stable")
-    cuts = np.searchsorted(owner[at], np.arange(len(words) + 1))
-    label, out = np.arange(len(words)), []
-    for k in range(len(words)):
+    cuts = np.searchsorted(owner[at], np.arange(len(sets) + 1))
+    label, out = np.arange(len(sets)), []
+    for k in range(len(sets)):
         near = [owner[begin[x] : x] for x in at[cuts[k] : cuts[k + 1]]]
-        near = np.unique(np.concatenate(near))
-        near = near[label[near] != label[k]]
+        near = np.unique(np.concatenate(near)) if near else np.zeros(0, np.int64)
+        near = near[(label[near] != label[k]) & (np.minimum(length[near], length[k]) >= likeness * np.maximum(length[near], length[k]) - 1e-9)]
         for j in near.tolist():
-            if label[j] == label[k] or apart(j, k):
-                continue
-            both = len(sets[j] & sets[k])
-            if both >= likeness * (len(sets[j]) + len(sets[k]) - both):
+            if label[j] != label[k] and not apart(j, k) and like(j, k):
                 out.append((j, k))
                 label[label == label[k]] = label[j]
     return out
 
 
 def linked(buckets: DataFrame, likeness: float) -> DataFrame:
-    """The links (u, v) of the contents (band, r, words, lo, hi) of each bucket: all are compared with all.
+    """The links (u, v) of the contents (band, of, r, lo, hi, shingles) of each bucket: all are compared with all.
 
     Two contents that lie in one and the same document only (lo and hi, their least and greatest id) are not linked. A
-    bucket of more than REST contents is dealt in blocks, and each pair of blocks is compared."""
+    bucket is dealt in `of` blocks, and each pair of blocks is compared."""
     r = to_arrow_type(buckets.schema["r"].dataType)
-    sizes = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    rows = buckets.join(sizes, "band").withColumn("of", F.ceil(F.col("n") / max(REST, 1)).cast("int"))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("words"), F.col("of")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    rows = rows.select("band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "r", "words", "lo", "hi")
+    rows = buckets.withColumn("mine", F.pmod(F.xxhash64("r"), F.col("of")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    rows = rows.select("band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "r", "lo", "hi", "shingles")
     rows = rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
 
     def run(batches):
         def judge(bucket):
-            names, words, lo, hi = zip(*bucket)
-            pairs = alike(words, likeness, lambda i, j: lo[i] == hi[i] == lo[j] == hi[j])
+            names, lo, hi, sets = zip(*bucket)
+            pairs = alike(list(sets), likeness, lambda i, j: lo[i] == hi[i] == lo[j] == hi[j])
             return [(names[i], names[j]) for i, j in pairs]
 
         def made(out):
@@ -295,11 +337,12 @@ def linked(buckets: DataFrame, likeness: float) -> DataFrame:
         key, bucket = None, []
         for b in batches:
             out = []
-            for band, x, y, *row in zip(*(c.to_pylist() for c in b.columns)):
+            flat, offsets = b.column(6).values.to_numpy(zero_copy_only=False), b.column(6).offsets.to_numpy()
+            for k, (band, x, y, name, lo, hi) in enumerate(zip(*(c.to_pylist() for c in b.columns[:6]))):
                 if key != (band, x, y):
                     out += judge(bucket) if len(bucket) > 1 else []
                     key, bucket = (band, x, y), []
-                bucket.append(row)
+                bucket.append((name, lo, hi, flat[offsets[k] : offsets[k + 1]].copy()))
             yield made(out)
         yield made(judge(bucket) if len(bucket) > 1 else [])
 
@@ -307,32 +350,45 @@ def linked(buckets: DataFrame, likeness: float) -> DataFrame:
     return rows.mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, recall: float = 0.99, lines: bool = False) -> DataFrame:
+def _near(docs: DataFrame, made: DataFrame, bands: int, likeness: float) -> DataFrame:
+    """Of the lines among the paragraphs: a, b, root (id, pos, size, a, b) of those that are like another."""
+    spark = docs.sparkSession
+    r = F.min(F.struct("id", "pos", "size", "a", "b")).alias("r")
+    lines = made.where("size(band) > 0").groupBy("a", "b").agg(r, F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("band").alias("band"))
+    lines = materialize(spark, lines)
+    rows = lines.select("a", "b", F.col("r.size").alias("size"), F.explode("band").alias("band"))
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("words")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / max(REST, 1)), F.ceil(F.col("words") / REST_WORDS)).cast("int")
+    shared = materialize(spark, sizes.select("band", blocks.alias("of")))
+    met = materialize(spark, rows.join(shared, "band").select("band", "of", "a", "b"))
+    wanted = lines.join(met.select("a", "b").distinct(), ["a", "b"], "left_semi").select("r.id", "r.pos", "r.size", "a", "b")
+    contents = shingled(docs, wanted).join(lines.select("a", "b", "r", "lo", "hi"), ["a", "b"])
+    buckets = materialize(spark, met.join(contents, ["a", "b"]).select("band", "of", "r", "lo", "hi", "shingles"))
+    forget(spark, shared, met)
+    roots = materialize(spark, components(spark, linked(buckets, likeness)))
+    forget(spark, buckets, lines)
+    return roots.select("node.a", "node.b", "root")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, recall: float = 0.99) -> DataFrame:
     """A row for each paragraph that has its like in another document: id, own (hash of the row's text), pos (first
-    word), size (words), root_id, root_pos, root_size, root_own (the component's smallest), removed (whether it stands
-    in another document than that). lines: lines of any length are paragraphs too, and texts of fewer than SIZE words."""
+    word), size (words), root_id, root_pos, root_size, root_a (the component's smallest, and its content), removed
+    (whether it stands in another document than that)."""
     spark = docs.sparkSession
     arrow_limits(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     bands = bands_for(likeness, recall)
-    made = materialize(spark, banded(rows, bands, lines))
-    left = dealt(made, bands)
-    shared = left.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
-    shared = materialize(spark, shared)  # of its own, so that its shuffle is gone before the join's begins
-    met = materialize(spark, left.join(shared, "band").select("band", "id", "pos", "size").distinct())
-    forget(spark, made, shared)
-    texts = materialize(spark, spelled(rows, met.select("id", "pos", "size").distinct()))
-    # Equal paragraphs are one content, named by its smallest; only contents are compared.
-    contents = texts.groupBy("words").agg(F.min(F.struct("id", "pos", "size", "own")).alias("r"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    contents = materialize(spark, contents)
-    named = contents.select(F.col("r.id").alias("id"), F.col("r.pos").alias("pos"), F.col("r.size").alias("size"), "r", "words", "lo", "hi")
-    buckets = materialize(spark, met.join(named, ["id", "pos", "size"]).select("band", "r", "words", "lo", "hi"))
-    forget(spark, met)
-    roots = components(spark, linked(buckets, likeness))
-    forget(spark, buckets)
-    found = contents.join(roots, F.col("r") == F.col("node"), "left").where("lo < hi or root is not null").select("words", F.coalesce("root", "r").alias("root"))
-    out = texts.distinct().join(found, "words")
-    return out.select("id", "own", "pos", "size", *(F.col(f"root.{x}").alias(f"root_{x}") for x in ("id", "pos", "size", "own")), (F.col("id") != F.col("root.id")).alias("removed"))
+    made = materialize(spark, paragraphs_of(rows, bands))
+    near = _near(rows.select("id", "text"), made, bands, likeness)
+    place = F.shiftleft(F.col("pos").cast("bigint"), 32) + F.col("size")
+    equal = made.groupBy("a", "b").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min_by(place, "id").alias("place")).where("lo < hi")
+    found = equal.join(near, ["a", "b"], "full").select(
+        "a", "b", F.coalesce("root.id", "lo").alias("root_id"), F.coalesce("root.pos", F.shiftright("place", 32).cast("int")).alias("root_pos"),
+        F.coalesce("root.size", F.col("place").bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("root_size"), F.coalesce("root.a", "a").alias("root_a"),
+    )
+    found = materialize(spark, found)  # a table of its own, so that the join can split whatever repeats most
+    out = made.select("id", "own", "pos", "size", "a", "b").join(found, ["a", "b"])
+    return out.select("id", "own", "pos", "size", "root_id", "root_pos", "root_size", "root_a", (F.col("id") != F.col("root_id")).alias("removed"))
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -345,81 +401,113 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def merged(starts: list[int]) -> list[tuple[int, int]]:
-    return joined([(p, p + SIZE) for p in starts])
-
-
-def extended(w: list[bytes], pos: int, size: int, root: list[bytes], root_pos: int, root_size: int) -> tuple[int, int]:
-    """The span of a paragraph, and of the words on either side that stand beside its like in the root's text as well."""
-    a, b = w[pos : pos + size], root[root_pos : root_pos + root_size]
-    n = min(SHINGLE, size, root_size)
-    at = {tuple(b[k : k + n]): k for k in range(len(b) - n, -1, -1)}
-    same = [(pos + k, root_pos + at[x]) for k in range(len(a) - n + 1) if (x := tuple(a[k : k + n])) in at]
-    if not same:
-        return pos, pos + size
-    i, j = same[0]
-    while i and j and w[i - 1] == root[j - 1]:
-        i, j = i - 1, j - 1
-    p, q = (x + n for x in same[-1])
-    while p < len(w) and q < len(root) and w[p] == root[q]:
-        p, q = p + 1, q + 1
-    return min(i, pos), max(p, pos + size)
-
-
-def repeated_spans(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, lines: bool) -> DataFrame:
-    """Of the rows of repeats(): id, own, spans (first word, word after the last) that go from these texts.
-
-    Equal paragraphs later in a text go with the first; each match is followed to both sides in the root's text."""
+def _runs(found: DataFrame) -> DataFrame:
+    """Of the paragraphs that go: a row (id, own, start, stop, side, root place) for either end of each run of paragraphs
+    that touch, with the place of the root of the paragraph that stands at that end."""
     kind = found.schema["id"].dataType.simpleString()
-    at = found.where("removed").groupBy("id", "own", "root_id", "root_own").agg(F.collect_set(F.struct("pos", "size", "root_pos", "root_size")).alias("at"))
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("text")).where("id is not null and text is not null").dropDuplicates(["id", "own"])
-    roots = texts.select(F.col("id").alias("root_id"), F.col("own").alias("root_own"), F.col("text").alias("root_text"))
-    rows = at.join(roots, ["root_id", "root_own"]).join(texts, ["id", "own"]).select("id", "own", "text", "root_text", *(F.col(f"at.{x}") for x in ("pos", "size", "root_pos", "root_size")))
+    lists = found.groupBy("id", "own").agg(F.collect_set(F.struct("pos", "size", "root_id", "root_pos", "root_size", "root_a")).alias("at"))
 
     def run(batches):
-        for b in batches:
-            out = []
-            for text, root, *places in zip(*(b.column(k).to_pylist() for k in range(2, 8))):
-                text = text.encode()
-                w, r = words_of(text), words_of(root.encode())
-                p = Paragraphs([text], first_only=False, lines=lines)
-                whole = dict(zip(zip(p.start.tolist(), p.size.tolist()), p.whole.tolist()))
-                copies: dict[int, list] = {}
-                for (start, size), x in whole.items():
-                    copies.setdefault(x, []).append((start, size))
-                spans = set()
-                for start, size, root_pos, root_size in zip(*places):
-                    # A row of the same id with another text may have asked for a stretch that is not chosen in this one.
-                    for q, n in copies.get(whole.get((start, size)), [(start, size)]):
-                        spans.add(extended(w, q, n, r, root_pos, root_size))
-                spans = joined(list(spans))
-                out.append([x for span in spans for x in span])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], ["id", "own", "spans"])
-
-    return rows.mapInArrow(run, f"id {kind}, own bigint, spans array<int>").groupBy("id", "own").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, drop_empty: bool = True, lines: bool = False) -> DataFrame:
+        for batch in batches:
+            out = [[] for _ in range(9)]
+            for k, places in enumerate(batch.column(2).to_pylist()):
+                places = sorted(tuple(p.values()) for p in places)
+                for start, stop in joined([(p[0], p[0] + p[1]) for p in places]):
+                    first = next(p for p in places if p[0] == start)
+                    last = next(p for p in places if p[0] + p[1] == stop)
+                    for side, p in ((0, first), (1, last)):
+                        for column, x in zip(out, (k, k, start, stop, side, *p[2:])):
+                            column.append(x)
+            ids, own = (batch.column(c).take(pa.array(out[c], pa.int64())) for c in (0, 1))
+            kinds = (pa.int32(), pa.int32(), pa.int32(), batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, own, *(pa.array(x, t) for x, t in zip(out[2:], kinds))], ["id", "own", "start", "stop", "side", "root_id", "root_pos", "root_size", "root_a"])
+
+    return lists.mapInArrow(run, f"id {kind}, own bigint, start int, stop int, side int, root_id {kind}, root_pos int, root_size int, root_a bigint")
+
+
+def _beside(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """For each root place, the hashes of the SPREAD words before it (nearest first) and after it. More than that are never
+    equal on both sides of a run: another stretch would have been chosen there."""
+    places = ["root_id", "root_pos", "root_size", "root_a"]
+    lists = ends.groupBy("root_id").agg(F.collect_set(F.struct(F.col("root_pos").alias("pos"), F.col("root_size").alias("size"), F.col("root_a").alias("a"))).alias("at"))
+    rows = docs.join(lists, F.col("id") == F.col("root_id")).select("root_id", "text", "at")
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            who, pos, size, a, before, after = ([] for _ in range(6))
+            for k, place, p, n in _located(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+                begin = p.begins[p.doc[n]]
+                end = p.begins[p.doc[n] + 1] if p.doc[n] + 1 < len(p.begins) else len(p.h)
+                at, stop = p.at[n], p.at[n] + p.size[n]
+                who.append(k)
+                for column, x in zip((pos, size, a), (place["pos"], place["size"], place["a"])):
+                    column.append(x)
+                before.append(p.h[max(begin, at - SPREAD) : at][::-1].view(np.int64))
+                after.append(p.h[stop : min(end, stop + SPREAD)].view(np.int64))
+            words = [pa.array(x, pa.list_(pa.int64())) for x in (before, after)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(a, pa.int64()), *words], [*places, "before", "after"])
+
+    made = rows.mapInArrow(run, f"root_id {kind}, root_pos int, root_size int, root_a bigint, before array<bigint>, after array<bigint>")
+    # Rows that repeat an id may have other words beside the same content: the greatest list counts.
+    return made.groupBy(*places).agg(F.max("before").alias("before"), F.max("after").alias("after"))
+
+
+def _same(own: np.ndarray, root: list[int]) -> int:
+    """How many words are the same from the first on."""
+    n = min(len(own), len(root))
+    differ = np.flatnonzero(own[:n] != np.array(root[:n], np.int64))
+    return int(differ[0]) if len(differ) else n
+
+
+def cut(text: str, runs: list[dict]) -> str | None:
+    """The text without these runs of words (start, stop, side 0: the words before its root, side 1: the words after),
+    each to the end of what it has in common with its root. None if no word is left."""
+    raw = text.encode()
+    line = raw.translate(FOLD)
+    h = _words(line)[0].view(np.int64)
+    spans = []
+    for r in runs:
+        if r["side"] == 0:
+            spans.append((r["start"] - _same(h[max(0, r["start"] - SPREAD) : r["start"]][::-1], r["words"]), r["stop"]))
+        else:
+            spans.append((r["start"], r["stop"] + _same(h[r["stop"] : r["stop"] + SPREAD], r["words"])))
+    spans = joined(spans)
+    if sum(q - p for p, q in spans) >= len(h):
+        return None
+    start, end = _spans(line)
+    out, at = [], 0
+    for p, q in spans:
+        out.append(raw[at : start[p]])
+        at = end[q - 1]
+    return b"".join((*out, raw[at:])).decode()
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, drop_empty: bool = True) -> DataFrame:
     """docs without the repeated passages of all but their first documents, each to its ends; all columns stay.
 
-    drop_empty: rows of which no word is left are dropped too. lines: as in repeats()."""
+    drop_empty: rows of which no word is left are dropped; otherwise their text is empty."""
     spark = docs.sparkSession
-    found = materialize(spark, repeats(docs, id_col, text_col, likeness, lines=lines).where("removed"))
-    lists = repeated_spans(docs, found, id_col, text_col, lines)
-    key, own, spans = (fresh(docs, x) for x in ("key", "own", "spans"))
-    lists = materialize(spark, lists).select(F.col("id").alias(key), F.col("own").alias(own), F.col("spans").alias(spans))
-    rows = docs.join(lists, (F.col(id_col) == F.col(key)) & (F.xxhash64(text_col) == F.col(own)), "left").select(*(docs[c] for c in docs.columns), F.col(spans))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    ends = materialize(spark, _runs(repeats(docs, id_col, text_col, likeness).where("removed")))
+    beside = materialize(spark, _beside(rows, ends))
+    words = F.when(F.col("side") == 0, F.col("before")).otherwise(F.col("after"))
+    ends = ends.join(beside, ["root_id", "root_pos", "root_size", "root_a"], "left").select("id", "own", "start", "stop", "side", F.coalesce(words, F.array().cast("array<bigint>")).alias("words"))
+    lists = materialize(spark, ends.groupBy("id", "own").agg(F.collect_list(F.struct("start", "stop", "side", "words")).alias("runs")))
+    key, own, runs = (fresh(docs, x) for x in ("key", "own", "runs"))
+    lists = lists.select(F.col("id").alias(key), F.col("own").alias(own), F.col("runs").alias(runs))
+    out = docs.join(lists, (F.col(id_col) == F.col(key)) & (F.xxhash64(text_col) == F.col(own)), "left").select(*(docs[c] for c in docs.columns), F.col(runs))
     at, width = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):
         for b in batches:
-            keep, texts = [], b.column(at).to_pylist()
-            for k, ends in enumerate(b.column(width).to_pylist()):
-                if ends:
-                    texts[k] = cut_spans(texts[k], joined(list(zip(ends[::2], ends[1::2]))))
-                keep.append(not (ends and drop_empty and not words_of(texts[k].encode())))
+            texts, keep = b.column(at).to_pylist(), []
+            for k, places in enumerate(b.column(width).to_pylist()):
+                left = cut(texts[k], places) if places else texts[k]
+                keep.append(not (places and left is None and drop_empty))
+                texts[k] = left if left is not None or not places else ""
             columns = [*b.columns[:width]]
             columns[at] = pa.array(texts, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, b.schema.names[:width]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, T.StructType(docs.schema.fields))
+    return out.mapInArrow(run, T.StructType(docs.schema.fields))
