@@ -158,6 +158,9 @@ class Paragraphs:
         self.start = self.at - begins[self.doc]
         self.begins = begins
         self.a, self.b = (self._content(k) for k in (0, 1))
+        # Whether it is the first of its content in its text.
+        self.first = np.zeros(len(self.at), bool)
+        self.first[np.unique(mix(self.a + self.doc.astype(np.uint64) * MIX[0]), return_index=True)[1]] = True
 
     def _content(self, k: int) -> np.ndarray:
         x = self.h if k == 0 else mix(self.h ^ MIX[2])
@@ -228,8 +231,8 @@ def _parts(texts: list[bytes | None]):
 
 
 def paragraphs_of(docs: DataFrame, bands: int) -> DataFrame:
-    """Of id, own, text: a row for each paragraph, with pos (first word), size, its content (a, b), and for lines and
-    short texts the values of its bands."""
+    """Of id, own, text: a row for each paragraph, with pos (first word), size, its content (a, b), whether it is the
+    text's first of that content, and for lines and short texts the values of its bands."""
 
     def run(batches):
         for batch in batches:
@@ -239,10 +242,10 @@ def paragraphs_of(docs: DataFrame, bands: int) -> DataFrame:
                 ends = np.concatenate(([0], np.cumsum(np.where(p.line, bands, 0)))).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(ends), pa.array(p.bands(lines, bands).ravel(), pa.int64()))
                 at = pa.array(p.doc + first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(p.start.astype(np.int32)), pa.array(p.size.astype(np.int32)), pa.array(p.a.view(np.int64)), pa.array(p.b.view(np.int64)), values], ["id", "own", "pos", "size", "a", "b", "band"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(p.start.astype(np.int32)), pa.array(p.size.astype(np.int32)), pa.array(p.a.view(np.int64)), pa.array(p.b.view(np.int64)), pa.array(p.first), values], ["id", "own", "pos", "size", "a", "b", "first", "band"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, own bigint, pos int, size int, a bigint, b bigint, band array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, own bigint, pos int, size int, a bigint, b bigint, first boolean, band array<bigint>")
 
 
 def _located(texts: list[bytes | None], places: list[list[dict]]):
@@ -381,7 +384,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lik
     made = materialize(spark, paragraphs_of(rows, bands))
     near = _near(rows.select("id", "text"), made, bands, likeness)
     place = F.shiftleft(F.col("pos").cast("bigint"), 32) + F.col("size")
-    equal = made.groupBy("a", "b").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min_by(place, "id").alias("place")).where("lo < hi")
+    equal = made.groupBy("a", "b").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min_by(place, F.when(F.col("first"), F.col("id"))).alias("place")).where("lo < hi")
     found = equal.join(near, ["a", "b"], "full").select(
         "a", "b", F.coalesce("root.id", "lo").alias("root_id"), F.coalesce("root.pos", F.shiftright("place", 32).cast("int")).alias("root_pos"),
         F.coalesce("root.size", F.col("place").bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("root_size"), F.coalesce("root.a", "a").alias("root_a"),
