@@ -25,6 +25,36 @@ def digamma(x: float) -> float:
     return out + math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y * (1 / 132)))))
 
 
+class RowDraws:
+    """Uniform and normal numbers that depend on a key, a row's number and a count only: whatever rows are drawn for
+    together, and in whichever task, a row gets the same numbers."""
+
+    def __init__(self, key: tuple[int, ...], rows: np.ndarray):
+        state = np.array(rows, np.uint64)
+        for x in key:
+            state = self._mix(state ^ np.uint64(x % 2**64))
+        self.state, self.at, self.count = state, np.arange(len(state)), 0
+
+    @staticmethod
+    def _mix(x: np.ndarray) -> np.ndarray:
+        """The finaliser of splitmix64."""
+        x = x + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def begin(self, no: int) -> None:
+        """The next numbers are those of the no-th draw of each row."""
+        self.count = no << 32
+
+    def random(self, _=None) -> np.ndarray:
+        self.count += 1
+        return ((self._mix(self.state[self.at] ^ self._mix(np.array([self.count], np.uint64))) >> np.uint64(11)).astype(float) + 0.5) / 2**53
+
+    def standard_normal(self, _=None) -> np.ndarray:
+        return np.sqrt(-2 * np.log(self.random())) * np.cos(2 * math.pi * self.random())
+
+
 def exponential_draw(rate, rng: np.random.Generator, size=None) -> np.ndarray:
     return rng.exponential(1.0 / np.asarray(rate, float), size)
 
@@ -90,6 +120,8 @@ def truncated_standard(a: np.ndarray, b: np.ndarray, rng: np.random.Generator) -
     lo, hi, flat = lo.ravel(), hi.ravel(), out.ravel()
     while len(todo):
         x, y = lo[todo], hi[todo]
+        if isinstance(rng, RowDraws):
+            rng.at = todo
         rate = (x + np.sqrt(x * x + 4)) / 2
         # Distance over which the density falls by a factor of e decides between the uniform and the others.
         short = (y - x) < np.where(x > 0, 1 / np.maximum(rate, 1e-300), 1.0)

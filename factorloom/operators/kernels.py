@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..functions.special import tn_draw, tn_moments
+from ..functions.special import RowDraws, tn_draw, tn_moments
 
 
 class Block:
@@ -84,11 +84,16 @@ def most_likely(block: Block, own, other, rate, tau: float, least: float) -> np.
 
 
 def drawn(block: Block, own, other, rate, tau: float, key: tuple[int, ...]) -> np.ndarray:
-    """Draws from the conditionals. Numbers depend on the key and the block's first row only."""
+    """Draws from the conditionals. Numbers depend on the key and the row only, however rows fall into blocks."""
     x = own[block.ids].copy()
-    rng = np.random.default_rng([*key, int(block.ids[0])]) if len(block.ids) else None
+    rng = RowDraws(key, block.ids)
     g, b = block.gram(other)
-    scan(x, g, np.einsum("nkk->nk", g), b, rate[block.ids], tau, lambda mu, precision, k: tn_draw(mu, precision, rng))
+
+    def choose(mu, precision, k):
+        rng.begin(k)
+        return tn_draw(mu, precision, rng)
+
+    scan(x, g, np.einsum("nkk->nk", g), b, rate[block.ids], tau, choose)
     return x
 
 

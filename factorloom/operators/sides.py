@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .kernels import Block
 
 #: Bytes of factors that may be broadcast in one sweep, and rows packed into one block.
-BROADCAST_BYTES, BLOCK_ROWS = 1 << 30, 512
+BROADCAST_BYTES, BLOCK_ROWS = 1 << 29, 512
 
 
 def add(a, b):
@@ -51,34 +51,49 @@ class SparkSide:
 
     whole = False
 
-    def __init__(self, packed: DataFrame, n: int):
-        # Spark recomputes lost partitions of this cache from the packed rows' shuffle.
-        self.packed, self.n = packed.persist(), n
+    def __init__(self, packed: DataFrame, n: int, keep: bool = True):
+        # Spark recomputes lost partitions of this cache from the packed rows' shuffle. A side that is read once need not be kept.
+        self.packed, self.n = packed.persist() if keep else packed, n
 
     def close(self) -> None:
         self.packed.unpersist()
 
-    def _collect(self, fn, shared) -> list:
+    def _collect(self, fn, shared, summed: bool) -> list:
+        """(ids, result) of each block, or with summed (first id, sum) of each task; all tasks run at once."""
         spark = self.packed.sparkSession
         size = sum(x.nbytes for x in shared if isinstance(x, np.ndarray))
         if size > BROADCAST_BYTES:
             raise ValueError(f"factors of {size} bytes exceed the broadcast bound of {BROADCAST_BYTES}; lower the number of factors or raise sides.BROADCAST_BYTES")
         sent = spark.sparkContext.broadcast(shared)
 
-        def run(batches):
+        def blocks(batches):
             for b in batches:
                 for at in range(0, b.num_rows, BLOCK_ROWS):
                     part = b.slice(at, BLOCK_ROWS)
                     counts = part.column(1).value_lengths().to_numpy(zero_copy_only=False)
                     block = Block(part.column(0).to_numpy(), counts, part.column(1).flatten().to_numpy().astype(np.int64), part.column(2).flatten().to_numpy())
-                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((block.ids, fn(block, *sent.value)))], pa.binary())], ["out"])
+                    yield block.ids, fn(block, *sent.value)
 
-        out = [pickle.loads(r.out) for r in self.packed.mapInArrow(run, "out binary").toLocalIterator()]
-        sent.destroy()
-        return out
+        def packet(x):
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(x)], pa.binary())], ["out"])
+
+        def run(batches):
+            first = total = None
+            for ids, value in blocks(batches):
+                if not summed:
+                    yield packet((ids, value))
+                elif len(ids):
+                    first, total = int(ids[0]) if first is None else min(first, int(ids[0])), add(total, value)
+            if first is not None:
+                yield packet((first, total))
+
+        try:
+            return [pickle.loads(r.out) for r in self.packed.mapInArrow(run, "out binary").collect()]
+        finally:
+            sent.destroy()
 
     def rows(self, fn, *shared) -> np.ndarray:
-        parts = self._collect(fn, shared)
+        parts = self._collect(fn, shared, False)
         ids, values = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         out = np.zeros((self.n, *values.shape[1:]))
         out[ids] = values
@@ -86,7 +101,7 @@ class SparkSide:
 
     def sums(self, fn, *shared):
         total = None
-        for _, value in sorted(self._collect(fn, shared), key=lambda p: int(p[0][0])):  # one order, so equal runs add alike
+        for _, value in sorted(self._collect(fn, shared, True), key=lambda p: p[0]):  # one order, so equal runs add alike
             total = add(total, value)
         return total
 

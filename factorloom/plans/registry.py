@@ -77,7 +77,7 @@ def vectors(frame, name: str):
 
 def side(spark, sf_dir, by: str):
     obs, n_i, n_j = observed(spark, sf_dir)
-    return SparkSide(pack(obs, *(("i", "j") if by == "i" else ("j", "i"))), n_i if by == "i" else n_j), n_i, n_j
+    return SparkSide(pack(obs, *(("i", "j") if by == "i" else ("j", "i"))), n_i if by == "i" else n_j, keep=False), n_i, n_j
 
 
 def _np_sql(own: list[str], other: list[str], by: str) -> str:

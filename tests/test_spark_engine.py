@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -166,3 +167,44 @@ def test_sources(spark, tmp_path):
     assert sorted((r.i, r.j, r.r) for r in matrices.read_features(spark, str(tmp_path / "f.csv")).collect()) == [(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 4.0)]
     matrices.write_matrix([[1, 2], [3, 4.5]], str(tmp_path / "w.txt"))
     assert matrices.read_matrix(spark, str(tmp_path / "w.txt")).count() == 4
+
+
+def test_trials_run_at_once(spark):
+    from factorloom.operators.trials import run_trials
+
+    def work(shared, trial):
+        time.sleep(2)
+        return {"was": trial["n"] + shared}
+
+    run_trials(spark, 0, [{"n": 0}], work)  # a first worker
+    began = time.time()
+    out = run_trials(spark, 1, [{"n": k} for k in range(4)], work)
+    assert [r["was"] for r in out] == [1, 2, 3, 4] and time.time() - began < 7
+    with pytest.raises(ValueError, match="broadcast bound"):
+        M_cells = Cells(*(np.zeros(1) for _ in range(3)), 1, 1)
+        M_cells.r = np.broadcast_to(0.0, 60_000_000)
+        run_trials(spark, M_cells, [{}], work)
+
+
+def test_draws_depend_on_the_row_only(spark, toy):
+    train, _ = toy
+    model = lambda: Factorizer("gibbs", 2, None, Priors(rows=1.0, columns=1.0), "exp", seed=3)
+    near = model().fit(*train.sides(), 3)
+    sides = spark_sides(frame(spark, train).repartition(7), 30, 20)
+    far = model().fit(*sides, 3)
+    assert np.allclose(far.u, near.u) and np.allclose(far.v, near.v)
+    for s in sides:
+        s.close()
+
+
+def test_numbers_of_rows_are_uniform_and_normal():
+    from factorloom.functions.special import RowDraws, tn_draw, tn_moments
+
+    draws = RowDraws((1, 2), np.arange(200_000))
+    u, z = draws.random(), draws.standard_normal()
+    assert abs(u.mean() - 0.5) < 0.005 and abs(u.var() - 1 / 12) < 0.002 and abs(z.mean()) < 0.01 and abs(z.var() - 1) < 0.02
+    for no, (mu, tau) in enumerate(((1.0, 2.0), (-3.0, 1.0), (0.0, 4.0))):
+        draws.begin(no)
+        x = tn_draw(np.full(200_000, mu), np.full(200_000, tau), draws)
+        mean, var = tn_moments(mu, tau)
+        assert abs(x.mean() - mean) < 0.02 * mean and abs(x.var() - var) < 0.03 * var
