@@ -1,10 +1,23 @@
-"""K-means of partially observed points: distances and centres use known coordinates only."""
+"""K-means of partially observed points: distances and centres use known coordinates only.
+
+Points are the rows of one side of a matrix and coordinates those of the other (see sides.py), so one loop serves
+matrices in this process and on executors. What passes through the driver is a cluster and a distance for each point
+and the centres; both are held to the bound of the sides' broadcasts.
+
+Cases: a point without cells is refused; a coordinate that no point has is dropped; ties go to the lowest cluster; a
+point that shares no coordinate with any centre goes to the last; an empty cluster takes the point furthest from its
+own centre, or a new random centre where there are fewer distinct points than clusters.
+"""
 
 from __future__ import annotations
 
 import warnings
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .kernels import Block
 
 #: Passes at most (fixed value: the loop ends when its counter reaches 200).
 MAX_PASSES = 199
@@ -16,9 +29,15 @@ def one_hot(assigned: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _dense(block: Block, m: int) -> tuple[np.ndarray, np.ndarray]:
+    x, known = np.zeros((len(block.ids), m)), np.zeros((len(block.ids), m))
+    x[block.row, block.idx], known[block.row, block.idx] = block.val, 1.0
+    return x, known
+
+
 def assign(x: np.ndarray, known: np.ndarray, centres: np.ndarray, have: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centre of each point by mean squared distance over coordinates known to both, ties to the lowest;
-    a point that shares no coordinate with any centre goes to the last. Also the distances (nan where unknown)."""
+    """The nearest centre of each point by mean squared distance over coordinates known to both. Also the distances (nan
+    where unknown)."""
     shared = known @ have.T
     square = (known * x**2) @ have.T - 2 * (known * x) @ (have * centres).T + known @ (have * centres**2).T
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -30,9 +49,38 @@ def assign(x: np.ndarray, known: np.ndarray, centres: np.ndarray, have: np.ndarr
     return best, np.where(np.isinf(own), np.nan, own)
 
 
+def nearest(block: Block, centres: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Cluster and distance of each point of a block."""
+    return np.stack(assign(*_dense(block, centres.shape[1]), centres, have), 1).astype(float)
+
+
+def member_sums(block: Block, assigned: np.ndarray, k: int, m: int) -> dict[str, np.ndarray]:
+    """Sums and counts of the coordinates of each cluster's points."""
+    at = assigned[block.ids][block.row] * m + block.idx
+    return {"sum": np.bincount(at, block.val, k * m).reshape(k, m), "count": np.bincount(at, minlength=k * m).reshape(k, m).astype(float)}
+
+
+def centres_of(obs: DataFrame, clusters: DataFrame, by: str = "i", coordinate: str = "j", value: str = "r") -> DataFrame:
+    """The centres (cluster, coordinate, centre, cells) of assigned points, as one aggregation: for tables of any size."""
+    return obs.join(clusters, by).groupBy("cluster", coordinate).agg(F.avg(value).alias("centre"), F.count("*").alias("cells"))
+
+
+def _range(block: Block) -> np.ndarray:
+    """Least and greatest value of each row."""
+    out = np.stack((np.full(len(block.ids), np.inf), np.full(len(block.ids), -np.inf)), 1)
+    np.minimum.at(out[:, 0], block.row, block.val)
+    np.maximum.at(out[:, 1], block.row, block.val)
+    return out
+
+
+def _print(block: Block) -> np.ndarray:
+    """A number for each row that equal rows share: a sum of pseudo-random multiples of its values."""
+    weight = np.sin(block.idx * 12.9898 + 1) * 43758.5453 % 1 + 0.5
+    return np.bincount(block.row, np.round(block.val * weight, 9), len(block.ids))[:, None]
+
+
 class MaskedKMeans:
-    """k clusters; an empty one takes the point furthest from its own centre ("singleton"), or a new random centre
-    where there are fewer distinct points than clusters."""
+    """k clusters of the rows of a side."""
 
     def __init__(self, k: int, seed: int = 0):
         if k <= 0:
@@ -40,45 +88,48 @@ class MaskedKMeans:
         self.k, self.rng = k, np.random.default_rng([seed, 29])
 
     def fit(self, i, j, r, n: int, m: int) -> np.ndarray:
-        """The cluster of each of the n points with coordinates r at (i, j); coordinates that no point has are dropped."""
-        x, known = np.zeros((n, m)), np.zeros((n, m))
-        x[i, j], known[i, j] = r, 1.0
-        if (known.sum(1) == 0).any():
-            raise ValueError(f"Fully unobserved row in X, row {int(np.flatnonzero(known.sum(1) == 0)[0])}.")
-        keep = known.sum(0) > 0
-        x, known = x[:, keep], known[:, keep]
-        distinct = len(np.unique(x, axis=0))
-        if self.k > n or self.k > distinct:
-            warnings.warn(f"More clusters ({self.k}) than points or distinct points ({n}, {distinct}).", stacklevel=2)
-        self.low, self.high = np.where(known > 0, x, np.inf).min(0), np.where(known > 0, x, -np.inf).max(0)
-        centres, have = np.stack([self._random() for _ in range(self.k)]), np.ones((self.k, x.shape[1]))
-        assigned = np.full(n, -1)
+        """The cluster of each of n points with coordinates r at (i, j), in this process."""
+        from .sides import LocalSide
+
+        i, j = np.asarray(i), np.asarray(j)
+        empty = np.flatnonzero(np.bincount(i, minlength=n) == 0)
+        if len(empty):
+            raise ValueError(f"Fully unobserved row in X, row {int(empty[0])}.")
+        return self.fit_sides(LocalSide(Block.of(i, j, np.asarray(r, float), n)), LocalSide(Block.of(j, i, np.asarray(r, float), m)))
+
+    def fit_sides(self, points, coordinates) -> np.ndarray:
+        """The cluster of each row of points; coordinates: the same cells by column."""
+        m = coordinates.n
+        bounds = coordinates.rows(_range)
+        seen = np.isfinite(bounds[:, 0]) & (bounds[:, 1] >= bounds[:, 0])
+        self.low, self.high = np.where(seen, bounds[:, 0], 0.0), np.where(seen, bounds[:, 1], 0.0)
+        distinct = len(np.unique(points.rows(_print)))
+        if self.k > points.n or self.k > distinct:
+            warnings.warn(f"More clusters ({self.k}) than points or distinct points ({points.n}, {distinct}).", stacklevel=2)
+        centres, have = np.stack([self._random() for _ in range(self.k)]), np.tile(seen.astype(float), (self.k, 1))
+        assigned = np.full(points.n, -1)
         for _ in range(MAX_PASSES):
-            new, distance = assign(x, known, centres, have)
+            out = points.rows(nearest, centres, have)
+            new, distance = out[:, 0].astype(int), out[:, 1]
             if (new == assigned).all():
                 break
-            assigned = new
-            centres, have = self._centres(x, known, assigned, distance, distinct)
+            assigned = self._filled(new, distance, distinct)
+            sums = points.sums(member_sums, assigned, self.k, m)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                centres = np.where(sums["count"] > 0, sums["sum"] / sums["count"], 0.0)
+            have = (sums["count"] > 0).astype(float)
+            for c in np.flatnonzero(np.bincount(assigned, minlength=self.k) == 0):
+                centres[c], have[c] = self._random(), seen.astype(float)
         self.centres, self.have = centres, have
         return assigned
 
     def _random(self) -> np.ndarray:
         return self.rng.uniform(self.low, self.high)
 
-    def _centres(self, x, known, assigned, distance, distinct):
-        member = one_hot(assigned, self.k)
-        while distinct >= self.k and (member.sum(0) == 0).any():
-            # Each empty cluster takes the furthest point; a donor emptied by that is looked at again.
-            far = int(np.nan_to_num(distance, nan=-1.0).argmax())
-            empty = int(np.flatnonzero(member.sum(0) == 0)[0])
-            assigned[far], distance[far] = empty, -1.0
-            member = one_hot(assigned, self.k)
-            if (distance < 0).all():
-                break
-        count = member.T @ known
-        with np.errstate(invalid="ignore", divide="ignore"):
-            centres = np.where(count > 0, (member.T @ (known * x)) / count, 0.0)
-        have = (count > 0).astype(float)
-        for c in np.flatnonzero(member.sum(0) == 0):
-            centres[c], have[c] = self._random(), 1.0
-        return centres, have
+    def _filled(self, assigned: np.ndarray, distance: np.ndarray, distinct: int) -> np.ndarray:
+        """Each empty cluster takes the furthest point; a donor emptied by that is looked at again."""
+        assigned, left = assigned.copy(), np.nan_to_num(distance, nan=-1.0)
+        while distinct >= self.k and len(empty := np.flatnonzero(np.bincount(assigned, minlength=self.k) == 0)) and (left >= 0).any():
+            far = int(left.argmax())
+            assigned[far], left[far] = empty[0], -1.0
+        return assigned

@@ -66,6 +66,11 @@ def round_robin(obs: DataFrame, n_folds: int, seed: int) -> DataFrame:
     return ranked(obs, shuffle_key(seed, "i", "j"), ["i", "j"]).withColumn("fold", (F.col("p") % n_folds).cast("int")).drop("p")
 
 
+def coverage(obs: DataFrame, axis: str) -> DataFrame:
+    """The cells of each row (or column) that has any."""
+    return obs.groupBy(axis).agg(F.count("*").alias("cells"))
+
+
 def covers(obs: DataFrame, rows: int, columns: int) -> bool:
     """Whether each row and column has a cell."""
     seen = obs.agg(F.countDistinct("i").alias("i"), F.countDistinct("j").alias("j")).first()

@@ -13,14 +13,16 @@ import time
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.special import exponential_draw, gamma_draw, gamma_expectation, gamma_expectation_log, gamma_mode, log_half_erfc, tn_draw, tn_moments
 from . import kernels as K
 from .kmeans import MaskedKMeans, one_hot
-from .metrics import from_sums
-from .sides import LocalSide, SparkSide, pack
+from .metrics import from_sums, global_metrics
+from .sides import BROADCAST_BYTES, LocalSide, SparkSide, pack
 
 METRICS = ("loglikelihood", "BIC", "AIC", "MSE", "ELBO")
 
@@ -104,9 +106,15 @@ class Fit:
     history: list[dict] = field(default_factory=list)
     elbo: float = 0.0
     samples: dict[str, list] = field(default_factory=dict)
+    sums: dict = field(default_factory=dict)
 
     def factors(self, burn_in: int | None = None, thinning: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, float]:
         """The factors, or with burn_in and thinning the means of the kept samples burn_in, burn_in + thinning, ..."""
+        if burn_in is not None and self.sums:
+            if (burn_in, thinning) != self.sums["kept"]:
+                raise ValueError(f"the sums of samples are those of burn_in, thinning = {self.sums['kept']}")
+            mean = {k: x / self.sums["n"] for k, x in self.sums.items() if k not in ("kept", "n")}
+            return mean["u"], mean["v"], mean.get("s"), float(mean["tau"])
         if burn_in is None or not self.samples:
             return self.u, self.v, self.s, self.tau
         mean = {k: np.mean(x[burn_in::thinning], axis=0) for k, x in self.samples.items()}
@@ -116,10 +124,29 @@ class Fit:
         u, v, s, _ = self.factors(**kept)
         return np.einsum("ck,ck->c", (u if s is None else u @ s)[i], v[j])
 
-    def predict(self, cells: Cells, **kept) -> dict[str, float]:
-        """MSE, R^2 and Rp on any cells."""
+    def predict(self, cells: Cells | DataFrame, **kept) -> dict[str, float]:
+        """MSE, R^2 and Rp on any cells, in this process or of a table."""
+        if isinstance(cells, DataFrame):
+            found = global_metrics(self.predicted(cells, **kept)).first()
+            return {"MSE": math.nan if found.mse is None else found.mse, "R^2": found.r2, "Rp": found.rp}
         return from_sums(K.cell_sums(cells.r, self.predictions(cells.i, cells.j, **kept)))
 
+    def predicted(self, obs: DataFrame, name: str = "p", **kept) -> DataFrame:
+        """A table of cells (i, j, ...) with the prediction of each, on the executors."""
+        u, v, s, _ = self.factors(**kept)
+        left = u if s is None else u @ s
+        if left.nbytes + v.nbytes > BROADCAST_BYTES:
+            raise ValueError(f"factors of {left.nbytes + v.nbytes} bytes exceed the broadcast bound of {BROADCAST_BYTES}")
+        sent, at = obs.sparkSession.sparkContext.broadcast((left, v)), [obs.columns.index(c) for c in ("i", "j")]
+
+        def run(batches):
+            for b in batches:
+                left, right = sent.value
+                i, j = (b.column(c).to_numpy(zero_copy_only=False) for c in at)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.einsum("ck,ck->c", left[i], right[j]))], [*b.schema.names, name])
+
+        return obs.mapInArrow(run, T.StructType([*obs.schema.fields, T.StructField(name, T.DoubleType())]))
+
     def parameters(self) -> int:
         (rows, k), (columns, l) = self.u.shape, self.v.shape
         return rows * k + columns * l + (k * l if self.s is not None else 0)
@@ -143,12 +170,14 @@ class Factorizer:
 
     init: how each factor begins: "ones", "random" (uniform for np, else exponential with its rate), "exp" (the
     rate's mean), "exponential" (np: draws with rate expo_prior), "kmeans" (rows and columns of the tri model).
+    thinned (burn_in, thinning): Gibbs keeps the sums of these samples only, not each sample.
     """
 
-    def __init__(self, method: str, k: int, l: int | None = None, priors: Priors | None = None, init: str | None = None, init_middle: str | None = None, seed: int = 0, least: float = 0.0, expo_prior: float = 1.0, tau_init: float = 1.0, keep_samples: bool = True):
+    def __init__(self, method: str, k: int, l: int | None = None, priors: Priors | None = None, init: str | None = None, init_middle: str | None = None, seed: int = 0, least: float = 0.0, expo_prior: float = 1.0, tau_init: float = 1.0, keep_samples: bool = True, thinned: tuple[int, int] | None = None):
         if method not in ("np", "icm", "gibbs", "vb"):
             raise ValueError(f"Unknown method: {method}.")
         self.method, self.k, self.l, self.priors, self.seed, self.least = method, k, l, priors or Priors(), seed, least
+        self.thinned = thinned
         self.init, self.init_middle, self.expo_prior, self.tau_init, self.keep = init or ("ones" if method == "np" else "exp"), init_middle, expo_prior, tau_init, keep_samples
         self.rng = np.random.default_rng([seed, 17])
 
@@ -165,16 +194,16 @@ class Factorizer:
             return 1.0 / rate
         raise ValueError(f"Unknown initialisation: {kind}.")
 
-    def begin(self, rows, columns, cells: Cells | None = None):
+    def begin(self, rows, columns):
         k, l = self.k, self.l or self.k
         rate = {"u": self.priors.rate("rows", (rows.n, k)), "v": self.priors.rate("columns", (columns.n, l))}
         state = {}
         if self.init == "kmeans":
-            if self.l is None or cells is None:
-                raise ValueError("kmeans begins the tri-factorisation of cells at hand only")
+            if self.l is None:
+                raise ValueError("kmeans begins the tri-factorisation only")
             offset = 0.0 if self.method == "vb" else 0.2
-            for name, (i, j, n, m, c) in {"u": (cells.i, cells.j, rows.n, columns.n, k), "v": (cells.j, cells.i, columns.n, rows.n, l)}.items():
-                state[name] = one_hot(MaskedKMeans(c, self.seed).fit(i, j, cells.r, n, m), c) + offset
+            for name, (points, coordinates, c) in {"u": (rows, columns, k), "v": (columns, rows, l)}.items():
+                state[name] = one_hot(MaskedKMeans(c, self.seed).fit_sides(points, coordinates), c) + offset
         else:
             state = {name: self._start(self.init, rate[name]) for name in ("u", "v")}
         if self.l is not None:
@@ -186,13 +215,21 @@ class Factorizer:
 
     def fit(self, rows, columns, iterations: int, cells: Cells | None = None, every: int = 1) -> Fit:
         """every: training errors are computed each so many iterations (and at the last)."""
-        x, rate = self.begin(rows, columns, cells)
+        x, rate = self.begin(rows, columns)
         run = {"np": self._np, "icm": self._icm, "gibbs": self._icm, "vb": self._vb}[self.method]
         samples: dict[str, list] = {}
         fit = Fit(self.k, self.l, x["u"], x["v"], x.get("s"), 1.0, 0.0, 0, samples=samples)
         began = time.time()
         for now in run(x, rate, rows, columns, iterations):
-            if self.method == "gibbs" and self.keep:
+            if self.method == "gibbs" and self.thinned:
+                burn_in, thinning = self.thinned
+                fit.sums = fit.sums or {"kept": self.thinned, "n": 0}
+                if now["it"] >= burn_in and (now["it"] - burn_in) % thinning == 0:
+                    fit.sums["n"] += 1
+                    for name in ("u", "v", "s", "tau"):
+                        if name in now:
+                            fit.sums[name] = fit.sums.get(name, 0.0) + now[name]
+            elif self.method == "gibbs" and self.keep:
                 for name in ("u", "v", "s", "tau"):
                     if name in now:
                         samples.setdefault(name, []).append(np.copy(now[name]))

@@ -77,9 +77,11 @@ class Setup:
     restarts: int = 1
     seed: int = 0
 
+    def model(self, k: int, l: int | None, seed: int) -> Factorizer:
+        return Factorizer(self.method, k, l, self.priors, self.init, self.init_middle, seed, self.least, self.expo_prior)
+
     def fit(self, cells: Cells, k: int, l: int | None, seed: int):
-        model = Factorizer(self.method, k, l, self.priors, self.init, self.init_middle, seed, self.least, self.expo_prior)
-        return model.fit(*cells.sides(), self.iterations, cells, every=self.iterations)
+        return self.model(k, l, seed).fit(*cells.sides(), self.iterations, cells, every=self.iterations)
 
     def kept(self) -> dict:
         return {"burn_in": self.burn_in, "thinning": self.thinning} if self.method == "gibbs" and self.burn_in is not None else {}
@@ -247,10 +249,10 @@ def matrix_cv(spark, cells: Cells, setup: Setup, parameters: list[dict], folds:
     """For each parameter set (K, L) the mean errors over folds, by its JSON; failed sets have an error instead. All trials at once."""
     fold = fold_numbers(cells, folds, setup.seed)
     trials = [_trial(setup, p["K"], p.get("L"), 0, fold=f) for p in parameters for f in range(folds)]
-    return _averaged(run_trials(spark, (setup, cells, fold), trials, _fit_trial), parameters)
+    return averaged(run_trials(spark, (setup, cells, fold), trials, _fit_trial), parameters)
 
 
-def _averaged(rows: list[dict], parameters: list[dict]) -> dict[str, dict]:
+def averaged(rows: list[dict], parameters: list[dict]) -> dict[str, dict]:
     out = {}
     for p in parameters:
         own = [r for r in rows if (r["K"], r["L"]) == (p["K"], p.get("L"))]
@@ -274,7 +276,7 @@ def nested_cv(spark, cells: Cells, setup: Setup, parameters: list[dict], folds:
     rows = run_trials(spark, (setup, cells, fold), trials, _fit_trial)
     chosen = {}
     for f in range(folds):
-        best = find_best(_averaged([r for r in rows if r["fold"] == f], parameters))
+        best = find_best(averaged([r for r in rows if r["fold"] == f], parameters))
         chosen[f] = (best["K"], best.get("L"))
     out = [r["test"] for r in _refit(spark, setup, cells, fold, chosen)]
     return CrossValidated(out, mean_of(out), chosen)

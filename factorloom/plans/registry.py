@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.special import tn_moments
 from ..operators import kernels as K
 from ..operators import masks as M
-from ..operators.kmeans import assign
+from ..operators.kmeans import centres_of, nearest
 from ..operators.metrics import global_metrics, i_divergence
-from ..operators.models import Cells, Factorizer, Priors, spark_sides
+from ..operators.models import Cells, Factorizer, Fit, Priors, spark_sides
 from ..operators.sides import SparkSide, pack
-from ..operators.sweeps import missing_sweep
-from ..operators.trials import GreedySearch, GridSearch, LineSearch, Setup, line_search_cv, matrix_cv, nested_cv
+from ..operators.sweeps import convergence, missing_sweep, noise_sweep, summary, timing
+from ..operators.trials import GreedySearch, GridSearch, LineSearch, Search, Setup, averaged, greedy_search_cv, line_search_cv, matrix_cv, nested_cv
 from ..sources.matrices import negate, nonnegative
 from ..sources.synthetic import generate_nmf, generate_nmtf
 from .relations import cells, obs_sql, observed
@@ -122,12 +122,19 @@ def negate_shift(spark, sf_dir):
 
 @query(f"{obs_sql()} SELECT i, count(*) AS cells FROM obs GROUP BY i")
 def coverage_rows(spark, sf_dir):
-    return observed(spark, sf_dir)[0].groupBy("i").agg(F.count("*").alias("cells"))
+    return M.coverage(observed(spark, sf_dir)[0], "i")
 
 
 @query(f"{obs_sql()} SELECT j, count(*) AS cells FROM obs GROUP BY j")
 def coverage_cols(spark, sf_dir):
-    return observed(spark, sf_dir)[0].groupBy("j").agg(F.count("*").alias("cells"))
+    return M.coverage(observed(spark, sf_dir)[0], "j")
+
+
+@query(f"{obs_sql()} SELECT f.j AS below, (SELECT count(DISTINCT i) FROM obs WHERE j < f.j) = (SELECT n_i FROM meta) AND f.j >= (SELECT n_j FROM meta) AS covered FROM (SELECT unnest([1, 5, 10, 25]) AS j) f")
+def covers_check(spark, sf_dir):
+    """Whether the cells of the first columns cover all rows and columns."""
+    obs, n_i, n_j = observed(spark, sf_dir)
+    return spark.createDataFrame([(n, M.covers(obs.where(F.col("j") < n), n_i, n_j)) for n in (1, 5, 10, 25)], "below int, covered boolean")
 
 
 @query(f"{obs_sql()} SELECT i, string_agg(CAST(j AS VARCHAR), ',' ORDER BY j) AS indices FROM obs GROUP BY i")
@@ -164,9 +171,13 @@ def kfold_assign(spark, sf_dir):
     return M.folds(observed(spark, sf_dir)[0], FOLDS, SEED).select("i", "j", "fold")
 
 
-@query(f"{obs_sql()}, {_FOLDED} SELECT 'i' AS axis, i AS line, min(fold) AS fold, count(*) AS cells FROM folded GROUP BY i HAVING min(fold) = max(fold) UNION ALL SELECT 'j', j, min(fold), count(*) FROM folded GROUP BY j HAVING min(fold) = max(fold)")
+_FEW = f"few AS (SELECT i, j FROM obs WHERE j < 3), k AS (SELECT i, j, {_RANK} FROM few), folded AS (SELECT i, j, CAST(((p + 1) * {FOLDS} - 1) // (SELECT count(*) FROM few) AS INTEGER) AS fold FROM k)"
+
+
+@query(f"{obs_sql()}, {_FEW} SELECT 'i' AS axis, i AS line, min(fold) AS fold, count(*) AS cells FROM folded GROUP BY i HAVING min(fold) = max(fold) UNION ALL SELECT 'j', j, min(fold), count(*) FROM folded GROUP BY j HAVING min(fold) = max(fold)")
 def fold_coverage(spark, sf_dir):
-    folded = M.folds(observed(spark, sf_dir)[0], FOLDS, SEED)
+    """Of the first three columns alone: many rows have all their cells in one fold."""
+    folded = M.folds(observed(spark, sf_dir)[0].where("j < 3"), FOLDS, SEED)
     lost = [M.lost_lines(folded, x).select(F.lit(x).alias("axis"), F.col(x).alias("line"), "fold", "cells") for x in ("i", "j")]
     return lost[0].union(lost[1])
 
@@ -232,15 +243,23 @@ def i_div(spark, sf_dir):
 _LL = "(n / 2.0 * (ln(0.05) - ln(2 * pi())) - 0.05 / 2 * se)"
 
 
-@query(f"""{obs_sql()}, {_PAIRS}, s AS (SELECT (SELECT n FROM meta) AS n, (SELECT (n_i + n_j) * 2 FROM meta) AS k, sum((r - p) ** 2) AS se FROM pairs)
+@query(f"""{obs_sql()}, {_PAIRS}, s AS (SELECT (SELECT n FROM meta) AS n, (SELECT n_i + n_j FROM meta) AS k, sum((r - p) ** 2) AS se FROM pairs)
 SELECT round({_LL}, 3) AS loglikelihood, round(2 * k - 2 * {_LL}, 3) AS aic, round(k * ln(n) - 2 * {_LL}, 3) AS bic, round(se / n, 6) AS mse FROM s""")
 def quality_ic(spark, sf_dir):
+    """Of a model with one factor, whose rows are the rows' means."""
+    cells = Cells.from_df(*observed(spark, sf_dir))
+    means = np.bincount(cells.i, cells.r, cells.n_rows) / np.bincount(cells.i, minlength=cells.n_rows)
+    fit = Fit(1, None, means[:, None], np.ones((cells.n_columns, 1)), None, 0.05, math.log(0.05), len(cells.r))
+    return spark.createDataFrame([tuple(round(float(fit.quality(m, cells)), d) for m, d in (("loglikelihood", 3), ("AIC", 3), ("BIC", 3), ("MSE", 6)))], "loglikelihood double, aic double, bic double, mse double")
+
+
+@query(f"""{obs_sql()}, p AS (SELECT r, CAST({U[0]} AS DOUBLE) * {V[0]} + CAST({U[1]} AS DOUBLE) * {V[1]} AS p FROM obs WHERE (i + j) % 4 = 0), c AS (SELECT r, p, r - (SELECT avg(r) FROM p) AS dr, p - (SELECT avg(p) FROM p) AS dp FROM p)
+SELECT round(avg((r - p) ** 2), 6) AS mse, round(1 - sum((r - p) ** 2) / sum(dr * dr), 6) AS r2, round(sum(dr * dp) / sqrt(sum(dr * dr) * sum(dp * dp)), 6) AS rp FROM c""")
+def predict_test_cells(spark, sf_dir):
+    """Errors of a model's predictions on cells of a table."""
     obs, n_i, n_j = observed(spark, sf_dir)
-    pairs = obs.join(obs.groupBy("i").agg(F.avg("r").alias("p")), "i")
-    s = pairs.agg(F.count("*").alias("n"), F.sum((F.col("r") - F.col("p")) ** 2).alias("se"))
-    ll = F.col("n") / 2 * (math.log(0.05) - math.log(2 * math.pi)) - F.col("se") * 0.025
-    k = (n_i + n_j) * 2
-    return s.select(F.round(ll, 3).alias("loglikelihood"), F.round(2 * k - 2 * ll, 3).alias("aic"), F.round(k * F.ln("n") - 2 * ll, 3).alias("bic"), r6(F.col("se") / F.col("n")).alias("mse"))
+    found = Fit(2, None, start_u(n_i, 2), start_v(n_j, 2), None, 1.0, 0.0, 0).predict(obs.where((F.col("i") + F.col("j")) % 4 == 0))
+    return spark.createDataFrame([tuple(round(float(found[m]), 6) for m in ("MSE", "R^2", "Rp"))], "mse double, r2 double, rp double")
 
 
 # --- one sweep of each method ----------------------------------------------------------------------------------------------
@@ -342,42 +361,55 @@ def vb_exp_square_diff(spark, sf_dir):
 _ERF = "2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda n: CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END * exp((2 * n + 1) * ln(abs(z) + 1e-300) - lgamma(n + 1)) / (2 * n + 1))) * sign(z)"
 
 
+# The mean of a truncated normal; five deviations above zero the truncation is below the rounding.
+_Z = "(-{mu} * sqrt({prec}) / sqrt(2))"
+_TN = "CASE WHEN {mu} * sqrt({prec}) > 5 THEN {mu} ELSE {mu} + exp(-{mu} * {mu} * {prec} / 2) / sqrt(2 * pi() * {prec}) / (0.5 * (1 - " + _ERF.replace("(z)", f"({_Z})") + ")) END"
+
+
 @query(f"""WITH g AS (SELECT id, CAST(id % 13 - 4 AS DOUBLE) / 4 AS mu, CAST(1 + id % 5 AS DOUBLE) / 2 AS tau FROM range(0, 65) t(id)), x AS (SELECT *, 1 / sqrt(tau) AS s, -mu * sqrt(tau) AS x, -mu * sqrt(tau) / sqrt(2) AS z FROM g),
 h AS (SELECT *, exp(-x * x / 2) / sqrt(2 * pi()) / (0.5 * (1 - {_ERF})) AS l FROM x)
-SELECT id, round(mu + s * l, 6) AS mean, round(s * s * (1 - l * (l - x)), 6) AS var FROM h""")
+SELECT id, round(mu + s * l, 6) AS mean, round(s * s * (1 - l * (l - x)), 6) AS var FROM h
+UNION ALL SELECT id, round(1 / ((40.0 + id) * tau), 6), round((1 / ((40.0 + id) * tau)) ** 2, 6) FROM (SELECT id, CAST(1 + id % 5 AS DOUBLE) / 2 AS tau FROM range(65, 95) t(id)) WHERE (40.0 + id) * sqrt(tau) > 30
+UNION ALL SELECT id, 0, 0 FROM range(95, 100) t(id)""")
 def tn_moments_table(spark, sf_dir):
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             n = b.column(0).to_numpy()
-            mean, var = tn_moments((n % 13 - 4) / 4, (1 + n % 5) / 2)
+            # Ids from 65 on: far in the tail; from 95 on: no precision.
+            mean, var = tn_moments(np.where(n < 65, (n % 13 - 4) / 4, -40.0 - n), np.where(n < 95, (1 + n % 5) / 2, 0.0))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(mean), pa.array(var)], ["id", "mean", "var"])
 
-    return spark.range(65).mapInArrow(run, "id bigint, mean double, var double").select("id", r6("mean").alias("mean"), r6("var").alias("var"))
+    return spark.range(100).mapInArrow(run, "id bigint, mean double, var double").select("id", r6("mean").alias("mean"), r6("var").alias("var"))
 
 
+_VBS = ["0.5 * (rh - hk * b) - 0.1", "0.5 * (rk - hk * m0) - 0.1"]
 _VB = f"""{obs_sql()}, x AS (SELECT i AS g, r, CAST({U[0]} AS DOUBLE) AS a, CAST({U[1]} AS DOUBLE) AS b, CAST({V[0]} AS DOUBLE) AS h, CAST({V[1]} AS DOUBLE) AS k FROM obs),
-m AS (SELECT g, any_value(b) AS b, sum(h * h + h / 4) AS hh, sum(h * k) AS hk, sum(r * h) AS rh FROM x GROUP BY g)
-SELECT g AS i, round(0.5 * hh, 6) AS prec, round((0.5 * (rh - hk * b) - 0.1) / (0.5 * hh), 6) AS mu FROM m"""
+m AS (SELECT g, any_value(b) AS b, sum(h * h + h / 4) AS hh, sum(h * k) AS hk, sum(k * k + k / 4) AS kk, sum(r * h) AS rh, sum(r * k) AS rk FROM x GROUP BY g),
+s0 AS (SELECT *, ({_VBS[0]}) / (0.5 * hh) AS mu0, 0.5 * hh AS prec0 FROM m),
+t0 AS (SELECT *, {_TN.format(mu="mu0", prec="prec0")} AS m0 FROM s0),
+s1 AS (SELECT *, ({_VBS[1]}) / (0.5 * kk) AS mu1, 0.5 * kk AS prec1 FROM t0)
+SELECT g AS i, round(prec0, 6) AS prec0, round(mu0, 5) AS mu0, round(m0, 4) AS mean0, round(prec1, 6) AS prec1, round(mu1, 5) AS mu1, round({_TN.format(mu="mu1", prec="prec1")}, 4) AS mean1 FROM s1"""
 
 
 @query(_VB)
 def vb_nmf_sweep_u(spark, sf_dir):
     x, own, other, u, v, _ = _sweep(spark, sf_dir, "i", K.variational)
 
-    def first(block, *shared):
-        out = K.variational(block, *shared)
-        return out[:, 0, [3, 2]]
+    def flat(block, *shared):
+        return K.variational(block, *shared)[:, :, [3, 2, 0]].reshape(len(block.ids), -1)
 
-    out = x.frame(first, own, other, v / 4, np.full(own.shape, 0.1), 0.5)
-    return out.select(F.col("idx").alias("i"), r6(F.element_at("vec", 1)).alias("prec"), r6(F.element_at("vec", 2)).alias("mu"))
+    out = x.frame(flat, own, other, v / 4, np.full(own.shape, 0.1), 0.5)
+    names = [f"{c}{k}" for k in (0, 1) for c in ("prec", "mu", "mean")]
+    return out.select(F.col("idx").alias("i"), *(F.round(F.element_at("vec", c + 1), {"pr": 6, "mu": 5}.get(n[:2], 4)).alias(n) for c, n in enumerate(names)))
 
 
 @query("SELECT CAST(id % 20 AS BIGINT) AS idx, round(avg(CAST((id // 20) * (id // 20) AS DOUBLE) * (id % 20 + 1)), 6) AS mean FROM range(0, 4000) t(id) WHERE id // 20 >= 20 AND (id // 20 - 20) % 3 = 0 GROUP BY 1")
 def gibbs_thinned_mean(spark, sf_dir):
-    trace = spark.range(4000).select(F.expr("id div 20").alias("it"), (F.col("id") % 20).alias("idx")).withColumn("value", (F.col("it") * F.col("it")).cast("double") * (F.col("idx") + 1))
-    return trace.where("it >= 20 and (it - 20) % 3 = 0").groupBy("idx").agg(r6(F.avg("value")).alias("mean"))
+    samples = {name: [float(it * it) * np.arange(1, 21)[:, None] for it in range(200)] for name in ("u", "v")} | {"tau": [1.0] * 200}
+    fit = Fit(1, None, samples["u"][-1], samples["v"][-1], None, 1.0, 0.0, 0, samples=samples)
+    return spark.createDataFrame([(k, round(float(x), 6)) for k, x in enumerate(fit.factors(20, 3)[0][:, 0])], "idx long, mean double")
 
 
 # --- K-means -----------------------------------------------------------------------------------------------------------------
@@ -394,12 +426,7 @@ def _centres(n: int) -> np.ndarray:
 def _assigned(spark, sf_dir):
     x, _, n_j = side(spark, sf_dir, "i")
 
-    def nearest(block, centres):
-        values, known = np.zeros((len(block.ids), centres.shape[1])), np.zeros((len(block.ids), centres.shape[1]))
-        values[block.row, block.idx], known[block.row, block.idx] = block.val, 1.0
-        return assign(values, known, centres, np.ones(centres.shape))[0][:, None]
-
-    return x.frame(nearest, _centres(n_j)).select(F.col("idx").alias("i"), F.element_at("vec", 1).cast("bigint").alias("cluster"))
+    return x.frame(nearest, _centres(n_j), np.ones((4, n_j))).select(F.col("idx").alias("i"), F.element_at("vec", 1).cast("bigint").alias("cluster"))
 
 
 @query(f"{obs_sql()}, {_NEAR} SELECT i, CAST(cluster AS BIGINT) AS cluster FROM near")
@@ -409,8 +436,7 @@ def kmeans_assign(spark, sf_dir):
 
 @query(f"{obs_sql()}, {_NEAR} SELECT CAST(cluster AS BIGINT) AS cluster, j, round(avg(r), 6) AS centre, count(*) AS cells FROM obs JOIN near USING (i) GROUP BY 1, 2")
 def kmeans_update(spark, sf_dir):
-    obs = observed(spark, sf_dir)[0]
-    return obs.join(_assigned(spark, sf_dir), "i").groupBy("cluster", "j").agg(r6(F.avg("r")).alias("centre"), F.count("*").alias("cells"))
+    return centres_of(observed(spark, sf_dir)[0], _assigned(spark, sf_dir)).select("cluster", "j", r6("centre").alias("centre"), "cells")
 
 
 # --- selection, averages -------------------------------------------------------------------------------------------------------
@@ -422,26 +448,82 @@ def _trials(spark):
     return spark.range(300).selectExpr("cast(1 + id % 6 as int) as K", "cast(1 + (id div 6) % 5 as int) as L", "cast(id div 30 as int) as fold", "cast((id * 37) % 101 as double) / 10 + abs(1 + id % 6 - 4) as value")
 
 
+def _searched(means) -> Search:
+    """A search that has found these values."""
+    search = Search(Setup("icm"))
+    search.results = {(r.K, r["L"] if "L" in r else None): {"AIC": r.v} for r in sorted(means.collect(), key=lambda r: tuple(r)[:-1])}
+    return search
+
+
 @query(f'WITH t AS ({_TRIALS}), m AS (SELECT "K", avg(value) AS v FROM t GROUP BY 1) SELECT "K", round(v, 6) AS value FROM m ORDER BY v, "K" LIMIT 1')
 def best_k(spark, sf_dir):
-    m = _trials(spark).groupBy("K").agg(F.avg("value").alias("v"))
-    return m.agg(F.min(F.struct("v", "K")).alias("b")).select("b.K", r6("b.v").alias("value"))
+    search = _searched(_trials(spark).groupBy("K").agg(F.avg("value").alias("v")))
+    k = search.best_value("AIC")
+    return spark.createDataFrame([(k, round(search.results[k, None]["AIC"], 6))], "K int, value double")
 
 
 @query(f'WITH t AS ({_TRIALS}), m AS (SELECT "K", "L", avg(value) AS v FROM t GROUP BY 1, 2) SELECT "K", "L", round(v, 6) AS value FROM m ORDER BY v, "K", "L" LIMIT 1')
 def best_kl(spark, sf_dir):
-    m = _trials(spark).groupBy("K", "L").agg(F.avg("value").alias("v"))
-    return m.agg(F.min(F.struct("v", "K", "L")).alias("b")).select("b.K", "b.L", r6("b.v").alias("value"))
+    search = _searched(_trials(spark).groupBy("K", "L").agg(F.avg("value").alias("v")))
+    k, l = search.best_value("AIC")
+    return spark.createDataFrame([(k, l, round(search.results[k, l]["AIC"], 6))], "K int, L int, value double")
 
 
 @query(f'SELECT "K", "L", round(avg(value), 6) AS value, count(*) AS folds FROM ({_TRIALS}) GROUP BY 1, 2')
 def cv_average(spark, sf_dir):
-    return _trials(spark).groupBy("K", "L").agg(r6(F.avg("value")).alias("value"), F.count("*").alias("folds"))
+    rows = [{"K": r.K, "L": r.L, "test": {"MSE": r.value, "R^2": 0.0, "Rp": 0.0}} for r in _trials(spark).collect()]
+    sizes = sorted({(r["K"], r["L"]) for r in rows})
+    found = averaged(rows, [{"K": k, "L": l} for k, l in sizes])
+    return spark.createDataFrame([(k, l, round(v["MSE"], 6), len(v["folds"])) for (k, l), v in zip(sizes, found.values())], "K int, L int, value double, folds long")
 
 
 @query(f'SELECT "K", round(median(value), 6) AS value FROM ({_TRIALS}) GROUP BY 1')
 def sweep_median(spark, sf_dir):
-    return _trials(spark).groupBy("K").agg(r6(F.percentile("value", F.lit(0.5))).alias("value"))
+    return summary(_trials(spark), "K").select("K", r6("median").alias("value"))
+
+
+# --- fits of one factor from a fixed beginning --------------------------------------------------------------------------------
+
+
+def _rank1_sql(u: str, v: str, tau: str | None, iterations: int, start: float) -> str:
+    """Iterations of one factor in SQL; u and v: its updates from the sums of rows' or columns' cells."""
+    steps, now = [], "b0"
+    steps.append(f"b0 AS (SELECT i, j, r, CAST({start} AS DOUBLE) AS u, CAST({start} AS DOUBLE) AS v FROM obs)")
+    errors = "count(*) AS n, sum((r - u * v) ** 2) AS se"
+    steps.append(f"e0 AS (SELECT {errors} FROM b0)")
+    for it in range(1, iterations + 1):
+        t = f"(SELECT {tau} FROM e{it - 1})" if tau else "1"
+        steps.append(f"u{it} AS (SELECT i, {u.format(t=t)} AS nu FROM {now} GROUP BY i)")
+        steps.append(f"c{it} AS (SELECT i, j, r, nu AS u, v FROM {now} JOIN u{it} USING (i))")
+        steps.append(f"v{it} AS (SELECT j, {v.format(t=t)} AS nv FROM c{it} GROUP BY j)")
+        steps.append(f"b{it} AS (SELECT i, j, r, u, nv AS v FROM c{it} JOIN v{it} USING (j))")
+        steps.append(f"e{it} AS (SELECT {errors} FROM b{it})")
+        now = f"b{it}"
+    out = " UNION ALL ".join(f"SELECT {it - 1} AS iteration, round(se / n, 5) AS mse FROM e{it}" for it in range(1, iterations + 1))
+    return f"{obs_sql()}, {', '.join(steps)} {out}"
+
+
+def _rank1(method: str, start: str):
+    def run(spark, sf_dir):
+        rows, columns = spark_sides(*observed(spark, sf_dir))
+        try:
+            fit = Factorizer(method, 1, None, Priors(), start).fit(rows, columns, 3)
+        finally:
+            rows.close()
+            columns.close()
+        return spark.createDataFrame([(h["iteration"], round(float(h["MSE"]), 5)) for h in fit.history], "iteration int, mse double")
+
+    return run
+
+
+@query(_rank1_sql("any_value(u) * sum(v * r / (u * v)) / sum(v)", "any_value(v) * sum(u * r / (u * v)) / sum(u)", None, 3, 1.0))
+def np_nmf_one_factor(spark, sf_dir):
+    return _rank1("np", "ones")(spark, sf_dir)
+
+
+@query(_rank1_sql("greatest(0, ({t} * sum(r * v) - 0.1) / ({t} * sum(v * v)))", "greatest(0, ({t} * sum(r * u) - 0.1) / ({t} * sum(u * u)))", "(n / 2.0) / (1 + se / 2)", 3, 10.0))
+def icm_nmf_one_factor(spark, sf_dir):
+    return _rank1("icm", "exp")(spark, sf_dir)
 
 
 # --- fits: rows only -----------------------------------------------------------------------------------------------------------
@@ -506,10 +588,15 @@ def nested_cross_validation(spark, sf_dir):
 
 @query()
 def kmeans_fit(spark, sf_dir):
+    """On executors: a cluster for each row of the larger matrix."""
     from ..operators.kmeans import MaskedKMeans
 
-    c = _small(spark, sf_dir)
-    found = MaskedKMeans(4, SEED).fit(c.i, c.j, c.r, c.n_rows, c.n_columns)
+    sides = spark_sides(*observed(spark, sf_dir))
+    try:
+        found = MaskedKMeans(4, SEED).fit_sides(*sides)
+    finally:
+        for s in sides:
+            s.close()
     return spark.createDataFrame([(int(i), int(x)) for i, x in enumerate(found)], "i long, cluster long")
 
 
@@ -525,17 +612,51 @@ def generate_nmtf_toy(spark, sf_dir):
 
 @query()
 def missing_fraction_sweep(spark, sf_dir):
-    return missing_sweep(spark, Setup("icm", Priors(rows=1.0, columns=1.0), "random", iterations=20, seed=SEED), 3, None, [0.1, 0.5], 2, 40, 30)
+    return missing_sweep(spark, Setup("icm", Priors(rows=1.0, columns=1.0), "random", iterations=50, seed=SEED), 10, None, [0.1, 0.3, 0.5, 0.7, 0.9])
+
+
+@query()
+def noise_ratio_sweep(spark, sf_dir):
+    return noise_sweep(spark, Setup("icm", Priors(rows=1.0, columns=1.0), "random", iterations=50, seed=SEED), 10, None, [0.0, 0.1, 0.5])
+
+
+@query()
+def convergence_history(spark, sf_dir):
+    cells = _small(spark, sf_dir)
+    return convergence(spark, Setup("vb", init="random", seed=SEED).model(3, None, SEED).fit(*cells.sides(), 30, cells)).drop("elapsed")
+
+
+@query()
+def timing_by_iteration(spark, sf_dir):
+    return timing(spark, Setup("icm", init="random", seed=SEED, iterations=10), _small(spark, sf_dir), 3, None, 4)
+
+
+@query()
+def greedy_search_cross_validation(spark, sf_dir):
+    return greedy_search_cv(spark, _small(spark, sf_dir), Setup("vb", iterations=15, init="random", seed=SEED), [1, 2], [1, 2], 3).frame(spark)
+
+
+def _kernels(c: Cells):
+    """Likeness of the filled matrix's rows and columns."""
+    filled = np.full((c.n_rows, c.n_columns), c.r.mean())
+    filled[c.i, c.j] = c.r
+    return [[np.exp(-((m[:, None] - m[None]) ** 2).mean(2) / 50)] for m in (filled, filled.T)]
+
+
+@query()
+def kernelized_nested_cross_validation(spark, sf_dir):
+    from ..operators.kernelized import KernelSetup, nested_cross_validate
+
+    c = _small(spark, sf_dir)
+    return nested_cross_validate(spark, *_kernels(c), c, KernelSetup(iterations=3), [1, 2], 2).frame(spark)
 
 
 @query()
 def kernelized_cross_validation(spark, sf_dir):
-    """Latent sizes compared by folds, with correlations of the filled matrix as kernels of either side."""
+    """Latent sizes compared by folds."""
     from ..operators.kernelized import KernelSetup, cross_validate
 
     c = _small(spark, sf_dir)
-    filled = np.full((c.n_rows, c.n_columns), c.r.mean())
-    filled[c.i, c.j] = c.r
-    kernels = [[np.exp(-((m[:, None] - m[None]) ** 2).mean(2) / 50)] for m in (filled, filled.T)]
+    kernels = _kernels(c)
     found, _ = cross_validate(spark, *kernels, c, KernelSetup(iterations=5), [1, 2], 2)
     return spark.createDataFrame([(k, v["MSE"], v["R^2"], v["Rp"]) for k, v in found.items()], "params string, mse double, r2 double, rp double")

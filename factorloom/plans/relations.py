@@ -24,9 +24,10 @@ def cells(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 def observed(spark: SparkSession, sf_dir: str, kind: str = "cb") -> tuple[DataFrame, int, int]:
     """obs(i, j, r), the number of rows and of columns."""
-    c = cells(spark, sf_dir, kind)
+    c = cells(spark, sf_dir, kind).persist()  # read several times; what is lost of it is computed again
+    n = c.agg(F.countDistinct("a").alias("a"), F.countDistinct("b").alias("b")).first()
     rows, columns = dense_index(c, "a", "i"), dense_index(c, "b", "j")
-    return c.join(rows, "a").join(columns, "b").select("i", "j", "r"), rows.count(), columns.count()
+    return c.join(rows, "a").join(columns, "b").select("i", "j", "r"), n.a, n.b
 
 
 def obs_sql(kind: str = "cb") -> str:

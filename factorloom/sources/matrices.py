@@ -2,29 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LABELS = ("cell_line", "cancer_type", "tissue")
 
 
-def _index(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """Row numbers in file order are not kept by a distributed reader; rows are numbered by their labels."""
-    return df.withColumn(name, (F.dense_rank().over(Window.orderBy(*columns)) - 1).cast("bigint"))
+def _numbered(lines: DataFrame, name: str, keep: Column | None = None) -> DataFrame:
+    """Lines read from files, numbered from 0 in the order of files and lines; only those that keep holds for.
+
+    A block of a file is read by one task in its order, so a line's number is its place among the block's lines and
+    the lines of the blocks before: one count for each block, no window over all lines."""
+    lines = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    if keep is not None:
+        lines = lines.where(keep)
+    ranked = lines.withColumn("_place", F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at")) - 1)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = lines.groupBy("_file", "_block").agg(F.count("*").alias("_n")).select("_file", "_block", before.alias("_before"))  # a row for each block
+    return ranked.join(blocks, ["_file", "_block"]).withColumn(name, (F.col("_place") + F.col("_before")).cast("bigint")).drop("_file", "_block", "_at", "_place", "_before")
 
 
 def read_sensitivity(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame, DataFrame, DataFrame]:
     """A table with a header, three label columns and a value column for each drug; an empty value is unobserved.
 
-    Returns obs(i, j, r), row labels (i, ...) and column labels (j, drug)."""
+    Returns obs(i, j, r), row labels (i, ...) and column labels (j, drug). Rows are numbered in file order: empty labels
+    (null) and equal ones name rows of their own."""
     head = spark.read.option("sep", sep).option("header", False).csv(path).first()
     drugs = [str(h) for h in head[3:]]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in LABELS] + [T.StructField(f"v{k}", T.DoubleType()) for k in range(len(drugs))])
     wide = spark.read.option("sep", sep).option("header", True).option("enforceSchema", True).option("nullValue", "").schema(schema).csv(path)
-    rows = _index(wide.select(*LABELS).distinct(), list(LABELS), "i")
+    wide = _numbered(wide, "i")
+    rows = wide.select("i", *LABELS)
     stacked = ", ".join(f"{k}L, `v{k}`" for k in range(len(drugs)))
-    obs = wide.join(F.broadcast(rows), list(LABELS)).selectExpr("i", f"stack({len(drugs)}, {stacked}) as (j, r)").where("r is not null")
+    obs = wide.selectExpr("i", f"stack({len(drugs)}, {stacked}) as (j, r)").where("r is not null")
     return obs, rows, spark.createDataFrame(list(enumerate(drugs)), "j long, drug string")
 
 
@@ -35,8 +46,8 @@ def read_masked(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 
 def read_matrix(spark: SparkSession, path: str, sep: str = r"\s+") -> DataFrame:
     """Text of numbers, a matrix row a line: obs(i, j, r), lines numbered in file order."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("i", "line"))
-    cells = lines.where(F.trim("line") != "").select("i", F.posexplode(F.split(F.trim("line"), sep)).alias("j", "v"))
+    line = F.regexp_replace(F.trim("value"), r"\r$", "")
+    cells = _numbered(spark.read.text(path), "i", F.trim(line) != "").select("i", F.posexplode(F.split(F.trim(line), sep)).alias("j", "v"))
     return cells.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.expr("try_cast(v as double)").alias("r"))
 
 
@@ -59,7 +70,7 @@ def _shift(obs: DataFrame, value, rows: int, columns: int, above) -> DataFrame:
 def write_sensitivity(obs: DataFrame, rows: DataFrame, drugs: list[str], path: str, value: str = "r") -> None:
     """Tab separated with a header; missing cells are empty."""
     wide = obs.groupBy("i").pivot("j", list(range(len(drugs)))).agg(F.first(value))
-    wide = rows.join(wide, "i", "left").drop("i").toDF(*LABELS, *drugs)
+    wide = rows.join(wide, "i", "left").orderBy("i").drop("i").toDF(*LABELS, *drugs)
     wide.write.option("sep", "\t").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
