@@ -5,6 +5,8 @@ consecutive turn numbers: a block yields its formatted segments and, for the mac
 state before it to the state after it. Functions compose, so a conversation is put together from one row for
 each block, and only a block is sorted turn by turn.
 
+Very long texts are escaped and formatted whole.
+
 Cases: a null role or text counts as empty; an unknown role leads to the error state and is formatted like any
 other; repeated rows are turns of their own; rows of a null conv_id form one conversation. An empty table gives
 an empty table. Extra columns are left out.

@@ -19,9 +19,12 @@ def arrow_limits(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests), one of our own."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, one of our own on a single machine (tests); on a
+    cluster, an error: a folder of the driver's machine would not be seen by the executors."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="factorloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -80,8 +83,8 @@ def sample_by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Connected components of edges(u, v) of any one orderable type: node, root (the smallest node reachable).
 
-    Large-star and small-star steps, each an aggregation with map-side combine and a join, so that a hub
-    of any degree is split; each round is written to the shared folder. No edges: an empty table.
+    Large-star and small-star steps, each an aggregation with map-side combine and a join. Both sides of a join are
+    written tables, so that Spark can split the partition of a hub of any degree. No edges: an empty table.
     """
     kind = edges.schema[0].dataType
     now = materialize(spark, edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -91,13 +94,13 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         if n == nodes and now.join(now.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        first = materialize(spark, both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = both.where("v > u").join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(spark, large.where("u <> v").distinct())
+        least = materialize(spark, large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         new = materialize(spark, small.where("u <> v").distinct())
-        forget(spark, now)
+        forget(spark, now, first, large, least)
         now = new
     out = now.groupBy("u").agg(F.min("v").alias("m"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -13,6 +13,7 @@ table gives an empty table. Very long texts are a shard of their own. Extra colu
 from __future__ import annotations
 
 import math
+import re
 from itertools import repeat
 
 import numpy as np
@@ -21,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, fresh
+from .common import arrow_limits, fresh, materialize
 from .fmindex import FMIndex
 
 #: A shard closes at so many bytes of text; the benchmark is sent to tasks in blocks of at most so many bytes.
 SHARD_BYTES, BLOCK_BYTES = 8 << 20, 32 << 20
 #: Words are runs of digits, letters and bytes from 0x80 on; A-Z are lower-cased; all else separates.
 FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -104,6 +106,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     at, width = docs.columns.index(text_col), len(docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(names["n_words"], T.LongType()), T.StructField(names["n_hit"], T.LongType()), T.StructField(names["items"], T.ArrayType(T.StringType())), T.StructField(names["spans"], SPAN)])
     for k in range(blocks):
+        if k:  # one block at a time: what the last has found is written
+            out = materialize(spark, out)
         block = [(r.id, bytes(r.text)) for r in items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).distinct().collect()]
         out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), at, width, size), schema)
     return out, names
@@ -159,9 +163,7 @@ def cut_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     """The text without the words of the given spans (and what stands between them)."""
     if not text or not spans:
         return text
-    import re
-
-    places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))]
+    places = [m.span() for m in WORD.finditer(text)]
     out, at = [], 0
     for a, b in spans:
         out.append(text[at : places[a][0]])

@@ -8,18 +8,21 @@ over all positions of its whole text.
 Words are runs of letters: A-Z are lower-cased, other ASCII characters separate, bytes from 0x80 on belong to
 words; longer words are cut into stretches of SPAN bytes, and every stretch is labelled.
 
-Cases: a text that is null or has no letter is "und" with score 0, as is every text if nothing was learned (no
+The training sample is bounded in rows (max_documents) and in the characters of each (max_chars): a stretch that
+begins at a place given by the id's hash. Labels are of every position of whole texts, however long.
+
+Cases: a text that is null or has no letter (numerals and signs are none) is "und" with score 0, as is every text if nothing was learned (no
 labelled rows). Rows with a null id or language are never learned from. Repeated rows get equal results. An
 empty table gives an empty table. Extra columns are carried through.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +32,7 @@ from .common import arrow_limits, fresh, sample_by_hash
 #: Bytes of a stretch, words kept in a task's table.
 SPAN, TABLE_WORDS = 24, 300_000
 FOLD = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def stretches(text: str) -> list[bytes]:

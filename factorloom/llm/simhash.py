@@ -6,7 +6,7 @@ within the threshold has its home among the anchors that the partner's own bits
 than the threshold of bits, so each fingerprint is replicated to exactly those anchors, and homes are compared
 with replicas anchor by anchor. No pair within the threshold can be missed.
 
-Cases: a null or empty text, or one without words, has fingerprint zero and is linked like any other. Equal
+Cases: a null or empty text, or one without words, has fingerprint zero and is linked like any other. Very long texts are read whole. Equal
 fingerprints are collapsed before the search, so groups of copies cost one row. Repeated rows of one doc_id
 share a component; in filtering exactly one row of a component stays. Null ids are kept apart as null.
 An empty table gives an empty table. Extra columns are carried through or left out, never read.
@@ -111,7 +111,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = materialize(spark, with_fingerprint(own, "fp", size=size).select("id", "fp"))
-    component = _component_of(spark, rows, threshold)
+    component = materialize(spark, _component_of(spark, rows, threshold))  # a table of its own, so that the join can split a hot fingerprint
     return rows.join(component, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
@@ -136,7 +136,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # Null ids name nothing: each of their components is told by its least fingerprint.
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = materialize(spark, with_fingerprint(narrow, "fp", size=size).select("id", "fp"))
-    named = _component_of(spark, rows, threshold)
+    named = materialize(spark, _component_of(spark, rows, threshold))
     kept = rows.join(named, "fp").where("id <=> component_id").groupBy("id", F.when(F.col("id").isNull(), F.col("root")).alias("root")).agg(F.count("*").alias("n"), F.min("fp").alias("fp"))
     kept = materialize(spark, kept)
     out = docs.where(F.col(id_col).isNotNull()).join(kept.where("id is not null").select(F.col("id").alias(keep), F.col("n").alias(n)), F.col(id_col) == F.col(keep), "inner")

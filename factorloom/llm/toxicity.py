@@ -7,13 +7,15 @@ keeps neutral words at exactly zero, so that a document's score doesn't drift wi
 
 Cases: a null or empty text gets the score of no evidence; rows with a null id or label are never learned from;
 of several labels of one document the greatest counts; with no labelled rows, or labels of one kind only, the
-score is the smoothed share of toxic labels. Repeated rows get equal scores; an empty table gives an empty
+score is the smoothed share of toxic labels. Whole texts are read, however long; the bound on what is learned from is
+that on labelled documents (max_rows). Repeated rows get equal scores; an empty table gives an empty
 table. Extra columns are carried through.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -76,16 +78,20 @@ class Model:
 
 def counterfactuals(words: set[str]) -> list[tuple[set[int], set[int]]]:
     """For each identity term among the words: (features lost, features gained) by each swap."""
-    out = []
-    for w in words & SWAPS.keys():
+    out, terms = [], words & SWAPS.keys()
+    if not terms:
+        return out
+    times = Counter(f for x in words for f in features_of(x))
+    for w in sorted(terms):
+        own = features_of(w)
+        lost = {f for f in own if times[f] == 1}
         for other in SWAPS[w]:
             if other not in words:
-                rest = {f for x in words - {w} for f in features_of(x)} if len(words) < 4000 else set()
-                out.append((set(features_of(w)) - rest, set(features_of(other)) - rest))
+                out.append((lost, {f for f in features_of(other) if not times[f] or f in lost}))
     return out
 
 
-def fit(rows: list[tuple[int, np.ndarray]], swaps: list[tuple[list[int], list[int]]], l1: float = 3e-5, penalty: float = 5.0, steps: int = 600, least_documents: int = 3, least_z: float = 3.0, max_features: int = 20_000) -> Model:
+def fit(rows: list[tuple[int, np.ndarray]], swaps: list[tuple[list[int], list[int]]], l1: float = 3e-5, penalty: float = 5.0, steps: int = 600, least_documents: int = 3, least_z: float = 3.0) -> Model:
     """rows: (label, distinct features); swaps: (features lost, features gained) of counterfactual sentences."""
     n = len(rows)
     y = np.array([r[0] for r in rows], np.float64)
@@ -100,7 +106,6 @@ def fit(rows: list[tuple[int, np.ndarray]], swaps: list[tuple[list[int], list[in
     z = np.abs(toxic - count * y.mean()) / np.sqrt(count * y.mean() * (1 - y.mean()))
     z[(count < least_documents)] = 0
     used = np.flatnonzero(z >= least_z)
-    used = used[np.argsort(-z[used], kind="stable")[:max_features]]
     if not len(used):
         return prior
     place = np.full(len(names), -1)

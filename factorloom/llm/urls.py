@@ -6,11 +6,11 @@ once; a stack holds the hosts of the rules whose intervals are open, and each of
 that the url's path starts with. The longest rule (host and path together) wins; on a tie, the longer host.
 
 Rules are sent to the tasks in blocks of at most a stated number of bytes; each further block is one more sweep
-of the rows, which keeps the better rule. Urls are never shuffled, so a host with most of the rows costs nothing.
+of the rows, whose results so far are written, which keeps the better rule: one block is in memory at a time. Urls are never shuffled, so a host with most of the rows costs nothing.
 
 Cases: a null url, or one without "://", has an empty host and path and takes the default verdict; a rule of
 null or without a host fits nothing; of repeated rules with different verdicts, block wins; ports and user
-names are part of the host. Empty tables give empty tables. Extra columns are carried through.
+names are part of the host; very long urls are read whole. Empty tables give empty tables. Extra columns are carried through.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ import math
 from bisect import bisect_right
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, fresh
+from .common import arrow_limits, fresh, materialize
 
 BLOCK_BYTES = 32 << 20
 
@@ -87,20 +87,27 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     names = {x: fresh(pages, x) for x in ("host", "path", "rule", "verdict", "size", "key")}
     url = F.coalesce(F.col(url_col), F.lit(""))
     rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring({_quoted(url_col)}, instr({_quoted(url_col)}, '://') + 3)")).otherwise("")
-    host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = _lowered(F.regexp_extract(rest, r"^[^/?#]*", 0))
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     out = pages.select("*", host.alias(names["host"]), path.alias(names["path"]), F.lit(None).cast("string").alias(names["rule"]), F.lit(default).alias(names["verdict"]), F.lit(-1).cast("bigint").alias(names["size"]))
     key = F.concat(F.array_join(F.reverse(F.split(F.col(names["host"]), r"\.", -1)), "."), F.lit("."))
     out = out.withColumn(names["key"], key).sortWithinPartitions(names["key"])
-    given = rules.select(F.coalesce(F.lower("host"), F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("verdict is not null").distinct()
+    given = rules.select(F.coalesce(_lowered(F.col("host")), F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("verdict is not null").distinct()
     total = given.agg(F.sum(F.length("host") + F.length("path") + 64)).first()[0] or 0
     blocks = max(1, math.ceil(total * 4 / block_bytes))
     for k in range(blocks):
+        if k:  # one block at a time: what the last has found is written
+            out = materialize(spark, out).sortWithinPartitions(names["key"])
         block = [tuple(r) for r in given.where(F.pmod(F.xxhash64("host"), F.lit(blocks)) == k).collect()]
         out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), [out.columns.index(names[x]) for x in ("key", "path", "rule", "verdict", "size")]), T.StructType(out.schema.fields))
     return out.drop(names["key"], names["size"]), {x: names[x] for x in ("host", "path", "rule", "verdict")}
 
 
+def _lowered(host: Column) -> Column:
+    """A-Z only, in rules and urls alike."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

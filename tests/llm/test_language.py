@@ -70,3 +70,9 @@ def test_the_stage_keeps_lettered_documents_where_nothing_is_learned(spark):
     out = drop_unidentified(df)
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 4]
     assert drop_unidentified(df.limit(0)).count() == 0
+
+
+def test_numerals_are_no_letters():
+    net = ByteNet(["a", "b"])
+    got = Reader(net).read(["½ ² ①", "Ⅳ", "ः 1", "x½", "漢", "1_2"])
+    assert [g[0] == "und" for g in got] == [True, True, True, False, False, True]

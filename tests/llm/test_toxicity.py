@@ -55,3 +55,14 @@ def test_nothing_to_learn(spark):
     assert none.weights == {} and none.score("a") == 0.5
     assert train(docs, spark.createDataFrame([(1, 0), (None, 1), (2, None)], "doc_id long, toxic int"), F.lit(True)).score("x") < 0.5
     assert Model(0.0).score(None) == 0.5
+
+
+def test_counterfactuals_of_documents_of_any_size():
+    from factorloom.llm.toxicity import counterfactuals, features_of
+
+    few = {"gay", "word"}
+    many = few | {f"x{k}y" for k in range(6000)} | {"lesbi", "queerest"}
+    for words in (few, many):
+        rest = {f for x in words - {"gay"} for f in features_of(x)}
+        want = [(set(features_of("gay")) - rest, set(features_of(o)) - rest) for o in ("lesbian", "bisexual", "straight", "queer") if o not in words]
+        assert counterfactuals(words) == want

@@ -45,3 +45,10 @@ def test_sweep_skips_closed_intervals():
     best = Rules([(f"h{k}.org", "/", "block") for k in range(500)] + [("org", "/", "allow")]).sweep()
     hosts = sorted(["h7.org", "x.h7.org", "zz.org", "h499.org", "org"], key=host_key)
     assert [best(host_key(h), "/p")[2] for h in hosts] == [brute(f"a://{h}/p", [(f"h{k}.org", "/", "block") for k in range(500)] + [("org", "/", "allow")])[2] for h in hosts]
+
+
+def test_rules_and_urls_fold_case_alike(spark):
+    pages = spark.createDataFrame([(1, "http://É.COM/x"), (2, "http://é.com/x")], "page_id long, url string")
+    rules = spark.createDataFrame([("É.Com", "/", "block")], "host string, path string, verdict string")
+    out, c = judge(pages, rules)
+    assert {r.page_id: r[c["verdict"]] for r in out.collect()} == {1: "block", 2: "allow"}
