@@ -3,11 +3,12 @@
 Where no piece of the model holds the whitespace marker after another character, merges never cross from a
 word into the marker that opens the next, so a text is segmented word by word. Each task keeps a bounded table
 of the distinct marked words it has met (a marker run and what follows it up to the next); the library segments
-each of them once, and ids are joined back by position. Nothing is shuffled. A model with crossing pieces, or
+each of them once a task, and ids are joined back by position. One table for all tasks would shuffle every word of
+every text, or grow with the corpus in every task; so the table is the task's own, and nothing is shuffled. A model with crossing pieces, or
 one that rewrites texts before segmenting, is found by a check, and its texts are encoded whole.
 
 Cases: a null text is encoded as an empty one (only begin and end ids); U+2581 in a text is the marker itself,
-as in the library; very long words are encoded like any other but not kept in the table. An empty table gives
+as in the library; repeated rows get equal results; very long texts are encoded whole, and very long words are encoded like any other but not kept in the table. An empty table gives
 an empty table. Extra columns are carried through.
 """
 
@@ -24,83 +25,90 @@ from pyspark.sql import types as T
 from .common import arrow_limits, fresh
 
 #: The marker, and the bounds of a task's table (words, bytes of a word).
-MARK, TABLE_WORDS, WORD_BYTES = "▁", 400_000, 400
+MARK, TABLE_WORDS, WORD_BYTES = "▁", 800_000, 400
 PROBES = ("a  b", " a ", "ﬁ Ⅳ é", "a b\t c\r\nd", "　x​y", "Ａ１")
 
 
 class Words:
-    """Ids (as bytes) and decoded text of each distinct marked word."""
+    """Ids (as bytes) and decoded text of each distinct marked word, by the word without its marker."""
 
     def __init__(self, model: str):
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.ids: dict[str, bytes] = {}
-        self.said: dict[bytes, str] = {}
-        pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()))
+        self.table: dict[str, tuple[bytes, str]] = {}
+        pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        self.opens = np.array([p.startswith(MARK) for p in pieces])
         self.by_word = not any(MARK in p.lstrip(MARK) for p in pieces) and all(self._same(t) for t in PROBES)
         self.ends = (np.array([sp.bos_id()], "<u4").tobytes(), np.array([sp.eos_id()], "<u4").tobytes())
 
     def _same(self, text: str) -> bool:
         """Whether encoding and decoding word by word gives what the library gives."""
-        parts = self._split(text)
-        coded = self._segment(parts)
+        coded = self._segment(self._split(text))
         ids = [i for c in coded for i in c]
         return ids == self.sp.encode(text) and "".join(" " + self.sp.decode(c) for c in coded)[1:] == self.sp.decode(ids)
 
     def _segment(self, words: list[str]) -> list[list[int]]:
-        """The library's ids of marked words; it puts the first marker itself, but not before nothing."""
+        """The library's ids of marked words; it puts the marker itself, but not before nothing."""
         alone = [self.sp.piece_to_id(MARK)]
-        return [ids if w != " " else alone for w, ids in zip(words, self.sp.encode([w[1:] for w in words], num_threads=1))]
+        return [ids if w else alone for w, ids in zip(words, self.sp.encode(words, num_threads=1))]
 
     @staticmethod
     def _split(text: str) -> list[str]:
-        """The marked words: the library puts a marker before the text, and each run of markers opens a word."""
-        return MARKED.findall(" " + text.replace(MARK, " ")) if text else []
-
-    def _learn(self, words) -> dict[str, bytes]:
-        """The ids of these words; those that fit are kept."""
-        new = [w for w in words if w not in self.ids]
-        if not new:
-            return self.ids
-        if len(self.ids) + len(new) > TABLE_WORDS:
-            self.ids.clear()
-            self.said.clear()
-            new = list(words)
-        rest = {}
-        for w, ids in zip(new, self._segment(new)):
-            packed = np.array(ids, "<u4").tobytes()
-            (self.ids if len(w) <= WORD_BYTES else rest)[w] = packed
-            if packed not in self.said and len(w) <= WORD_BYTES:
-                self.said[packed] = " " + self.sp.decode(ids)
-        return {**self.ids, **rest} if rest else self.ids
+        """The marked words, each without its first marker: the library puts a marker before the text, and each run of
+        markers opens a word."""
+        if MARK in text:
+            text = text.replace(MARK, " ")
+        if not text or "  " in text or text[0] == " " or text[-1] == " ":
+            return [w[1:] for w in MARKED.findall(" " + text)] if text else []
+        return text.split(" ")
+
+    def _learn(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
+        """Segments these distinct words once and keeps them in the table, but for long ones, which are returned.
+
+        Words that open with one marker go to the library as one text: the marker opens each word's ids again. They
+        decode to themselves if the whole does."""
+        rest, odd = {}, words
+        plain = [w for w in words if w and w[0] != " "]
+        if plain:
+            line = " ".join(plain)
+            ids = self.sp.encode(line)
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == len(plain):
+                same = self.sp.decode(ids) == line
+                packed, cuts = np.array(ids, "<u4").tobytes(), (4 * np.append(at, len(ids))).tolist()
+                for w, a, b in zip(plain, cuts, cuts[1:]):
+                    own = packed[a:b]
+                    said = w if same else self.sp.decode(ids[a // 4 : b // 4])
+                    (self.table if len(w) < WORD_BYTES else rest)[w] = own, " " + said
+                odd = [w for w in words if not w or w[0] == " "]
+        for w, ids in zip(odd, self._segment(odd)):
+            (self.table if len(w) < WORD_BYTES else rest)[w] = np.array(ids, "<u4").tobytes(), " " + self.sp.decode(ids)
+        return rest
 
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text, its ids with begin and end as bytes, and the decoded text."""
-        if not self.by_word:
-            out = []
-            for t in texts:
-                ids = self.sp.encode(t, add_bos=True, add_eos=True)
-                out.append((np.array(ids, "<u4").tobytes(), self.sp.decode(ids)))
-            return out
         out = []
-        for t in texts:
+        for t in texts if not self.by_word else ():
+            ids = self.sp.encode(t, add_bos=True, add_eos=True)
+            out.append((np.array(ids, "<u4").tobytes(), self.sp.decode(ids)))
+        for t in texts if self.by_word else ():
             words = self._split(t)
-            table = self._learn(dict.fromkeys(words))
-            parts = [table[w] for w in words]
-            out.append((b"".join((self.ends[0], *parts, self.ends[1])), self._decode(parts)))
+            try:
+                parts = list(map(self.table.__getitem__, words))
+            except KeyError:
+                new = [w for w in dict.fromkeys(words) if w not in self.table]
+                if len(self.table) + len(new) > TABLE_WORDS:
+                    self.table.clear()
+                    new = list(dict.fromkeys(words))
+                rest, held = self._learn(new), self.table
+                parts = list(map(held.__getitem__, words)) if not rest else [held[w] if w in held else rest[w] for w in words]
+            ids, said = zip(*parts) if parts else ((), ())
+            out.append((b"".join((self.ends[0], *ids, self.ends[1])), "".join(said)[1:]))
         return out
 
-    def _decode(self, parts: list[bytes]) -> str:
-        said = self.said
-        try:
-            return "".join([said[p] for p in parts])[1:]
-        except KeyError:
-            return "".join([said[p] if p in said else " " + self.sp.decode(np.frombuffer(p, "<u4").tolist()) for p in parts])[1:]
-
 
 MARKED = re.compile(r" +[^ ]*")
-FIELDS = {"n_tokens": T.LongType(), "ids": T.BinaryType(), "decoded": T.StringType()}
 
 
 def encode(docs: DataFrame, model: str, text_col: str = "text", digests: bool = False, keep_text: bool = True) -> tuple[DataFrame, dict[str, str]]:

@@ -48,7 +48,7 @@ def test_table_stays_bounded(monkeypatch):
         t = " ".join(f"w{k}x{j}" for j in range(20))
         (ids, said), = words.encode_all([t])
         assert np.frombuffer(ids, "<u4").tolist() == sp.encode(t, add_bos=True, add_eos=True) and said == t
-        assert len(words.ids) <= 50
+        assert len(words.table) <= 50
 
 
 def test_model_with_crossing_pieces_is_encoded_whole():
