@@ -1,6 +1,7 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Every line of every file, and the file as a whole, is compared with the templates. Term frequencies are those of
+Every line of every file, each two neighbouring lines that have words, and the file as a whole are compared with the
+templates. Term frequencies are those of
 the line; document frequencies of the templates' words are counted over all files; with all_words, as the query asks,
 those of all words of lines that can match, so that the score does not fade as the table grows. A file whose best likeness
 reaches the threshold has that licence of its own. A file named like a licence file, or of which most words (by
@@ -8,7 +9,10 @@ default four fifths) lie in matching lines, speaks for its directory and all bel
 takes that of the nearest such directory. Ancestors are enumerated once for each distinct directory, not for each
 file, and joined by path.
 
-Cases: a null text has no licence of its own; a null path is in no directory and inherits nothing; ties between
+Every text is matched once, and what was found is written: files beside one another in one directory, however many,
+are joined with what speaks for it from written tables, so that Spark can split a hot directory.
+
+Cases: very long texts are read whole; a null text has no licence of its own; a null path is in no directory and inherits nothing; ties between
 templates go to the first name; several licence files of one directory: the greatest likeness, then the first
 name, speaks. Repeated rows get equal results. Empty tables give empty tables. Extra columns are carried through.
 """
@@ -24,9 +28,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, fresh
-
-#: Header notices and opening lines of licence files.
+from .common import arrow_limits, fresh, materialize
+
+#: Fixed value: the permission notice of the MIT licence.
+MIT_TEXT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
+    "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+    "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies "
+    "or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+    "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+#: Fixed value: the permission notice of the ISC licence.
+ISC_TEXT = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+    "permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES "
+    "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS "
+    "OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+#: Header notices, opening lines of licence files and full notices.
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004"),
     "BSD-3-Clause": ("Licensed under the BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
@@ -35,8 +55,9 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2", "GNU General Public License Version 2, June 1991"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", "GNU General Public License Version 3, 29 June 2007"),
+    "ISC": ("Licensed under the ISC License", ISC_TEXT),
     "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3", "GNU Lesser General Public License Version 3, 29 June 2007"),
-    "MIT": ("Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    "MIT": ("Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", MIT_TEXT),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0"),
 }
 LICENCE_FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying)([._-][^/]*)?$"
@@ -85,26 +106,45 @@ class Matcher:
 
     def scan(self, text: str | None, least: float) -> tuple[str | None, float, int | None, float]:
         """The licence, its likeness, the line (null: the file as a whole), and the share of the words in matching lines."""
-        lines = (text or "").split("\n")
         found: tuple[float, str | None, int | None] = (0.0, None, None)
-        total = matched = 0
-        everything: list[str] = []
-        for k, line in enumerate(lines):
-            words = words_of(line)
-            total += len(words)
-            everything += words
+        sizes: dict[int, int] = {}
+        matched: set[int] = set()
+        for words, first, kind in units(text):
+            if kind == LINE:
+                sizes[first], now = len(words), first
             score, name = self.best(words)
             if score >= least:
-                matched += len(words)
-                if score > found[0] + 1e-12:
-                    found = (score, name, k)
-        if len(lines) > 1:
-            score, name = self.best(everything)
-            if score >= least:
-                matched = total
+                if kind == LINE:
+                    matched.add(first)
+                elif kind == PAIR:
+                    matched.update((first, now))
+                else:
+                    matched.update(sizes)
                 if score > found[0] + 1e-12:
-                    found = (score, name, None)
-        return found[1], found[0], found[2], matched / total if total else 0.0
+                    found = (score, name, first)
+        total = sum(sizes.values())
+        return found[1], found[0], found[2], sum(sizes[k] for k in matched) / total if total else 0.0
+
+
+LINE, PAIR, WHOLE = range(3)
+
+
+def units(text: str | None):
+    """What is compared of a text: (words, first line, kind) of each line, of each two neighbouring lines that have words,
+    and of the whole (first line: null) if it has more than two such lines."""
+    before: tuple[list[str], int] | None = None
+    lines = []
+    for k, line in enumerate((text or "").split("\n")):
+        words = words_of(line)
+        if not words:
+            continue
+        lines.append(words)
+        yield words, k, LINE
+        if before:
+            yield before[0] + words, before[1], PAIR
+        before = (words, k)
+    if len(lines) > 2:
+        yield [w for words in lines for w in words], None, WHOLE
 
 
 def frequencies(files: DataFrame, text_col: str, vocabulary: set[str]) -> tuple[int, dict[str, int]]:
@@ -133,8 +173,7 @@ def matchable(files: DataFrame, text_col: str, templates: dict[str, tuple[str, .
         for b in batches:
             seen: set[str] = set()
             for text in b.column(0).to_pylist():
-                lines = [words_of(line) for line in (text or "").split("\n")]
-                for words in [*lines, sum(lines, [])] if len(lines) > 1 else lines:
+                for words, _, _ in units(text):
                     if matcher.best(words)[0] >= least:
                         seen.update(words)
             yield pa.RecordBatch.from_arrays([pa.array(sorted(seen - matcher.vocabulary), pa.string())], ["word"])
@@ -142,8 +181,8 @@ def matchable(files: DataFrame, text_col: str, templates: dict[str, tuple[str, .
     return {r.word for r in files.select(text_col).mapInArrow(run, "word string").distinct().collect()}
 
 
-def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = 0.8, file_share: float = 0.8, all_words: bool = False) -> tuple[DataFrame, dict[str, str]]:
-    """files with new columns, named by the returned dict: license, score, line (their own), inherited, inherited_from
+def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = 0.8, file_share: float = 0.8, all_words: bool = False, keep_text: bool = True) -> tuple[DataFrame, dict[str, str]]:
+    """files (without the text, unless keep_text) with new columns, named by the returned dict: license, score, line (their own), inherited, inherited_from
     (a directory; "" is the root), effective."""
     spark = files.sparkSession
     arrow_limits(spark)
@@ -154,30 +193,34 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
         df |= frequencies(files, text_col, more)[1]
     at = files.columns.index(text_col)
     kinds = {"license": T.StringType(), "score": T.DoubleType(), "line": T.IntegerType(), "share": T.DoubleType()}
-    schema = T.StructType([*files.schema.fields, *(T.StructField(names[k], kind) for k, kind in kinds.items())])
+    keep = [k for k, c in enumerate(files.columns) if keep_text or c != text_col]
+    kept = [files.columns[k] for k in keep]
+    schema = T.StructType([*(files.schema.fields[k] for k in keep), *(T.StructField(names[k], kind) for k, kind in kinds.items())])
 
     def run(batches):
         matcher = Matcher(templates, n, df)
         for b in batches:
             found = list(zip(*(matcher.scan(t, least) for t in b.column(at).to_pylist()))) or [[]] * 4
             made = [pa.array(x, kind) for x, kind in zip(found, (pa.string(), pa.float64(), pa.int32(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], schema.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *made], schema.names)
 
     path = F.col(path_col)
     rows = files.mapInArrow(run, schema).withColumn(names["dir"], F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), ""))
+    rows = materialize(spark, rows)
     own = F.col(names["license"])
     speaks = rows.where(own.isNotNull() & F.col(names["dir"]).isNotNull() & (path.rlike(LICENCE_FILE) | (F.col(names["share"]) >= file_share)))
-    given = speaks.groupBy(F.col(names["dir"]).alias("ancestor")).agg(F.min_by(own, F.struct(-F.col(names["score"]), own)).alias("given"))
-    dirs = files.select(F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), "").alias("d")).where("d is not null").distinct()
+    given = speaks.groupBy(F.col(names["dir"]).alias("ancestor")).agg(F.min_by(own, F.struct(-F.round(names["score"], 9), own)).alias("given"))
+    dirs = rows.select(F.col(names["dir"]).alias("d")).where("d is not null").distinct()
     parts = F.split("d", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("ancestor")))
     above = dirs.select("d", F.explode(F.when(F.col("d") == "", F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("ancestor")))).otherwise(above)).alias("a")).select("d", "a.depth", "a.ancestor")
     nearest = above.join(given, "ancestor").groupBy("d").agg(F.max_by(F.struct("given", "ancestor"), "depth").alias("n")).select("d", F.col("n.given"), F.col("n.ancestor"))
     at_dir, given_col, from_col = (fresh(rows, x) for x in ("at_dir", "given", "from"))
+    nearest = materialize(spark, nearest)
     out = rows.join(nearest.toDF(at_dir, given_col, from_col), F.col(names["dir"]) == F.col(at_dir), "left")
     inherits = own.isNull()
     out = out.select(
-        *(F.col(c) for c in files.columns), own, F.col(names["score"]), F.col(names["line"]),
+        *(F.col(c) for c in kept), own, F.col(names["score"]), F.col(names["line"]),
         F.when(inherits, F.col(given_col)).alias(names["inherited"]), F.when(inherits, F.col(from_col)).alias(names["inherited_from"]), F.coalesce(own, F.col(given_col)).alias(names["effective"]),
     )
     return out, {x: names[x] for x in ("license", "score", "line", "inherited", "inherited_from", "effective")}

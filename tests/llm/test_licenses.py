@@ -27,24 +27,19 @@ def brute(files, least=0.8, share=0.8):
 
     own, speaks = {}, {}
     for i, path, t in files:
-        lines = (t or "").split("\n")
-        words = [words_of(x) for x in lines]
-        cand, matched = [], 0
-        for k, w in enumerate(words):
-            s, name = top(w)
+        words = [w for x in (t or "").split("\n") if (w := words_of(x))]
+        cand, matched = [], set()
+        spans = [(k, k + 1) for k in range(len(words))] + [(k, k + 2) for k in range(len(words) - 1)] + [(0, len(words))] * (len(words) > 2)
+        for x, y in spans:
+            s, name = top(sum(words[x:y], []))
             if s >= least:
                 cand.append((s, name))
-                matched += len(w)
-        total = sum(map(len, words))
-        if len(lines) > 1:
-            s, name = top(sum(words, []))
-            if s >= least:
-                cand.append((s, name))
-                matched = total
+                matched.update(range(x, y))
+        total, matched = sum(map(len, words)), sum(len(words[k]) for k in matched)
         own[i] = max(cand, key=lambda x: round(x[0], 10)) if cand else (0.0, None)
         if own[i][1] and path is not None and (re.search(LICENCE_FILE, path) or total and matched / total >= share):
             d = path.rpartition("/")[0]
-            speaks[d] = min(speaks.get(d, (9, "")), (-own[i][0], own[i][1]))
+            speaks[d] = min(speaks.get(d, (9, "")), (-round(own[i][0], 9), own[i][1]))
     out = {}
     for i, path, t in files:
         inherited = where = None
@@ -92,3 +87,14 @@ def test_a_header_with_common_words_does_not_fade_with_the_table(spark):
     small, large = scores(200), scores(20000)
     assert small[0] == large[0] == {"MIT"}
     assert small[1] > 0.9 and abs(small[1] - large[1]) < 0.01
+
+
+def test_a_head_over_two_lines_and_a_whole_notice(spark):
+    from factorloom.llm.licenses import MIT_TEXT
+
+    broken = "\n".join(MIT_TEXT[k : k + 70] for k in range(0, len(MIT_TEXT), 70))
+    files = [(1, "a/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) someone, someplace"), (2, "a/x.c", "int main"), (3, "b/LICENSE", "Copyright (c) 2020 someone\n\n" + broken), (4, "b/c/y", "text")]
+    files += [(10 + k, f"d/{k}", "some other words of the file %d" % k) for k in range(30)]
+    out, c = scan(spark.createDataFrame(files, "doc_id long, path string, text string"), all_words=True, keep_text=False)
+    assert "text" not in out.columns
+    assert {r.doc_id: r[c["effective"]] for r in out.where("doc_id < 10").collect()} == {1: "GPL-2.0", 2: "GPL-2.0", 3: "MIT", 4: "MIT"}
