@@ -4,7 +4,11 @@ Canonical text: compatibility composition (NFKC), full case folding, composed ag
 space, none at the ends. Fingerprint: two xxhash64 of it with different seeds, 128 bits. Inside each bucket of
 equal hashes the canonical bytes are compared: the bucket's least and greatest text are aggregated, with
 map-side combine, so that a bucket of any size costs one row a task; where they differ, the distinct texts of
-the bucket are numbered, and the number becomes part of the fingerprint.
+the bucket are numbered, and the number becomes part of the fingerprint. Edited texts are compared in the same way
+wherever their hash meets another's; which ones do is found from hashes alone.
+
+Very long texts are read whole. A table is cut into at most ID_BUCKETS ranges of ids, each of them one task's window:
+rows of one repeated id, and those of null ids, are in one range.
 
 Cases: a null text counts as empty. Repeated rows and equal texts have equal fingerprints. The order of documents
 is doc_id descending, null ids last, ties by text (null as empty); after the last comes the first, and a table's
@@ -16,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import forget, materialize
+
 ICU_NORMAL, ICU_CHARACTER = "com.ibm.icu.text.Normalizer", "com.ibm.icu.lang.UCharacter"
 #: Buckets of consecutive ids for the search of the next document: at most so many.
 ID_BUCKETS = 1024
@@ -77,13 +83,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     canon = rows.select("id", "text", canonical(F.col("text")).alias("canon"))
     hashed = canon.select("id", "text", "canon", *(h.alias(f"h{k + 1}") for k, h in enumerate(hashes(F.col("canon")))))
-    mixed = mixed_buckets(hashed)
-    split = not mixed.isEmpty()
+    mixed = materialize(rows.sparkSession, mixed_buckets(hashed))
     full = with_next(hashed.drop("canon"))
     full = full.withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
     full = full.withColumn("e_canon", canonical(F.col("edited")))
     full = full.select("*", *(h.alias(f"e{k + 1}") for k, h in enumerate(hashes(F.col("e_canon")))))
 
+    mixed = mixed.union(materialize(rows.sparkSession, _mixed_with_edited(hashed, full)))
+    split = not mixed.isEmpty()
+
     def near(a: str, b: str, same: Column) -> Column:
         equal = (F.col(f"{a}1") == F.col(f"{b}1")) & (F.col(f"{a}2") == F.col(f"{b}2"))
         return F.when(equal, F.when(same, 1.0).otherwise(0.0)).otherwise(0.0)
@@ -99,11 +107,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return full.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def _mixed_with_edited(hashed: DataFrame, full: DataFrame) -> DataFrame:
+    """The buckets that hold an edited text and other bytes. An edited text that is its own document's again is no new one."""
+    same = (F.col("e1") == F.col("h1")) & (F.col("e2") == F.col("h2")) & (canonical(F.col("text")) == F.col("e_canon"))
+    pairs = materialize(hashed.sparkSession, full.select("h1", "h2", "e1", "e2", same.alias("same")))
+    marked = pairs.select("h1", "h2", F.lit(0).alias("edited")).union(pairs.where("not same").select("e1", "e2", F.lit(1)))
+    met = marked.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("edited").alias("edited")).where("n > 1 and edited = 1").select("h1", "h2")
+    met = materialize(hashed.sparkSession, met)
+    forget(hashed.sparkSession, pairs)
+    edited = full.select(F.col("e1").alias("h1"), F.col("e2").alias("h2"), F.col("e_canon").alias("canon"))
+    both = [x.select("h1", "h2", "canon").join(met, ["h1", "h2"], "left_semi") for x in (hashed, edited)]
+    return mixed_buckets(both[0].union(both[1]))
+
+
 def _numbered(hashed: DataFrame, mixed: DataFrame, full: DataFrame) -> DataFrame:
     """Where a bucket holds different bytes, append the number of the distinct text to the fingerprints of all but its first."""
     full = full.withColumn("canon", canonical(F.col("text")))
     both = full.select("h1", "h2", "canon").union(full.select("e1", "e2", "e_canon"))
-    distinct = both.join(mixed, ["h1", "h2"], "left_semi").distinct()
+    distinct = both.join(mixed.distinct(), ["h1", "h2"], "left_semi").distinct()
     number = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("canon")) - 1
     table = distinct.select("h1", "h2", "canon", F.when(number > 0, F.concat(F.lit("-"), number.cast("string"))).otherwise("").alias("no"))
     own = table.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.col("canon").alias("x"), F.col("no").alias("own_no"))

@@ -57,3 +57,14 @@ def test_many_parts(spark, monkeypatch):
 
 def test_equal_hashes_of_different_bytes_are_told_apart(spark):
     check(spark, ROWS + [(30, "abc"), (31, "abd")], hashes=lambda c: [F.pmod(F.xxhash64(c), F.lit(2)), F.lit(0).cast("bigint")])
+
+
+def test_an_edited_text_that_meets_another_hash_is_told_apart(spark):
+    # The edited "ab" is "ac"; its hash is made that of "cd".
+    check(spark, [(2, "ab"), (1, "cd")], hashes=lambda c: [F.when(c.isin("ac", "cd"), 1).otherwise(F.xxhash64(c)), F.lit(0).cast("bigint")])
+
+
+def test_columns_of_clashing_names_and_long_texts(spark):
+    df = spark.createDataFrame([(1, "a" * 200_000, 1, "x"), (2, "b", 2, "y")], "doc_id long, text string, h1 int, bucket string")
+    got = {r.doc_id: (r.n_chars, r.near_edited) for r in fp.fingerprints(df).collect()}
+    assert got == {1: (200_000, 0.0), 2: (1, 1.0)}
