@@ -111,18 +111,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = materialize(spark, with_fingerprint(own, "fp", size=size).select("id", "fp"))
-    component = materialize(spark, _component_of(spark, rows, threshold))  # a table of its own, so that the join can split a hot fingerprint
+    component = _component_of(spark, rows, threshold)
     return rows.join(component, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def _component_of(spark: SparkSession, rows: DataFrame, threshold: int) -> DataFrame:
-    """fp -> component_id and root (the component's least fingerprint), for rows (id, fp) that are already written."""
+    """fp -> component_id and root (the component's least fingerprint), for rows (id, fp) that are already written.
+
+    A written table, so that a join with it can split a hot fingerprint."""
     prints = materialize(spark, rows.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components(spark, linked(spark, prints, threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
     roots = materialize(spark, roots)
     least = prints.join(roots, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("first").alias("least"))
     reach = roots.join(least, "root").select("node", "root", "least")
-    return prints.join(reach, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("least", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    out = prints.join(reach, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("least", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    out = materialize(spark, out)
+    forget(spark, prints, roots)
+    return out
 
 
 def hex16(fp: Column) -> Column:
@@ -136,10 +141,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # Null ids name nothing: each of their components is told by its least fingerprint.
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = materialize(spark, with_fingerprint(narrow, "fp", size=size).select("id", "fp"))
-    named = materialize(spark, _component_of(spark, rows, threshold))
+    named = _component_of(spark, rows, threshold)
     kept = rows.join(named, "fp").where("id <=> component_id").groupBy("id", F.when(F.col("id").isNull(), F.col("root")).alias("root")).agg(F.count("*").alias("n"), F.min("fp").alias("fp"))
     kept = materialize(spark, kept)
-    out = docs.where(F.col(id_col).isNotNull()).join(kept.where("id is not null").select(F.col("id").alias(keep), F.col("n").alias(n)), F.col(id_col) == F.col(keep), "inner")
+    forget(spark, rows, named)
+    # The ids that stay have no bound: they are merged with the documents, not broadcast, whatever their number.
+    ids = kept.where("id is not null").select(F.col("id").alias(keep), F.col("n").alias(n)).hint("merge")
+    out = docs.where(F.col(id_col).isNotNull()).join(ids, F.col(id_col) == F.col(keep), "inner")
     result = out.where(F.col(n) == 1).select(docs.columns)
     # Rows that repeat an id: one of them stays, the one whose text comes first.
     first = F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col).isNotNull(), F.col(text_col))).alias(fp)

@@ -370,13 +370,16 @@ def _near(docs: DataFrame, made: DataFrame, bands: int, likeness: float) -> Data
     forget(spark, shared, met)
     roots = materialize(spark, components(spark, linked(buckets, likeness)))
     forget(spark, buckets, lines)
-    return roots.select("node.a", "node.b", "root")
+    out = roots.select("node.a", "node.b", "root")
+    out._kept_at = roots._kept_at
+    return out
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, recall: float = 0.99) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, recall: float = 0.99, written: list[DataFrame] | None = None) -> DataFrame:
     """A row for each paragraph that has its like in another document: id, own (hash of the row's text), pos (first
     word), size (words), root_id, root_pos, root_size, root_a (the component's smallest, and its content), removed
-    (whether it stands in another document than that)."""
+    (whether it stands in another document than that). written gets the tables that the result reads, to be deleted
+    after it."""
     spark = docs.sparkSession
     arrow_limits(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("text")).where("id is not null and text is not null")
@@ -390,6 +393,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lik
         F.coalesce("root.size", F.col("place").bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("root_size"), F.coalesce("root.a", "a").alias("root_a"),
     )
     found = materialize(spark, found)  # a table of its own, so that the join can split whatever repeats most
+    forget(spark, near)
+    if written is not None:
+        written += [made, found]
     out = made.select("id", "own", "pos", "size", "a", "b").join(found, ["a", "b"])
     return out.select("id", "own", "pos", "size", "root_id", "root_pos", "root_size", "root_a", (F.col("id") != F.col("root_id")).alias("removed"))
 
@@ -492,11 +498,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     drop_empty: rows of which no word is left are dropped; otherwise their text is empty."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    ends = materialize(spark, _runs(repeats(docs, id_col, text_col, likeness).where("removed")))
+    written: list[DataFrame] = []
+    ends = materialize(spark, _runs(repeats(docs, id_col, text_col, likeness, written=written).where("removed")))
+    forget(spark, *written)
+    written = [ends]
     beside = materialize(spark, _beside(rows, ends))
     words = F.when(F.col("side") == 0, F.col("before")).otherwise(F.col("after"))
     ends = ends.join(beside, ["root_id", "root_pos", "root_size", "root_a"], "left").select("id", "own", "start", "stop", "side", F.coalesce(words, F.array().cast("array<bigint>")).alias("words"))
     lists = materialize(spark, ends.groupBy("id", "own").agg(F.collect_list(F.struct("start", "stop", "side", "words")).alias("runs")))
+    forget(spark, *written, beside)
     key, own, runs = (fresh(docs, x) for x in ("key", "own", "runs"))
     lists = lists.select(F.col("id").alias(key), F.col("own").alias(own), F.col("runs").alias(runs))
     out = docs.join(lists, (F.col(id_col) == F.col(key)) & (F.xxhash64(text_col) == F.col(own)), "left").select(*(docs[c] for c in docs.columns), F.col(runs))
