@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm import decontaminate, language, pieces, simhash, substrings
-from factorloom.llm.common import materialize
+from factorloom.llm.common import forget, materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +58,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(spark, stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(spark, stage(spark, docs, sf_dir))
+        forget(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
