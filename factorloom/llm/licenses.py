@@ -3,13 +3,15 @@
 Every line of every file, each two neighbouring lines that have words, and the file as a whole are compared with the
 templates. Term frequencies are those of
 the line; document frequencies of the templates' words are counted over all files; with all_words, as the query asks,
-those of all words of lines that can match, so that the score does not fade as the table grows. A file whose best likeness
+those of all words of lines that can match, so that the score does not fade as the table grows. Those words stay in
+tables: what the driver gets is a filter of SLOTS bits, by which tasks leave out most other words; the counts come back
+to the texts that have such lines, one row for each such text. A file whose best likeness
 reaches the threshold has that licence of its own. A file named like a licence file, or of which most words (by
 default four fifths) lie in matching lines, speaks for its directory and all below it; a file without a licence of its own
 takes that of the nearest such directory. Ancestors are enumerated once for each distinct directory, not for each
 file, and joined by path.
 
-Every text is matched once, and what was found is written: files beside one another in one directory, however many,
+What was found is written: files beside one another in one directory, however many,
 are joined with what speaks for it from written tables, so that Spark can split a hot directory.
 
 Cases: very long texts are read whole; a null text has no licence of its own; a null path is in no directory and inherits nothing; ties between
@@ -19,16 +21,20 @@ name, speaks. Repeated rows get equal results. Empty tables give empty tables. E
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, fresh, materialize
+from .common import arrow_limits, forget, fresh, materialize
 
 #: Fixed value: the permission notice of the MIT licence.
 MIT_TEXT = (
@@ -62,6 +68,8 @@ TEMPLATES = {
 }
 LICENCE_FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying)([._-][^/]*)?$"
 WORD = re.compile(r"[a-z0-9]+")
+#: Places of the filter of words that are counted.
+SLOTS = 1 << 20
 
 
 def words_of(text: str) -> list[str]:
@@ -69,33 +77,49 @@ def words_of(text: str) -> list[str]:
 
 
 class Matcher:
-    """Cosine of TF-IDF vectors. Words outside the templates of which df has nothing count as words of one document in
-    the vector's length, or weigh rare."""
+    """Cosine of TF-IDF vectors. df: of the templates' words; other words of which a call's own counts have nothing count
+    as words of one document in the vector's length, or weigh rare."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]], n: int, df: dict[str, int], rare: float | None = None):
         self.n, self.df = n, df
-        self.rare = self._idf(None) if rare is None else rare
+        self.rare = self._weight(1) if rare is None else rare
         self.templates = []
         for name in sorted(templates):
             for text in templates[name]:
-                v = {w: c * self._idf(w) for w, c in Counter(words_of(text)).items()}
+                v = {w: c * self._weight(df.get(w, 0)) for w, c in Counter(words_of(text)).items()}
                 self.templates.append((name, v, math.sqrt(sum(x * x for x in v.values()))))
         self.vocabulary = {w for _, v, _ in self.templates for w in v}
-
-    def _idf(self, word: str | None) -> float:
-        return math.log((self.n + 1) / (self.df.get(word, 0) + 1)) + 1 if word is not None else math.log((self.n + 1) / 2) + 1
-
-    def best(self, words: list[str]) -> tuple[float, str | None]:
+        self.reaches = functools.lru_cache(1 << 16)(self._reaches)
+
+    def _reaches(self, known: frozenset[str], least: float) -> bool:
+        """Whether words of which these are the templates' can reach this likeness: a cosine is at most the share of a
+        template's length that lies in words of both."""
+        return any(math.sqrt(sum(t[w] ** 2 for w in known if w in t)) >= least * size - 1e-9 for _, t, size in self.templates)
+
+    def candidates(self, text: str | None, least: float) -> list[tuple[list[str], int | None, int | None, int]]:
+        """The units of the text that can reach this likeness; none, without a look at its lines, if the text's words
+        cannot."""
+        known = self.vocabulary.intersection(words_of(text or ""))
+        if not self.reaches(frozenset(known), least):
+            return []
+        return [u for u in units(text) if self.reaches(frozenset(self.vocabulary.intersection(u[0])), least)]
+
+    def _weight(self, files: int) -> float:
+        return math.log((self.n + 1) / (files + 1)) + 1
+
+    def best(self, words: list[str], others: dict[str, int]) -> tuple[float, str | None]:
+        """others: in how many files words outside the templates stand."""
         known = self.vocabulary.intersection(words)
         if not known:
             return 0.0, None
         length = 0.0
         v = {}
         for w, c in Counter(words).items():
-            x = c * (self._idf(w) if w in known or w in self.df else self.rare)
-            length += x * x
             if w in known:
-                v[w] = x
+                v[w] = x = c * self._weight(self.df.get(w, 0))
+            else:
+                x = c * (self._weight(others[w]) if w in others else self.rare)
+            length += x * x
         length = math.sqrt(length)
         top = (0.0, None)
         for name, t, size in self.templates:
@@ -104,34 +128,31 @@ class Matcher:
                 top = (dot / (length * size), name)
         return top
 
-    def scan(self, text: str | None, least: float) -> tuple[str | None, float, int | None, float]:
+    def scan(self, text: str | None, least: float, others: dict[str, int]) -> tuple[str | None, float, int | None, float]:
         """The licence, its likeness, the line (null: the file as a whole), and the share of the words in matching lines."""
         found: tuple[float, str | None, int | None] = (0.0, None, None)
-        sizes: dict[int, int] = {}
         matched: set[int] = set()
-        for words, first, kind in units(text):
-            if kind == LINE:
-                sizes[first], now = len(words), first
-            score, name = self.best(words)
+        everywhere = False
+        for words, first, last, kind in self.candidates(text, least):
+            score, name = self.best(words, others)
             if score >= least:
-                if kind == LINE:
-                    matched.add(first)
-                elif kind == PAIR:
-                    matched.update((first, now))
-                else:
-                    matched.update(sizes)
+                everywhere |= kind == WHOLE
+                matched.update(() if kind == WHOLE else (first, last))
                 if score > found[0] + 1e-12:
                     found = (score, name, first)
-        total = sum(sizes.values())
-        return found[1], found[0], found[2], sum(sizes[k] for k in matched) / total if total else 0.0
+        if found[1] is None:
+            return None, 0.0, None, 0.0
+        sizes = {first: len(words) for words, first, _, kind in units(text) if kind == LINE}
+        share = 1.0 if everywhere else sum(sizes[k] for k in matched) / sum(sizes.values())
+        return found[1], found[0], found[2], share
 
 
 LINE, PAIR, WHOLE = range(3)
 
 
 def units(text: str | None):
-    """What is compared of a text: (words, first line, kind) of each line, of each two neighbouring lines that have words,
-    and of the whole (first line: null) if it has more than two such lines."""
+    """What is compared of a text: (words, first line, last line, kind) of each line, of each two neighbouring lines that have words,
+    and of the whole (lines: null) if it has more than two such lines."""
     before: tuple[list[str], int] | None = None
     lines = []
     for k, line in enumerate((text or "").split("\n")):
@@ -139,46 +160,88 @@ def units(text: str | None):
         if not words:
             continue
         lines.append(words)
-        yield words, k, LINE
+        yield words, k, k, LINE
         if before:
-            yield before[0] + words, before[1], PAIR
+            yield before[0] + words, before[1], k, PAIR
         before = (words, k)
     if len(lines) > 2:
-        yield [w for words in lines for w in words], None, WHOLE
+        yield [w for words in lines for w in words], None, None, WHOLE
 
 
-def frequencies(files: DataFrame, text_col: str, vocabulary: set[str]) -> tuple[int, dict[str, int]]:
-    """Over all files: their number, and in how many each of these words stands."""
+def frequencies(files: DataFrame, text_col: str, wanted) -> DataFrame:
+    """Over all files: in how many each word stands (word, n), of the words that wanted() leaves of a set; the number of
+    files as that of the empty word."""
     at = files.select(text_col)
 
     def run(batches):
         for b in batches:
             seen: Counter = Counter()
             for text in b.column(0).to_pylist():
-                seen.update(vocabulary.intersection(words_of(text or "")))
-            seen[""] = b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+                seen.update(set(words_of(text or "")))
+            left = list(wanted(seen.keys()))
+            yield pa.RecordBatch.from_arrays([pa.array([*left, ""], pa.string()), pa.array([*(seen[w] for w in left), b.num_rows], pa.int64())], ["word", "n"])
 
-    rows = at.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row for each word of the templates
-    df = {r.word: r.n for r in rows}
-    return df.pop("", 0), df
+    return at.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def matchable(files: DataFrame, text_col: str, templates: dict[str, tuple[str, ...]], n: int, df: dict[str, int], least: float) -> set[str]:
-    """The words outside the templates of all lines (and whole files) that reach the threshold if these words weigh the
-    least that a word can: no other line can reach it, whatever the words' frequencies are."""
+def matched(files: DataFrame, at: int, keep: list[int], fields: list[T.StructField], matcher, least: float, others: int | None = None) -> DataFrame:
+    """The columns keep of files and, as these fields, what Matcher.scan() finds in the text in column at. others: the
+    column of (word, n) of each text."""
 
     def run(batches):
-        matcher = Matcher(templates, n, df, rare=1.0)
+        m = matcher()
         for b in batches:
-            seen: set[str] = set()
-            for text in b.column(0).to_pylist():
-                for words, _, _ in units(text):
-                    if matcher.best(words)[0] >= least:
-                        seen.update(words)
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(seen - matcher.vocabulary), pa.string())], ["word"])
+            own = b.column(others).to_pylist() if others is not None else [None] * b.num_rows
+            found = list(zip(*(m.scan(t, least, {x["word"]: x["n"] for x in o or ()}) for t, o in zip(b.column(at).to_pylist(), own)))) or [[]] * 4
+            made = [pa.array(x, kind) for x, kind in zip(found, (pa.string(), pa.float64(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *made], schema.names)
+
+    schema = T.StructType([*(files.schema.fields[k] for k in keep), *fields])
+    return files.mapInArrow(run, schema)
 
-    return {r.word for r in files.select(text_col).mapInArrow(run, "word string").distinct().collect()}
+
+def matched_by_all_words(files: DataFrame, text_col: str, keep: list[int], fields: list[T.StructField], n: int, df: dict[str, int], templates: dict[str, tuple[str, ...]], least: float) -> DataFrame:
+    """As matched(), with the counts of all words of the lines that can match."""
+    spark, at = files.sparkSession, files.columns.index(text_col)
+    key, text, words, others = (fresh(files, x) for x in ("text_key", "text_read", "outside", "others"))
+    schema = T.StructType([*(files.schema.fields[k] for k in keep), T.StructField(key, T.StringType()), T.StructField(text, T.StringType()), T.StructField(words, T.ArrayType(T.StringType()))])
+
+    def run(batches):
+        # Words outside the templates weigh the least that a word can: no other line reaches the threshold, whatever
+        # the words' frequencies are.
+        m = Matcher(templates, n, df, rare=1.0)
+        for b in batches:
+            keys, texts, outside = [], [], []
+            for t in b.column(at).to_pylist():
+                near = [u[0] for u in m.candidates(t, least) if m.best(u[0], {})[0] >= least - 1e-9]
+                keys.append(hashlib.blake2b(t.encode(), digest_size=16).hexdigest() if near else None)
+                texts.append(t if near else None)
+                outside.append(sorted({w for u in near for w in u} - m.vocabulary) if near else None)
+            made = [pa.array(keys, pa.string()), pa.array(texts, pa.string()), pa.array(outside, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *made], schema.names)
+
+    rows = materialize(spark, files.mapInArrow(run, schema))
+    pairs = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.explode(words).alias("word")).distinct()
+    pairs = materialize(spark, pairs)
+    slots = np.zeros(SLOTS, np.bool_)
+    slots[[r.slot for r in pairs.select(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(SLOTS)).cast("int").alias("slot")).distinct().collect()]] = True  # at most SLOTS
+    bits = spark.sparkContext.broadcast(slots.tobytes())
+
+    def wanted(seen):
+        held = bits.value
+        return [w for w in seen if held[zlib.crc32(w.encode()) % SLOTS]]
+
+    # Both sides of the join are tables, so that Spark can split a word that most of the texts have.
+    counts = materialize(spark, frequencies(files, text_col, wanted))
+    given = materialize(spark, pairs.join(counts, "word").groupBy("k").agg(F.collect_list(F.struct("word", "n")).alias("o")))
+    forget(spark, pairs, counts)
+    far = rows.where(F.col(key).isNull()).select(*rows.columns[: len(keep)], *(F.lit(0.0 if f.dataType == T.DoubleType() else None).cast(f.dataType).alias(f.name) for f in fields))
+    near = rows.where(F.col(key).isNotNull()).join(given.toDF("_k_" + key, others), F.col(key) == F.col("_k_" + key), "left").select(*rows.columns, others)
+    kept = len(keep)
+    near = matched(near, kept + 1, list(range(kept)), fields, lambda: Matcher(templates, n, df), least, kept + 3)
+    out = materialize(spark, far.union(near))
+    forget(spark, rows, given)
+    return out
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = 0.8, file_share: float = 0.8, all_words: bool = False, keep_text: bool = True) -> tuple[DataFrame, dict[str, str]]:
@@ -188,25 +251,20 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     arrow_limits(spark)
     names = {x: fresh(files, x) for x in ("license", "score", "line", "share", "dir", "inherited", "inherited_from", "effective")}
     vocabulary = {w for texts in templates.values() for t in texts for w in words_of(t)}
-    n, df = frequencies(files, text_col, vocabulary)
-    if all_words and (more := matchable(files, text_col, templates, n, df, least)):
-        df |= frequencies(files, text_col, more)[1]
+    df = {r.word: r.n for r in frequencies(files, text_col, vocabulary.intersection).collect()}  # a row for each word of the templates
+    n = df.pop("", 0)
     at = files.columns.index(text_col)
     kinds = {"license": T.StringType(), "score": T.DoubleType(), "line": T.IntegerType(), "share": T.DoubleType()}
     keep = [k for k, c in enumerate(files.columns) if keep_text or c != text_col]
     kept = [files.columns[k] for k in keep]
-    schema = T.StructType([*(files.schema.fields[k] for k in keep), *(T.StructField(names[k], kind) for k, kind in kinds.items())])
-
-    def run(batches):
-        matcher = Matcher(templates, n, df)
-        for b in batches:
-            found = list(zip(*(matcher.scan(t, least) for t in b.column(at).to_pylist()))) or [[]] * 4
-            made = [pa.array(x, kind) for x, kind in zip(found, (pa.string(), pa.float64(), pa.int32(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *made], schema.names)
+    fields = [T.StructField(names[k], kind) for k, kind in kinds.items()]
+    if all_words:
+        found = matched_by_all_words(files, text_col, keep, fields, n, df, templates, least)
+    else:
+        found = materialize(spark, matched(files, at, keep, fields, lambda: Matcher(templates, n, df), least))
 
     path = F.col(path_col)
-    rows = files.mapInArrow(run, schema).withColumn(names["dir"], F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), ""))
-    rows = materialize(spark, rows)
+    rows = found.withColumn(names["dir"], F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), ""))
     own = F.col(names["license"])
     speaks = rows.where(own.isNotNull() & F.col(names["dir"]).isNotNull() & (path.rlike(LICENCE_FILE) | (F.col(names["share"]) >= file_share)))
     given = speaks.groupBy(F.col(names["dir"]).alias("ancestor")).agg(F.min_by(own, F.struct(-F.round(names["score"], 9), own)).alias("given"))

@@ -7,7 +7,7 @@ from factorloom.llm.licenses import LICENCE_FILE, TEMPLATES, scan, words_of
 FILLER = "alpha beta gamma the to of and is a version public work under this delta".split()
 
 
-def brute(files, least=0.8, share=0.8):
+def brute(files, least=0.8, share=0.8, all_words=False):
     import re
 
     n = len(files)
@@ -15,7 +15,7 @@ def brute(files, least=0.8, share=0.8):
     vocab = {w for ts in TEMPLATES.values() for t in ts for w in words_of(t)}
 
     def idf(w):
-        return math.log((n + 1) / ((df[w] if w in vocab else 1) + 1)) + 1
+        return math.log((n + 1) / ((df[w] if w in vocab or all_words else 1) + 1)) + 1
 
     def cosine(a, b):
         va, vb = ({w: c * idf(w) for w, c in Counter(x).items()} for x in (a, b))
@@ -69,12 +69,12 @@ def test_matches_brute_force(spark):
     files += [(200, "a/b/LICENSE", notices[0]), (201, "c/COPYING.txt", "x y\n" + notices[5]), (202, "licence", "nothing here"), (203, None, notices[3]), (204, None, None), (205, "a/b/c/d/e", ""), (206, "/abs/x", None), (207, "/abs/License", notices[-1]), (208, "c/d/only", notices[8])]
     files += [(209, "c/d/only2", "w " * 20000)]
     df = spark.createDataFrame([(*f, "z") for f in files], "doc_id long, path string, text string, _given string")
-    out, c = scan(df)
-    got = {r.doc_id: (r[c["license"]], round(r[c["score"]], 9), r[c["inherited"]], r[c["inherited_from"]], r[c["effective"]]) for r in out.collect()}
-    want = brute(files)
-    assert len(got) == len(files)
-    assert got == want
-    assert scan(df.limit(0))[0].count() == 0
+    for all_words in (False, True):
+        out, c = scan(df, all_words=all_words)
+        got = {r.doc_id: (r[c["license"]], round(r[c["score"]], 9), r[c["inherited"]], r[c["inherited_from"]], r[c["effective"]]) for r in out.collect()}
+        assert len(got) == len(files)
+        assert got == brute(files, all_words=all_words)
+        assert scan(df.limit(0), all_words=all_words)[0].count() == 0
 
 
 def test_a_header_with_common_words_does_not_fade_with_the_table(spark):
