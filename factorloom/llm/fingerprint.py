@@ -7,8 +7,9 @@ map-side combine, so that a bucket of any size costs one row a task; where they
 the bucket are numbered, and the number becomes part of the fingerprint. Edited texts are compared in the same way
 wherever their hash meets another's; which ones do is found from hashes alone.
 
-Very long texts are read whole. A table is cut into at most ID_BUCKETS ranges of ids, each of them one task's window:
-rows of one repeated id, and those of null ids, are in one range.
+Very long texts are read whole. A table is cut into ranges of about RANGE_ROWS ids, each of them one task's window: at
+most RANGES, each cut into as many again where that is not enough. Rows of one repeated id, and those of null ids, are
+in one range.
 
 Cases: a null text counts as empty. Repeated rows and equal texts have equal fingerprints. The order of documents
 is doc_id descending, null ids last, ties by text (null as empty); after the last comes the first, and a table's
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import forget, materialize
 
 ICU_NORMAL, ICU_CHARACTER = "com.ibm.icu.text.Normalizer", "com.ibm.icu.lang.UCharacter"
-#: Buckets of consecutive ids for the search of the next document: at most so many.
-ID_BUCKETS = 1024
+#: Rows of a range of consecutive ids for the search of the next document, and ranges that are cut at once.
+RANGE_ROWS, RANGES = 1000, 1024
 
 
 def canonical(text: Column) -> Column:
@@ -48,6 +49,15 @@ def mixed_buckets(hashed: DataFrame) -> DataFrame:
     return hashed.groupBy("h1", "h2").agg(F.min("canon").alias("least"), F.max("canon").alias("most")).where("least <> most").select("h1", "h2")
 
 
+def _quantiles(parts: int) -> Column:
+    return F.percentile_approx("id", [x / parts for x in range(1, parts)], 20 * parts).alias("cuts")
+
+
+def _place(cuts: Column) -> Column:
+    """How many of these cuts the id has reached."""
+    return F.size(F.filter(cuts, lambda s: s <= F.col("id"))).cast("bigint")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """For id, text, h1, h2: the next row's text and hashes, in descending order of id, as next_text, next_h1, next_h2.
 
@@ -55,16 +65,22 @@ def with_next(docs: DataFrame) -> DataFrame:
     row of the next part, so there is no window over all rows.
     """
     spark = docs.sparkSession
-    n = docs.count()
-    k = max(1, min(ID_BUCKETS, n // 1000))
-    splits = sorted(set(docs.agg(F.percentile_approx("id", [x / k for x in range(1, k)], 20 * k)).first()[0] or [])) if k > 1 else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s <= F.col("id"))) if splits else F.lit(0)
-    placed = docs.withColumn("bucket", F.when(F.col("id").isNull(), -1).otherwise(bucket)).withColumn("copy", F.lit(0))
-    tops = placed.groupBy("bucket").agg(F.max("id").alias("top")).orderBy(F.desc("bucket")).collect()  # at most ID_BUCKETS + 1
-    ends = [(a.bucket, b.top) for a, b in zip(tops, tops[1:] + tops[:1])]
-    if not ends:
-        return placed.select("id", "text", "h1", "h2", *(F.col(c).alias(f"next_{c}") for c in ("text", "h1", "h2")))
-    last = F.broadcast(spark.createDataFrame(ends, f"to int, top {docs.schema['id'].dataType.simpleString()}"))
+    wanted = max(1, docs.count() // RANGE_ROWS)
+    outer = min(RANGES, wanted)
+    splits = (docs.agg(_quantiles(outer)).first()[0] or []) if outer > 1 else []
+    placed = docs.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(-1).cast("bigint")).otherwise(_place(F.array(*map(F.lit, sorted(set(splits))))) if splits else F.lit(0).cast("bigint")))
+    inner = min(RANGES, -(-wanted // outer))
+    if inner > 1:
+        # At most RANGES rows of at most RANGES ids; written, since quantiles made anew may differ.
+        cuts = materialize(spark, placed.where("bucket >= 0").groupBy(F.col("bucket").alias("in")).agg(_quantiles(inner)))
+        sub = F.coalesce(_place(F.col("cuts")), F.lit(0).cast("bigint"))
+        placed = placed.join(F.broadcast(cuts), F.col("bucket") == F.col("in"), "left").withColumn("bucket", F.when(F.col("bucket") < 0, F.col("bucket")).otherwise(F.col("bucket") * (RANGES + 1) + sub)).drop("in", "cuts")
+    placed = placed.withColumn("copy", F.lit(0))
+    tops = placed.groupBy("bucket").agg(F.struct(F.max("id").alias("id")).alias("top"))
+    # A row for each range.
+    down = Window.orderBy(F.desc("bucket"))
+    around = F.first("top").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    last = F.broadcast(tops.select(F.col("bucket").alias("to"), F.coalesce(F.lead("top").over(down), around)["id"].alias("top")))
     first = docs.join(last, F.col("id").eqNullSafe(F.col("top"))).groupBy("to").agg(F.min(F.struct("text", "id", "h1", "h2")).alias("r"))
     copies = first.select("r.id", "r.text", "r.h1", "r.h2", F.col("to").alias("bucket"), F.lit(1).alias("copy"))
     w = Window.partitionBy("bucket").orderBy("copy", F.desc_nulls_last("id"), "text")

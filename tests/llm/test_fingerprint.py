@@ -46,13 +46,22 @@ def test_repeated_rows_and_null_ids(spark):
 
 
 def test_many_parts(spark, monkeypatch):
-    monkeypatch.setattr(fp, "ID_BUCKETS", 7)
     random.seed(1)
     ids = random.sample(range(10**6), 4000)
     df = spark.createDataFrame([(i, f"t{i}") for i in ids], "id long, text string").select("*", F.lit(1).alias("h1"), F.lit(2).alias("h2"))
-    got = {r.id: r.next_text for r in fp.with_next(df).collect()}
     ids.sort(reverse=True)
-    assert got == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1])}
+    for rows, ranges in ((1000, 1024), (500, 7), (100, 7)):  # four ranges, seven, seven times six
+        monkeypatch.setattr(fp, "RANGE_ROWS", rows)
+        monkeypatch.setattr(fp, "RANGES", ranges)
+        made = fp.with_next(df)
+        got = {r.id: r.next_text for r in made.collect()}
+        assert got == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1])}
+
+
+def test_ranges_of_ranges_with_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(fp, "RANGE_ROWS", 2)
+    monkeypatch.setattr(fp, "RANGES", 3)
+    check(spark, [(k // 2 if k % 3 else None, f"text {k}") for k in range(24)] + ROWS)
 
 
 def test_equal_hashes_of_different_bytes_are_told_apart(spark):
