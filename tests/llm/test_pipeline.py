@@ -45,3 +45,21 @@ def test_stages_take_effect(spark, tmp_path):
     final = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(final) == ids[4]
     assert all(final[k].decoded == cut[k].text and final[k].n_tokens == len(final[k].ids) for k in final)
+
+
+def test_repeated_and_null_ids_extra_columns_and_empty_tables(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [sentence(40, rng) for _ in range(12)]
+    rows = [(k, t, "xx", [t[:3]], "x") for k, t in enumerate(texts)]
+    rows += [(5, texts[5], "xx", [], "x"), (6, sentence(40, rng), "xx", None, None), (None, sentence(30, rng), None, None, "y"), (None, sentence(30, rng), "yy", None, "z"), (None, None, None, None, None), (50, sentence(20_000, rng), "yy", None, "long")]
+    kind = "doc_id long, text string, lang string, _runs array<string>, id string"
+    spark.createDataFrame([(1, sentence(30, rng)), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, some in (("all", rows), ("none", [])):
+        spark.createDataFrame(some, kind).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/all").collect()
+    first = {k: t for k, t in enumerate(texts)} | {50: rows[-1][1], 6: min(r[1] for r in rows if r[0] == 6)}
+    assert {r.doc_id: r.decoded for r in got if r.doc_id is not None} == first
+    assert sorted(r.decoded for r in got if r.doc_id is None) == sorted(r[1] for r in rows if r[0] is None and r[1])
+    assert len(got) == len(first) + 2
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
