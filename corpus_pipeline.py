@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the
 columns of documents; the last returns each document's token ids and what they decode to.
+
+Cases: documents of a null text, or of one without a letter, go. Of rows that repeat an id one is left, the one whose
+text comes first; rows of null ids are near-duplicates of one another like any others, and each component of theirs
+keeps one. Very long texts are read whole. Extra columns, of whatever names, stay up to the last stage. An empty table
+gives an empty table; a benchmark of null or empty items removes nothing.
 """
 
 from __future__ import annotations
