@@ -660,3 +660,7 @@ def kernelized_cross_validation(spark, sf_dir):
     kernels = _kernels(c)
     found, _ = cross_validate(spark, *kernels, c, KernelSetup(iterations=5), [1, 2], 2)
     return spark.createDataFrame([(k, v["MSE"], v["R^2"], v["Rp"]) for k, v in found.items()], "params string, mse double, r2 double, rp double")
+
+
+# The rest of the queries stand in modules of their own, which use this one.
+from . import files, fits  # noqa: E402, F401
