@@ -1,106 +1,116 @@
 """URL filters: a sort-merge range join of urls with nested host and path rules.
 
 A host's labels, reversed and each ended by a dot, are its canonical key: a rule's host covers the interval of
-keys that begin with its own, and such intervals nest. Urls are sorted by key within their partitions and swept
-once; a stack holds the hosts of the rules whose intervals are open, and each of them offers its longest path
-that the url's path starts with. The longest rule (host and path together) wins; on a tie, the longer host.
+keys that begin with its own, and such intervals nest. Urls and rules are dealt together over ranges of keys, cut
+by a sample of the urls' keys; a rule goes to each range that its interval meets. A range is sorted by key, rules
+before urls, and swept once: a stack holds the hosts of the rules whose intervals are open, and each of them offers
+its longest path that the url's path starts with. The longest rule (host and path together) wins; on a tie, the
+longer host.
 
-Rules are sent to the tasks in blocks of at most a stated number of bytes; each further block is one more sweep
-of the rows, whose results so far are written, which keeps the better rule: one block is in memory at a time. Urls are never shuffled, so a host with most of the rows costs nothing.
+The sample decides only where rows meet, never a result. A host with many rows is a cut several times over, and its
+urls are spread over all ranges between these cuts by a hash of the row; rules reach each of them. What goes to the
+tasks are the cuts, one for each range and of at most KEY_CHARS characters; rules are never gathered on the driver.
 
 Cases: a null url, or one without "://", has an empty host and path and takes the default verdict; a rule of
 null or without a host fits nothing; of repeated rules with different verdicts, block wins; ports and user
-names are part of the host; very long urls are read whole. Empty tables give empty tables. Extra columns are carried through.
+names are part of the host; very long urls are read whole; repeated rows stay, each judged by itself (rows that are
+equal in all columns share a range). Empty tables give empty tables. Extra columns are carried through.
 """
 
 from __future__ import annotations
 
-import math
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, fresh, materialize
+from .common import arrow_limits, fresh
 
-BLOCK_BYTES = 32 << 20
+#: Sampled keys for each range, and characters of a cut.
+SAMPLED, KEY_CHARS = 64, 1024
 
 
 def host_key(host: str) -> str:
     return ".".join(reversed(host.split("."))) + "."
 
 
-class Rules:
-    """Rules sorted by the key of their host, to be swept along with sorted keys."""
-
-    def __init__(self, rules: list[tuple[str, str, str]]):
-        hosts: dict[str, dict[str, str]] = {}
-        for host, path, verdict in rules:
-            if host:
-                own = hosts.setdefault(host_key(host), {})
-                own[path] = "block" if "block" in (verdict, own.get(path)) else verdict
-        self.keys = sorted(hosts)
-        self.hosts = [len(k) - 1 for k in self.keys]
-        self.names = [".".join(reversed(k[:-1].split("."))) for k in self.keys]
-        self.paths = [hosts[k] for k in self.keys]
-        self.lengths = [sorted({len(p) for p in own}, reverse=True) for own in self.paths]
-
-    def sweep(self):
-        """A function of (key, path), to be called with ascending keys: (length, length of host, rule, verdict) or None."""
-        keys, stack, state = self.keys, [], {"at": 0, "key": ""}
-
-        def best(key: str, path: str):
-            if key < state["key"]:  # a new partition or batch order: start anew
-                stack.clear()
-                state["at"] = 0
-            state["key"] = key
-            at = state["at"]
-            while at < len(keys) and keys[at] <= key:
-                while stack and not keys[at].startswith(keys[stack[-1]]):
-                    stack.pop()
-                stack.append(at)
-                at += 1
-                if not key.startswith(keys[at - 1]):
-                    # Its interval ended before this key: skip all that are nested in it.
-                    stack.pop()
-                    at = max(at, bisect_right(keys, keys[at - 1] + "\U0010ffff", lo=at))
-            state["at"] = at
-            while stack and not key.startswith(keys[stack[-1]]):
-                stack.pop()
-            found = None
-            for k in stack:
-                for n in self.lengths[k]:
-                    if n <= len(path) and (verdict := self.paths[k].get(path[:n])):
-                        found = max(found or (-1,), (self.hosts[k] + n, self.hosts[k], self.names[k] + path[:n], verdict))
-                        break
-            return found
-
-        return best
-
-
-def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, dict[str, str]]:
-    """pages with new columns, named by the returned dict: host, path, rule, verdict. rules: host, path, verdict."""
+def _key(host: Column) -> Column:
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
+
+
+class Sweep:
+    """The open rules while keys ascend. add() and best() are called in the order of keys, rules first."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str, dict[str, str], list[int]]] = []
+
+    def _close(self, key: str) -> None:
+        while self.stack and not key.startswith(self.stack[-1][0]):
+            self.stack.pop()
+
+    def add(self, key: str, host: str, path: str, verdict: str) -> None:
+        self._close(key)
+        if not self.stack or self.stack[-1][0] != key:
+            self.stack.append((key, host, {}, []))
+        _, _, paths, lengths = self.stack[-1]
+        paths[path] = verdict
+        if (at := bisect_left(lengths, len(path))) == len(lengths) or lengths[at] != len(path):
+            lengths.insert(at, len(path))
+
+    def best(self, key: str, path: str) -> tuple[int, int, str, str] | None:
+        """Length, length of the host, rule and verdict of the longest rule that fits."""
+        self._close(key)
+        found = None
+        for _, host, paths, lengths in self.stack:
+            for n in reversed(lengths[: bisect_right(lengths, len(path))]):
+                if (verdict := paths.get(path[:n])) is not None:
+                    found = max(found or (-1,), (len(host) + n, len(host), host + path[:n], verdict))
+                    break
+        return found
+
+
+def cuts_of(keys: list[str], parts: int) -> list[str]:
+    """The keys that part a sample into so many ranges; a key that fills several ranges is there several times."""
+    keys = sorted(keys)
+    return [keys[len(keys) * k // parts] for k in range(1, parts)] if keys else []
+
+
+def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", parts: int | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """pages with new columns, named by the returned dict: host, path, rule, verdict. rules: host, path, verdict.
+
+    parts: ranges, by default spark.sql.shuffle.partitions."""
     spark = pages.sparkSession
     arrow_limits(spark)
-    names = {x: fresh(pages, x) for x in ("host", "path", "rule", "verdict", "size", "key")}
-    url = F.coalesce(F.col(url_col), F.lit(""))
-    rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring({_quoted(url_col)}, instr({_quoted(url_col)}, '://') + 3)")).otherwise("")
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = {x: fresh(pages, x) for x in ("host", "path", "rule", "verdict", "key", "salt", "part", "own")}
+    quoted = _quoted(url_col)
+    rest = F.when(F.instr(F.coalesce(F.col(quoted), F.lit("")), "://") > 0, F.expr(f"substring({quoted}, instr({quoted}, '://') + 3)")).otherwise("")
     host = _lowered(F.regexp_extract(rest, r"^[^/?#]*", 0))
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    out = pages.select("*", host.alias(names["host"]), path.alias(names["path"]), F.lit(None).cast("string").alias(names["rule"]), F.lit(default).alias(names["verdict"]), F.lit(-1).cast("bigint").alias(names["size"]))
-    key = F.concat(F.array_join(F.reverse(F.split(F.col(names["host"]), r"\.", -1)), "."), F.lit("."))
-    out = out.withColumn(names["key"], key).sortWithinPartitions(names["key"])
-    given = rules.select(F.coalesce(_lowered(F.col("host")), F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("verdict is not null").distinct()
-    total = given.agg(F.sum(F.length("host") + F.length("path") + 64)).first()[0] or 0
-    blocks = max(1, math.ceil(total * 4 / block_bytes))
-    for k in range(blocks):
-        if k:  # one block at a time: what the last has found is written
-            out = materialize(spark, out).sortWithinPartitions(names["key"])
-        block = [tuple(r) for r in given.where(F.pmod(F.xxhash64("host"), F.lit(blocks)) == k).collect()]
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), [out.columns.index(names[x]) for x in ("key", "path", "rule", "verdict", "size")]), T.StructType(out.schema.fields))
-    return out.drop(names["key"], names["size"]), {x: names[x] for x in ("host", "path", "rule", "verdict")}
+
+    share = min(1.0, 2.0 * SAMPLED * parts / max(pages.count(), 1))
+    sample = pages.where(F.rand(42) < share).select(F.substring(_key(host), 1, KEY_CHARS).alias("key")).limit(4 * SAMPLED * parts).collect()
+    cuts = spark.sparkContext.broadcast(cuts_of([r.key for r in sample], parts))
+
+    salt = F.pmod(F.xxhash64(*(_quoted(f.name) for f in pages.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString())), F.lit(1 << 31))
+    dealt = pages.select("*", _key(host).alias(names["key"]), salt.alias(names["salt"])).mapInArrow(_deal(cuts, len(pages.columns)), T.StructType([*pages.schema.fields, T.StructField(names["part"], T.IntegerType())]))
+
+    verdict = F.max(F.struct((F.col("verdict") == "block").alias("first"), "verdict"))["verdict"]  # of repeated rules, block
+    given = rules.select(_lowered(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host <> '' and verdict is not null")
+    given = given.groupBy("host", "path").agg(verdict.alias("verdict")).withColumn("key", _key(F.col("host")))
+    sent = given.mapInArrow(_meet(cuts), "host string, path string, verdict string, part int")
+    ruled = sent.select(F.struct("host", "path", "verdict").alias(names["own"]), F.col("part").alias(names["part"]))
+
+    own = F.col(names["own"])
+    merged = dealt.unionByName(ruled, allowMissingColumns=True).repartitionById(parts, F.col(names["part"])).drop(names["part"])
+    merged = merged.select("*", F.coalesce(own["host"], host).alias(names["host"]), F.coalesce(own["path"], path).alias(names["path"]))
+    merged = merged.withColumn(names["key"], _key(F.col(names["host"]))).sortWithinPartitions(F.col(names["key"]), own.isNull())
+    fields = [*pages.schema.fields, *(T.StructField(names[x], T.StringType()) for x in ("host", "path", "rule", "verdict"))]
+    places = [merged.columns.index(names[x]) for x in ("key", "host", "path", "own")]
+    out = merged.mapInArrow(_swept(default, len(pages.columns), places), T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
+    return out, {x: names[x] for x in ("host", "path", "rule", "verdict")}
 
 
 def _lowered(host: Column) -> Column:
@@ -112,16 +122,54 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _pass(block, places: list[int]):
+def _deal(cuts, width: int):
+    """The range of each url, in place of its key and salt."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for key, salt in zip(b.column(width).to_pylist(), b.column(width + 1).to_pylist()):
+                first = bisect_left(cuts.value, key)
+                spread = bisect_right(cuts.value, key, first) - first
+                out.append(first + salt % (spread + 1))
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(out, pa.int32())], [*b.schema.names[:width], "part"])
+
+    return run
+
+
+def _meet(cuts):
+    """Each rule once for each range that its interval of keys meets."""
+
+    def run(batches):
+        for b in batches:
+            rows, parts = [], []
+            for n, key in enumerate(b.column(3).to_pylist()):
+                # Keys end in a dot, so what begins with this one comes before the same with the next character, "/".
+                met = range(bisect_left(cuts.value, key[:KEY_CHARS]), bisect_left(cuts.value, key[:-1] + "/") + 1)
+                rows += [n] * len(met)
+                parts += met
+            taken = b.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns[:3], pa.array(parts, pa.int32())], ["host", "path", "verdict", "part"])
+
+    return run
+
+
+def _swept(default: str, width: int, places: list[int]):
     def run(batches):
-        best = Rules(block.value).sweep()
+        sweep = Sweep()
         for b in batches:
-            keys, paths, rules, verdicts, sizes = (b.column(k).to_pylist() for k in places)
-            for i, (key, path) in enumerate(zip(keys, paths)):
-                # Sizes of rules of other blocks: length and the host's length in one number.
-                if (found := best(key, path)) and found[0] * 2**20 + found[1] > sizes[i]:
-                    sizes[i], rules[i], verdicts[i] = found[0] * 2**20 + found[1], found[2], found[3]
-            new = dict(zip(places[2:], (pa.array(rules, pa.string()), pa.array(verdicts, pa.string()), pa.array(sizes, pa.int64()))))
-            yield pa.RecordBatch.from_arrays([new.get(k, c) for k, c in enumerate(b.columns)], b.schema.names)
+            keys, hosts, paths, own = (b.column(k).to_pylist() for k in places)
+            kept, rules, verdicts = [], [], []
+            for n, (key, host, path, rule) in enumerate(zip(keys, hosts, paths, own)):
+                if rule is not None:
+                    sweep.add(key, host, path, rule["verdict"])
+                    continue
+                found = sweep.best(key, path)
+                kept.append(n)
+                rules.append(found and found[2])
+                verdicts.append(found[3] if found else default)
+            left = b.take(pa.array(kept, pa.int64()))
+            columns = [*left.columns[:width], left.column(places[1]), left.column(places[2]), pa.array(rules, pa.string()), pa.array(verdicts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [str(n) for n in range(len(columns))])
 
     return run

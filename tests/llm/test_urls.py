@@ -1,8 +1,10 @@
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from factorloom.llm.urls import Rules, host_key, judge
+from factorloom.llm.urls import Sweep, cuts_of, host_key, judge
 
 
 def brute(url, rules, default="allow"):
@@ -17,8 +19,8 @@ def brute(url, rules, default="allow"):
     return (host, path, best[2] if best else None, best[3] if best else default)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 900])
-def test_matches_brute_force(spark, block):
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_matches_brute_force(spark, parts):
     random.seed(4)
     labels = ["a", "b", "ab", "com", "net", "a-b"]
     host = lambda: ".".join(random.choices(labels, k=random.randint(1, 4)))
@@ -28,7 +30,7 @@ def test_matches_brute_force(spark, block):
     urls = [f"http{random.choice(['', 's'])}://{host().upper() if random.random() < 0.2 else host()}{'/' if random.random() < 0.8 else ''}{path()}{random.choice(['', '?x=/en/', '#y'])}" for _ in range(400)]
     urls += [None, "", "no scheme", "://", "x://?q", "http://com", "http://com/", "http://.com/", urls[0], urls[0]]
     pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id long, url string, _host string")
-    out, c = judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), block_bytes=block)
+    out, c = judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), parts=parts)
     got = {r.page_id: tuple(r[c[x]] for x in ("host", "path", "rule", "verdict")) for r in out.collect()}
     assert got == {k: brute(u, rules) for k, u in enumerate(urls)}
 
@@ -41,10 +43,39 @@ def test_no_rules_no_pages_and_odd_rules(spark):
     assert judge(pages, rules.limit(0))[0].count() == 1 and judge(pages.limit(0), rules)[0].count() == 0
 
 
-def test_sweep_skips_closed_intervals():
-    best = Rules([(f"h{k}.org", "/", "block") for k in range(500)] + [("org", "/", "allow")]).sweep()
-    hosts = sorted(["h7.org", "x.h7.org", "zz.org", "h499.org", "org"], key=host_key)
-    assert [best(host_key(h), "/p")[2] for h in hosts] == [brute(f"a://{h}/p", [(f"h{k}.org", "/", "block") for k in range(500)] + [("org", "/", "allow")])[2] for h in hosts]
+def test_sweep_closes_intervals():
+    rules = [(f"h{k}.org", "/", "block") for k in range(500)] + [("org", "/", "allow"), ("org", "/p/", "block")]
+    rows = sorted([(host_key(h), 0, h, p, v) for h, p, v in rules] + [(host_key(h), 1, h, "/p/q", "") for h in ("h7.org", "x.h7.org", "zz.org", "h499.org", "org")])
+    sweep, got = Sweep(), {}
+    for key, kind, host, path, verdict in rows:
+        if kind:
+            got[host] = sweep.best(key, path)[2:]
+        else:
+            sweep.add(key, host, path, verdict)
+    assert got == {h: brute(f"a://{h}/p/q", rules)[2:] for h in got} and len(got) == 5
+
+
+def test_a_host_with_a_third_of_the_rows_is_spread(spark):
+    urls = [f"http://hot.example.com/en/{k}" for k in range(1000)] + [f"http://h{k}.net/es/{k % 7}" for k in range(2000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("net", "/es/", "block"), ("h3.net", "/es/3", "allow")]
+    out, c = judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), parts=12)
+    rows = out.select("page_id", *c.values(), F.spark_partition_id().alias("part")).collect()
+    assert {r.page_id: tuple(r[c[x]] for x in ("host", "path", "rule", "verdict")) for r in rows} == {k: brute(u, rules) for k, u in enumerate(urls)}
+    assert len(rows) == 3000 and max(Counter(r.part for r in rows).values()) < 600
+
+
+def test_cuts():
+    assert cuts_of([], 4) == [] and cuts_of(["b", "a"], 1) == []
+    assert cuts_of(["a"] * 6 + ["b", "c"], 4) == ["a", "a", "b"]
+
+
+def test_repeated_rows_long_urls_and_wide_columns(spark):
+    long = "http://" + "a." * 3000 + "com/" + "x" * 100_000
+    rows = [(1, long, {"a": 1}, "k"), (1, long, {"a": 1}, "k"), (2, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, tags map<string,int>, _key string")
+    out, c = judge(pages, spark.createDataFrame([("com", "/x", "block")], "host string, path string, verdict string"), parts=5)
+    assert sorted((r.page_id, r[c["rule"]] or "", r[c["verdict"]], r["_key"] or "") for r in out.collect()) == [(1, "com/x", "block", "k"), (1, "com/x", "block", "k"), (2, "", "allow", "")]
 
 
 def test_rules_and_urls_fold_case_alike(spark):
