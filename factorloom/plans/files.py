@@ -165,7 +165,7 @@ def draws_table(spark, sf_dir):
 # --- K-means: what holds of every result ---------------------------------------------------------------------------------------------
 
 
-@query(f"{obs_sql('sb')} SELECT i, 1.0 AS ones, true AS nearest FROM rk")
+@query(f"{obs_sql('sb')} SELECT i, CAST(1 AS DOUBLE) AS ones, true AS nearest FROM rk")
 def kmeans_fixed_point(spark, sf_dir):
     """Each row of the one-hot result has a single 1, at the centre nearest to the row."""
     cells = Cells.from_df(*observed(spark, sf_dir, "sb"))
