@@ -27,4 +27,4 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     names = set(queries.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in names - {"pipeline"}} == {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names - {"pipeline"}} == {f"op{k}" for k in range(1, 14)}
