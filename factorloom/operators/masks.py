@@ -2,6 +2,14 @@
 
 A random order is that of md5(seed|i|j): the same on any engine and under any partitioning. Global ranks come from
 counts of 4096 hash buckets and a rank inside each, so no window runs over all cells.
+
+Masks, splits and folds that must leave no row and no column without a training cell come in two kinds: try_* draw again
+until that holds, covering_* keep an edge cover (of each row and of each column the cell of least hash) out of what is
+tested, which needs one attempt on any matrix.
+
+Cases: extra columns stay, whatever their names (a column called split or fold is replaced where one is made); cells of a
+null i or j are cells of a row or column null; cells that repeat are ranked one after another; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -14,13 +22,23 @@ def shuffle_key(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df lacks (Spark compares names without case)."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def ranked(df: DataFrame, key: Column, ties: list[str], name: str = "p") -> DataFrame:
     """df with the 0-based rank of its rows by an md5 key (ties by columns)."""
-    keyed = df.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, 3))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = keyed.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", before.alias("_before"))  # 4096 rows at most
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", *ties)) - 1
-    return keyed.join(F.broadcast(offsets), "_bucket").withColumn(name, (rank + F.col("_before")).cast("bigint")).drop("_bucket", "_key", "_before")
+    key_name, bucket, before = (unused(df, x) for x in ("_key", "_bucket", "_before"))
+    keyed = df.withColumn(key_name, key).withColumn(bucket, F.substring(key_name, 1, 3))
+    less = F.coalesce(F.sum("n").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = keyed.groupBy(bucket).agg(F.count("*").alias("n")).select(bucket, less.alias(before))  # 4096 rows at most
+    rank = F.row_number().over(Window.partitionBy(bucket).orderBy(key_name, *ties)) - 1
+    out = keyed.join(F.broadcast(offsets), bucket)
+    return out.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()), (rank + F.col(before)).cast("bigint").alias(name))
 
 
 def dense_index(keys: DataFrame, key: str, name: str) -> DataFrame:
@@ -35,13 +53,19 @@ def grid(spark: SparkSession, rows: int, columns: int) -> DataFrame:
 
 def random_mask(spark: SparkSession, rows: int, columns: int, fraction: float, seed: int) -> DataFrame:
     """The pairs left when exactly int(rows * columns * fraction) are taken out."""
-    return ranked(grid(spark, rows, columns), shuffle_key(seed, "i", "j"), ["i", "j"]).where(F.col("p") >= int(rows * columns * fraction)).drop("p")
+    return _marked(grid(spark, rows, columns), seed, lambda p: p >= int(rows * columns * fraction), "kept").where("kept").drop("kept")
+
+
+def _marked(obs: DataFrame, seed: int, value, name: str) -> DataFrame:
+    """obs with a column made of the rank of its cells, which itself goes."""
+    p = unused(obs, "p")
+    return ranked(obs, shuffle_key(seed, "i", "j"), ["i", "j"], p).withColumn(name, value(F.col(p))).drop(p)
 
 
 def split(obs: DataFrame, rows: int, columns: int, fraction: float, seed: int) -> DataFrame:
     """obs with split "train" for int(rows * columns * (1 - fraction)) cells and "test" for the rest; the fraction is of all cells."""
     keep = int(rows * columns * (1 - fraction))
-    return ranked(obs, shuffle_key(seed, "i", "j"), ["i", "j"]).withColumn("split", F.when(F.col("p") < keep, "train").otherwise("test")).drop("p")
+    return _marked(obs, seed, lambda p: F.when(p < keep, "train").otherwise("test"), "split")
 
 
 def check_split(obs: DataFrame, rows: int, columns: int, fraction: float) -> None:
@@ -53,7 +77,7 @@ def check_split(obs: DataFrame, rows: int, columns: int, fraction: float) -> Non
 def folds(obs: DataFrame, n_folds: int, seed: int) -> DataFrame:
     """obs with a fold for each cell: ranks cut at int(f * n / n_folds)."""
     n = obs.count()
-    return ranked(obs, shuffle_key(seed, "i", "j"), ["i", "j"]).withColumn("fold", F.floor(((F.col("p") + 1) * n_folds - 1) / F.lit(max(n, 1))).cast("int")).drop("p")
+    return _marked(obs, seed, lambda p: F.floor(((p + 1) * n_folds - 1) / F.lit(max(n, 1))).cast("int"), "fold")
 
 
 def folds_of(obs: DataFrame, axis: str, first: int, n_folds: int, seed: int) -> DataFrame:
@@ -63,7 +87,7 @@ def folds_of(obs: DataFrame, axis: str, first: int, n_folds: int, seed: int) ->
 
 
 def round_robin(obs: DataFrame, n_folds: int, seed: int) -> DataFrame:
-    return ranked(obs, shuffle_key(seed, "i", "j"), ["i", "j"]).withColumn("fold", (F.col("p") % n_folds).cast("int")).drop("p")
+    return _marked(obs, seed, lambda p: (p % n_folds).cast("int"), "fold")
 
 
 def coverage(obs: DataFrame, axis: str) -> DataFrame:
@@ -104,6 +128,53 @@ def try_folds(obs: DataFrame, n_folds: int, attempts: int, seed: int) -> DataFra
     return attempt(lambda s: folds(obs, n_folds, s), lambda m: lost_lines(m, "i").isEmpty() and lost_lines(m, "j").isEmpty(), attempts, seed)
 
 
+def cover(obs: DataFrame, seed: int) -> DataFrame:
+    """Pairs (i, j), once each, that touch every row and column of obs: of each the cell of least md5(seed|i|j)."""
+    cells = obs.select("i", "j", shuffle_key(seed, "i", "j").alias("k"))
+    rows = cells.groupBy("i").agg(F.min(F.struct("k", "j")).alias("least")).select("i", "least.j")
+    columns = cells.groupBy("j").agg(F.min(F.struct("k", "i")).alias("least")).select("least.i", "j")
+    return rows.union(columns).distinct()
+
+
+def _beside_cover(obs: DataFrame, seed: int, name: str) -> DataFrame:
+    """obs with a column that says whether the cell is one of its cover."""
+    i, j = unused(obs, "_i"), unused(obs, "_j")
+    held = cover(obs, seed).toDF(i, j)
+    out = obs.join(held, F.col("i").eqNullSafe(F.col(i)) & F.col("j").eqNullSafe(F.col(j)), "left_semi").withColumn(name, F.lit(True))
+    return out.union(obs.join(held, F.col("i").eqNullSafe(F.col(i)) & F.col("j").eqNullSafe(F.col(j)), "left_anti").withColumn(name, F.lit(False)))
+
+
+def covering_folds(obs: DataFrame, n_folds: int, seed: int) -> DataFrame:
+    """obs with a fold for each cell outside its cover, whose cells always train (fold -1): no training part leaves a row
+    or column empty, and the folds are as large as folds() makes them of the rest."""
+    name = unused(obs, "_cover")
+    parts = _beside_cover(obs, seed, name)
+    inside = folds(parts.where(~F.col(name)).drop(name), n_folds, seed)
+    return inside.unionByName(parts.where(name).drop(name).withColumn("fold", F.lit(-1)))
+
+
+def covering_split(obs: DataFrame, rows: int, columns: int, fraction: float, seed: int) -> DataFrame:
+    """Like split(), the cells of the cover first among those that train."""
+    return _covering(obs, int(rows * columns * (1 - fraction)), seed)
+
+
+def _covering(obs: DataFrame, keep: int, seed: int) -> DataFrame:
+    name = unused(obs, "_cover")
+    parts = _beside_cover(obs, seed, name)
+    held = parts.where(name)
+    n = held.count()
+    if n > keep:
+        raise ValueError(f"{n} cells are needed to cover all rows and columns, and {keep} may train.")
+    inside = _marked(parts.where(~F.col(name)), seed, lambda p: F.when(p < keep - n, "train").otherwise("test"), "split")
+    return inside.unionByName(held.withColumn("split", F.lit("train"))).drop(name)
+
+
+def covering_mask(spark: SparkSession, rows: int, columns: int, fraction: float, seed: int) -> DataFrame:
+    """Like random_mask(), but no row and no column is left without a pair."""
+    made = _covering(grid(spark, rows, columns), rows * columns - int(rows * columns * fraction), seed)
+    return made.where("split = 'train'").drop("split")
+
+
 def training(folded: DataFrame, fold: int) -> DataFrame:
     return folded.where(F.col("fold") != fold)
 

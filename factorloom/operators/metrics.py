@@ -19,8 +19,10 @@ def from_sums(s) -> dict[str, float]:
 
 
 def global_metrics(pairs: DataFrame, truth: str = "r", predicted: str = "p") -> DataFrame:
-    """One row: n, mse, r2, rp of truth against predicted. Two passes over means keep the sums small; no driver step."""
+    """One row: n, mse, r2, rp of truth against predicted, over the pairs that have both. Two passes over means keep the
+    sums small; no driver step."""
     r, p = F.col(truth), F.col(predicted)
+    pairs = pairs.where(r.isNotNull() & p.isNotNull())
     means = pairs.agg(F.avg(r).alias("_mr"), F.avg(p).alias("_mp"))
     x = pairs.select(r.alias("_r"), p.alias("_p")).join(F.broadcast(means))  # one row
     dr, dp = F.col("_r") - F.col("_mr"), F.col("_p") - F.col("_mp")
@@ -31,4 +33,4 @@ def global_metrics(pairs: DataFrame, truth: str = "r", predicted: str = "p") ->
 
 def i_divergence(pairs: DataFrame, truth: str = "r", predicted: str = "p") -> DataFrame:
     r, p = F.col(truth), F.col(predicted)
-    return pairs.agg(F.sum(F.when(r > 0, r * F.ln(F.try_divide(r, p)) - r + p).otherwise(p)).alias("i_div"))
+    return pairs.where(r.isNotNull() & p.isNotNull()).agg(F.sum(F.when(r > 0, r * F.ln(F.try_divide(r, p)) - r + p).otherwise(p)).alias("i_div"))

@@ -84,7 +84,11 @@ class Cells:
 
 def spark_sides(obs: DataFrame, n_rows: int, n_columns: int) -> tuple[SparkSide, SparkSide]:
     """The two sides of a large matrix obs(i, j, r): packed once by row and once by column."""
-    seen = obs.agg(F.countDistinct("i").alias("i"), F.countDistinct("j").alias("j")).first()
+    ends = [f(c).alias(f"{c}{no}") for c in ("i", "j") for no, f in enumerate((F.min, F.max))]
+    seen = obs.agg(F.countDistinct("i").alias("i"), F.countDistinct("j").alias("j"), *ends).first()
+    for what, n, low, high in (("row", n_rows, seen.i0, seen.i1), ("column", n_columns, seen.j0, seen.j1)):
+        if low is not None and (low < 0 or high >= n):
+            raise ValueError(f"A {what} of R is numbered {low if low < 0 else high}; {n} {what}s are numbered from 0 on.")
     for what, n, have in (("row", n_rows, seen.i), ("column", n_columns, seen.j)):
         if n != have:
             raise ValueError(f"Fully unobserved {what} in R: {n - have} of {n}.")
@@ -132,7 +136,8 @@ class Fit:
         return from_sums(K.cell_sums(cells.r, self.predictions(cells.i, cells.j, **kept)))
 
     def predicted(self, obs: DataFrame, name: str = "p", **kept) -> DataFrame:
-        """A table of cells (i, j, ...) with the prediction of each, on the executors."""
+        """A table of cells (i, j, ...) with the prediction of each, on the executors; null for a row or column that the
+        model lacks, or where i or j is null."""
         u, v, s, _ = self.factors(**kept)
         left = u if s is None else u @ s
         if left.nbytes + v.nbytes > BROADCAST_BYTES:
@@ -142,8 +147,10 @@ class Fit:
         def run(batches):
             for b in batches:
                 left, right = sent.value
-                i, j = (b.column(c).to_numpy(zero_copy_only=False) for c in at)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.einsum("ck,ck->c", left[i], right[j]))], [*b.schema.names, name])
+                i, j = (b.column(c).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False) for c in at)
+                known = (i >= 0) & (i < len(left)) & (j >= 0) & (j < len(right))
+                p = np.einsum("ck,ck->c", left[np.where(known, i, 0)], right[np.where(known, j, 0)])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64(), mask=~known)], [*b.schema.names, name])
 
         return obs.mapInArrow(run, T.StructType([*obs.schema.fields, T.StructField(name, T.DoubleType())]))
 

@@ -51,14 +51,29 @@ def part(cells: Cells, keep: np.ndarray) -> Cells:
 
 
 def fold_numbers(cells: Cells, n_folds: int, seed: int, attempts: int = 100) -> np.ndarray:
-    """A fold for each cell such that every training part covers all rows and columns."""
+    """A fold for each cell such that every training part covers all rows and columns: by drawing again, and where that
+    fails, by construction (the cells of a cover are in no fold, -1, and always train)."""
     n = len(cells.r)
     for k in range(attempts):
         rank = np.random.default_rng([seed, k, 41]).permutation(n)
         fold = ((rank + 1) * n_folds - 1) // n
         if all(len(np.unique(at[fold != f])) == size for f in range(n_folds) for at, size in ((cells.i, cells.n_rows), (cells.j, cells.n_columns))):
             return fold
-    raise ValueError(f"Failed to generate folds for training and test data, {attempts} attempts, {n_folds} folds.")
+    rest = np.flatnonzero(~cover_of(cells, seed))
+    if not len(rest):
+        raise ValueError(f"Failed to generate folds for training and test data, {attempts} attempts, {n_folds} folds: each cell is needed to cover its row or column.")
+    fold = np.full(n, -1)
+    fold[rest] = ((np.random.default_rng([seed, 43]).permutation(len(rest)) + 1) * n_folds - 1) // len(rest)
+    return fold
+
+
+def cover_of(cells: Cells, seed: int) -> np.ndarray:
+    """Whether each cell is the first of its row or column in a random order."""
+    order = np.random.default_rng([seed, 47]).permutation(len(cells.r))
+    out = np.zeros(len(order), bool)
+    for at in (cells.i, cells.j):
+        out[order[np.unique(at[order], return_index=True)[1]]] = True
+    return out
 
 
 @dataclass
@@ -111,6 +126,11 @@ def _trial(setup: Setup, k: int, l: int | None, restart: int, **more) -> dict:
     return {"K": k, "L": l, "restart": restart, "seed": hash((setup.seed, k, l or 0, restart, *sorted(v for v in more.values() if v is not None))) % 2**31, **more}
 
 
+def likelihood(r: dict) -> float:
+    """For comparison: a restart without one (NaN) comes last."""
+    return -math.inf if math.isnan(r["loglikelihood"]) else r["loglikelihood"]
+
+
 class Search:
     """Results by size: for each, the restart with the greatest log-likelihood."""
 
@@ -121,7 +141,7 @@ class Search:
         for r in rows:
             if "error" not in r:
                 at = (r["K"], r["L"])
-                if at not in self.results or r["loglikelihood"] > self.results[at]["loglikelihood"]:
+                if at not in self.results or likelihood(r) > likelihood(self.results[at]):
                     self.results[at] = r
 
     def _run(self, spark, cells, sizes, fold=None, number=None) -> None:
@@ -136,13 +156,19 @@ class Search:
 
     def best_value(self, metric: str):
         """The size of the least value (the first of equals), as K or (K, L). NaN counts as the greatest."""
-        k, l, _ = min(self.all_values(metric), key=lambda v: math.inf if math.isnan(v[2]) else v[2])
+        k, l, _ = min(self._found(metric), key=lambda v: math.inf if math.isnan(v[2]) else v[2])
         return k if l is None else (k, l)
 
+    def _found(self, metric: str) -> list[tuple]:
+        found = self.all_values(metric)
+        if not found:
+            raise ValueError("No size was fitted: all trials failed.")
+        return found
+
     def best(self, metric: str):
         """Like best_value, but the greatest of what is to be maximised (log-likelihood, ELBO)."""
         sign = -1 if metric in ("loglikelihood", "ELBO") else 1
-        k, l, _ = min(self.all_values(metric), key=lambda v: math.inf if math.isnan(v[2]) else sign * v[2])
+        k, l, _ = min(self._found(metric), key=lambda v: math.inf if math.isnan(v[2]) else sign * v[2])
         return k if l is None else (k, l)
 
     def frame(self, spark: SparkSession) -> DataFrame:
@@ -204,7 +230,13 @@ def mean_of(rows: list[dict]) -> dict[str, float]:
 def _refit(spark, setup: Setup, cells: Cells, fold: np.ndarray, chosen: dict[int, tuple]) -> list[dict]:
     trials = [_trial(setup, *size, n, fold=f, refit=1) for f, size in chosen.items() for n in range(setup.restarts)]
     rows = [r for r in run_trials(spark, (setup, cells, fold), trials, _fit_trial) if "error" not in r]
-    return [max((r for r in rows if r["fold"] == f), key=lambda r: r["loglikelihood"]) for f in chosen]
+    out = []
+    for f in chosen:
+        own = [r for r in rows if r["fold"] == f]
+        if not own:
+            raise ValueError(f"All restarts failed on fold {f}, of size {chosen[f]}.")
+        out.append(max(own, key=likelihood))
+    return out
 
 
 @dataclass

@@ -663,4 +663,4 @@ def kernelized_cross_validation(spark, sf_dir):
 
 
 # The rest of the queries stand in modules of their own, which use this one.
-from . import files, fits  # noqa: E402, F401
+from . import files, fits, splits  # noqa: E402, F401

@@ -208,3 +208,62 @@ def test_numbers_of_rows_are_uniform_and_normal():
         x = tn_draw(np.full(200_000, mu), np.full(200_000, tau), draws)
         mean, var = tn_moments(mu, tau)
         assert abs(x.mean() - mean) < 0.02 * mean and abs(x.var() - var) < 0.03 * var
+
+
+def sparse(seed=1, n=40):
+    """A matrix of which each column has one cell: no fold may be drawn freely."""
+    rng = np.random.default_rng(seed)
+    i = np.concatenate((np.arange(n), rng.integers(0, n, 2 * n)))
+    j = np.concatenate((np.arange(n), rng.integers(0, n // 2, 2 * n)))
+    cells = sorted(set(zip(i.tolist(), j.tolist())))
+    i, j = np.array(cells).T
+    return Cells(i, j, rng.random(len(i)), n, n)
+
+
+def test_covering_splits(spark):
+    cells = sparse()
+    obs = frame(spark, cells).withColumn("_cover", F.lit(1)).withColumn("P", F.col("i"))
+    with pytest.raises(ValueError, match="attempts"):
+        M.try_folds(obs, 3, 5, 1)
+    folded = M.covering_folds(obs, 3, 1)
+    assert folded.count() == len(cells.r) and M.lost_lines(folded, "i").isEmpty() and M.lost_lines(folded, "j").isEmpty()
+    sizes = [r["count"] for r in folded.where("fold >= 0").groupBy("fold").count().collect()]
+    assert len(sizes) == 3 and max(sizes) - min(sizes) <= 1 and folded.columns[:5] == ["i", "j", "r", "_cover", "P"]
+    for f in range(3):
+        assert M.covers(M.training(folded, f), 40, 40)
+    parts = M.covering_split(obs, len(cells.r), 1, 0.2, 1)
+    assert parts.where("split = 'train'").count() == int(len(cells.r) * 0.8) and M.covers(parts.where("split = 'train'"), 40, 40)
+    with pytest.raises(ValueError, match="needed to cover"):
+        M.covering_split(obs, len(cells.r), 1, 0.99, 1)
+    mask = M.covering_mask(spark, 30, 20, 0.9, 5)
+    assert mask.count() == 60 and M.covers(mask, 30, 20)
+    fold = fold_numbers(cells, 3, 1)
+    assert all(len(np.unique(at[fold != f])) == 40 for f in range(3) for at in (cells.i, cells.j)) and (fold >= 0).any()
+    empty = M.covering_folds(obs.where("i > 99"), 3, 1)
+    assert empty.count() == 0 and M.cover(spark.createDataFrame([(None, 1), (2, None)], "i long, j long"), 1).count() == 2
+
+
+def test_masks_keep_all_columns(spark, toy):
+    from factorloom.operators.metrics import global_metrics
+
+    obs = frame(spark, toy[0]).withColumn("p", F.lit(1)).withColumn("_key", F.lit(2)).withColumn("_BUCKET", F.lit(3))
+    for made in (M.folds(obs, 2, 1), M.split(obs, 30, 20, 0.3, 1), M.round_robin(obs, 2, 1), M.folds_of(obs, "i", 5, 2, 1)):
+        assert made.columns[:6] == obs.columns and made.where("p = 1 and _key = 2 and _bucket = 3").count() == len(toy[0].r)
+    fit = Factorizer("icm", 2, None, Priors(), "random", seed=1).fit(*toy[0].sides(), 2)
+    assert "p" in M.folds(fit.predicted(frame(spark, toy[0])), 2, 1).columns
+    odd = spark.createDataFrame([(-1, 0, 1.0), (None, 0, 1.0), (30, 0, 1.0), (0, 99, 1.0), (1, 1, 1.0)], "i long, j long, r double")
+    assert [r.p is None for r in fit.predicted(odd).collect()] == [True, True, True, True, False]
+    assert fit.predict(odd)["MSE"] == pytest.approx((1 - float(fit.u[1] @ fit.v[1])) ** 2)
+    found = global_metrics(spark.createDataFrame([(1.0, 2.0), (2.0, 3.0), (5.0, None), (None, 1.0)], "r double, p double")).first()
+    assert (found.n, found.mse) == (2, 1.0)
+    with pytest.raises(ValueError, match="numbered"):
+        spark_sides(odd.where("i >= 0"), 30, 20)
+
+
+def test_failed_and_nan_restarts_come_last():
+    search = Search(Setup("icm"))
+    row = lambda n, x: {"K": 1, "L": None, "restart": n, "loglikelihood": x, "MSE": 1.0}
+    search._take([row(0, math.nan), row(1, -5.0), row(2, -3.0), {"K": 1, "L": None, "error": "x"}, row(3, math.nan)])
+    assert search.results[1, None]["restart"] == 2
+    with pytest.raises(ValueError, match="all trials failed"):
+        Search(Setup("icm")).best_value("MSE")
