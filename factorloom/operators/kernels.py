@@ -12,10 +12,14 @@ from ..functions.special import RowDraws, tn_draw, tn_moments
 
 
 class Block:
-    """Rows ids[0], ids[1], ... with their cells: idx (column), val, and row (position among ids) of each."""
+    """Rows ids[0], ids[1], ... with their cells: idx (column), val, and row (position among ids) of each.
 
-    def __init__(self, ids: np.ndarray, counts: np.ndarray, idx: np.ndarray, val: np.ndarray):
+    at: where the rows stand in their own factor (their ids, unless only a part of it is here). test: a block of the same
+    rows whose cells are judged and not trained on."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, idx: np.ndarray, val: np.ndarray, at: np.ndarray | None = None, test: Block | None = None):
         self.ids, self.idx, self.val = ids, idx, val
+        self.at, self.test = ids if at is None else at, test
         self.ptr = np.concatenate(([0], np.cumsum(counts)))
         self.row = np.repeat(np.arange(len(ids)), counts)
 
@@ -24,6 +28,16 @@ class Block:
         order = np.lexsort((j, i))
         return cls(np.arange(n), np.bincount(i, minlength=n), j[order], r[order])
 
+    @classmethod
+    def parted(cls, ids: np.ndarray, counts: np.ndarray, idx: np.ndarray, val: np.ndarray, tested: np.ndarray | None, at: np.ndarray | None = None) -> Block:
+        """All cells; or, given which of them are tested, the others with those beside them."""
+        if tested is None:
+            return cls(ids, counts, idx, val, at)
+        row = np.repeat(np.arange(len(ids)), counts)
+        test, train = (cls(ids, np.bincount(row[x], minlength=len(ids)), idx[x], val[x], at) for x in (tested, ~tested))
+        train.test = test
+        return train
+
     def sums(self, x: np.ndarray) -> np.ndarray:
         """Sums over each row's cells of values given by cell (cells, or cells x k)."""
         if x.ndim == 1:
@@ -41,7 +55,7 @@ class Block:
 
     def products(self, own: np.ndarray, other: np.ndarray) -> np.ndarray:
         """The prediction of each cell."""
-        return np.einsum("ck,ck->c", own[self.ids][self.row], other[self.idx])
+        return np.einsum("ck,ck->c", own[self.at][self.row], other[self.idx])
 
 
 def scan(x: np.ndarray, cross: np.ndarray, diagonal: np.ndarray, b: np.ndarray, rate: np.ndarray, tau: float, choose) -> None:
@@ -59,7 +73,7 @@ def scan(x: np.ndarray, cross: np.ndarray, diagonal: np.ndarray, b: np.ndarray,
 
 def multiplicative(block: Block, own: np.ndarray, other: np.ndarray) -> np.ndarray:
     """The sweep that lowers the I-divergence; IEEE rules where a prediction or a sum is zero."""
-    x = own[block.ids].copy()
+    x = own[block.at].copy()
     with np.errstate(all="ignore"):
         p = np.einsum("ck,ck->c", x[block.row], other[block.idx])
         for k in range(x.shape[1]):
@@ -72,20 +86,20 @@ def multiplicative(block: Block, own: np.ndarray, other: np.ndarray) -> np.ndarr
 
 def most_likely(block: Block, own, other, rate, tau: float, least: float) -> np.ndarray:
     """Conditional modes, at least `least`; a factor without weight in a row keeps its value."""
-    x = own[block.ids].copy()
+    x = own[block.at].copy()
     g, b = block.gram(other)
     diagonal = np.einsum("nkk->nk", g)
 
     def choose(mu, precision, k):
         return np.where(precision > 0, np.maximum(np.maximum(mu, 0.0), least), x[:, k])
 
-    scan(x, g, diagonal, b, rate[block.ids], tau, choose)
+    scan(x, g, diagonal, b, rate[block.at], tau, choose)
     return x
 
 
 def drawn(block: Block, own, other, rate, tau: float, key: tuple[int, ...]) -> np.ndarray:
     """Draws from the conditionals. Numbers depend on the key and the row only, however rows fall into blocks."""
-    x = own[block.ids].copy()
+    x = own[block.at].copy()
     rng = RowDraws(key, block.ids)
     g, b = block.gram(other)
 
@@ -93,14 +107,14 @@ def drawn(block: Block, own, other, rate, tau: float, key: tuple[int, ...]) -> n
         rng.begin(k)
         return tn_draw(mu, precision, rng)
 
-    scan(x, g, np.einsum("nkk->nk", g), b, rate[block.ids], tau, choose)
+    scan(x, g, np.einsum("nkk->nk", g), b, rate[block.at], tau, choose)
     return x
 
 
 def variational(block: Block, own: np.ndarray, other, other_var, rate, tau: float, middle=None, middle_var=None, order=None):
     """Means, variances, mu and precision of the rows' factors. With middle (k x l), the other side's l factors are
     seen through it, and its variance and theirs enter the precision and the coupling of factors."""
-    x = own[block.ids].copy()
+    x = own[block.at].copy()
     out = [np.empty_like(x) for _ in range(4)]
     if middle is None:
         g, b = block.gram(other)
@@ -111,7 +125,7 @@ def variational(block: Block, own: np.ndarray, other, other_var, rate, tau: floa
         cross = g + np.einsum("kl,ml,nl->nkm", middle, middle, spread)
         extra = (spread + square) @ (middle_var + middle**2).T - square @ (middle**2).T
         diagonal = np.einsum("nkk->nk", g) + extra
-    lam = rate[block.ids]
+    lam = rate[block.at]
     for k in order if order is not None else range(x.shape[1]):
         precision = tau * diagonal[:, k]
         others = np.einsum("nk,nk->n", cross[:, k], x) - cross[:, k, k] * x[:, k]
@@ -138,15 +152,21 @@ def fit_sums(block: Block, own, other) -> np.ndarray:
     return cell_sums(block.val, block.products(own, other))
 
 
+def fit_both(block: Block, own, other) -> dict[str, np.ndarray]:
+    """The sums of the training cells, and those of the test cells where there are any beside them."""
+    out = {"train": fit_sums(block, own, other)}
+    return out if block.test is None else out | {"test": fit_sums(block.test, own, other)}
+
+
 def middle_sums(block: Block, f, g, f_var=None, g_var=None):
     """What the update of the k x l middle factor needs: P[(kl),(k'l')], b[kl]; with variances also T, Q, W."""
-    own = f[block.ids]
+    own = f[block.at]
     k, l = own.shape[1], g.shape[1]
     gram, b = block.gram(g)
     p = np.einsum("nk,nm,nlo->klmo", own, own, gram).reshape(k * l, k * l)
     out = {"P": p, "b": (own.T @ b).ravel()}
     if f_var is not None:
-        v = f_var[block.ids]
+        v = f_var[block.at]
         spread, square = block.sums(g_var[block.idx]), block.sums(g[block.idx] ** 2)
         out["T"] = ((v + own**2).T @ (spread + square)).ravel()
         out["Q"] = np.einsum("nk,nm,nl->lkm", own, own, spread)
@@ -157,7 +177,7 @@ def middle_sums(block: Block, f, g, f_var=None, g_var=None):
 def middle_ratio(block: Block, f, s, g, k: int, l: int) -> np.ndarray:
     """Numerator and denominator of the multiplicative update of one middle value."""
     with np.errstate(all="ignore"):
-        fk, gl = f[block.ids][block.row, k], g[block.idx, l]
+        fk, gl = f[block.at][block.row, k], g[block.idx, l]
         p = block.products(f @ s, g)
         return np.array([(block.val * fk * gl / p).sum(), (fk * gl).sum()])
 
@@ -168,7 +188,7 @@ def middle_multiplicative(block: Block, f, s, g) -> np.ndarray:
     with np.errstate(all="ignore"):
         p = block.products(f @ s, g)
         for k in range(s.shape[0]):
-            fk = f[block.ids][block.row, k]
+            fk = f[block.at][block.row, k]
             for l in range(s.shape[1]):
                 w = fk * g[block.idx, l]
                 new = s[k, l] * (block.val * w / p).sum() / w.sum()
@@ -179,14 +199,14 @@ def middle_multiplicative(block: Block, f, s, g) -> np.ndarray:
 
 def expected_error(block: Block, u, s, v, w) -> float:
     """The expected sum of squared errors: means u, v and variances s, w of the two sides."""
-    own, own_var = u[block.ids][block.row], s[block.ids][block.row]
+    own, own_var = u[block.at][block.row], s[block.at][block.row]
     o, ow = v[block.idx], w[block.idx]
     p = np.einsum("ck,ck->c", own, o)
     return float(((block.val - p) ** 2).sum() + np.einsum("ck,ck->", own_var + own**2, ow + o**2) - np.einsum("ck,ck->", own**2, o**2))
 
 
 def expected_error_tri(block: Block, f, f_var, s, s_var, g, g_var) -> float:
-    own, own_var = f[block.ids][block.row], f_var[block.ids][block.row]
+    own, own_var = f[block.at][block.row], f_var[block.at][block.row]
     o, ow = g[block.idx], g_var[block.idx]
     fs, sg = own @ s, o @ s.T
     p = np.einsum("cl,cl->c", fs, o)

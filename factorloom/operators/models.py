@@ -78,12 +78,18 @@ class Cells:
             if len(empty):
                 raise ValueError(f"Fully unobserved {what} in R, {what} {empty[0]}.")
 
-    def sides(self) -> tuple[LocalSide, LocalSide]:
-        return LocalSide(K.Block.of(self.i, self.j, self.r, self.n_rows)), LocalSide(K.Block.of(self.j, self.i, self.r, self.n_columns))
-
-
-def spark_sides(obs: DataFrame, n_rows: int, n_columns: int) -> tuple[SparkSide, SparkSide]:
-    """The two sides of a large matrix obs(i, j, r): packed once by row and once by column."""
+    def sides(self, test: Cells | None = None) -> tuple[LocalSide, LocalSide]:
+        """test: cells that are judged each time errors are computed."""
+        out = []
+        for a, b, n in (("i", "j", self.n_rows), ("j", "i", self.n_columns)):
+            block, beside = (K.Block.of(getattr(c, a), getattr(c, b), c.r, n) if c is not None else None for c in (self, test))
+            block.test = beside
+            out.append(LocalSide(block))
+        return tuple(out)
+
+
+def check_numbers(obs: DataFrame, n_rows: int, n_columns: int) -> None:
+    """Each row and column has a cell, and none has a number beyond the matrix."""
     ends = [f(c).alias(f"{c}{no}") for c in ("i", "j") for no, f in enumerate((F.min, F.max))]
     seen = obs.agg(F.countDistinct("i").alias("i"), F.countDistinct("j").alias("j"), *ends).first()
     for what, n, low, high in (("row", n_rows, seen.i0, seen.i1), ("column", n_columns, seen.j0, seen.j1)):
@@ -92,7 +98,14 @@ def spark_sides(obs: DataFrame, n_rows: int, n_columns: int) -> tuple[SparkSide,
     for what, n, have in (("row", n_rows, seen.i), ("column", n_columns, seen.j)):
         if n != have:
             raise ValueError(f"Fully unobserved {what} in R: {n - have} of {n}.")
-    return SparkSide(pack(obs, "i", "j"), n_rows), SparkSide(pack(obs, "j", "i"), n_columns)
+
+
+def spark_sides(obs: DataFrame, n_rows: int, n_columns: int, fold: int | None = None) -> tuple[SparkSide, SparkSide]:
+    """The two sides of a large matrix obs(i, j, r): packed once by row and once by column. fold: the cells whose column
+    fold has this number are tested in each pass, and not trained on."""
+    check_numbers(obs if fold is None else obs.where(F.col("fold") != fold), n_rows, n_columns)
+    tag = None if fold is None else "fold"
+    return SparkSide(pack(obs, "i", "j", tag=tag), n_rows, fold=fold), SparkSide(pack(obs, "j", "i", tag=tag), n_columns, fold=fold)
 
 
 @dataclass
@@ -164,7 +177,14 @@ class Fit:
             raise ValueError(f"Unrecognised metric for model quality: {metric}.")
         if metric == "ELBO":
             return self.elbo
-        sums = K.cell_sums(cells.r, self.predictions(cells.i, cells.j, **kept))
+        return self.quality_of(metric, K.cell_sums(cells.r, self.predictions(cells.i, cells.j, **kept)), **kept)
+
+    def quality_of(self, metric: str, sums: np.ndarray, **kept) -> float:
+        """The same from the sums over the training cells."""
+        if metric not in METRICS:
+            raise ValueError(f"Unrecognised metric for model quality: {metric}.")
+        if metric == "ELBO":
+            return self.elbo
         tau = self.factors(**kept)[3]
         log_tau = self.log_tau if not self.samples else math.log(tau)
         likelihood = sums[0] / 2 * (log_tau - math.log(2 * math.pi)) - tau / 2 * sums[6]
@@ -221,7 +241,8 @@ class Factorizer:
     # -- the loop --
 
     def fit(self, rows, columns, iterations: int, cells: Cells | None = None, every: int = 1) -> Fit:
-        """every: training errors are computed each so many iterations (and at the last)."""
+        """every: errors are computed each so many iterations (and at the last); where the sides have test cells, their errors
+        are those beginning with test_, from the same pass."""
         x, rate = self.begin(rows, columns)
         run = {"np": self._np, "icm": self._icm, "gibbs": self._icm, "vb": self._vb}[self.method]
         samples: dict[str, list] = {}
@@ -241,9 +262,10 @@ class Factorizer:
                     if name in now:
                         samples.setdefault(name, []).append(np.copy(now[name]))
             if now["it"] % every == 0 or now["it"] == iterations - 1:
-                sums = now["sums"] if now.get("sums") is not None else rows.sums(K.fit_sums, self._left(now), now["v"])
-                fit.n = int(sums[0])
-                fit.history.append({"iteration": now["it"], "elapsed": time.time() - began, **from_sums(sums), "i_div": float(sums[7]), "elbo": now.get("elbo", 0.0)})
+                both = now["sums"] if now.get("sums") is not None else rows.sums(K.fit_both, self._left(now), now["v"])
+                fit.n = int(both["train"][0])
+                tested = {f"test_{m}": x for m, x in from_sums(both["test"]).items()} if "test" in both else {}
+                fit.history.append({"iteration": now["it"], "elapsed": time.time() - began, **from_sums(both["train"]), "i_div": float(both["train"][7]), "elbo": now.get("elbo", 0.0), **tested})
             fit.u, fit.v, fit.s, fit.tau, fit.log_tau, fit.elbo = now["u"], now["v"], now.get("s"), now.get("tau", 1.0), now.get("log_tau", 0.0), now.get("elbo", 0.0)
         return fit
 
@@ -288,8 +310,8 @@ class Factorizer:
             if self.l is not None:
                 self._middle(x, rate["s"], rows.sums(K.middle_sums, x["u"], x["v"]), tau)
             x["v"] = side(columns, x["v"], left(), rate["v"], it, 1)
-            sums = rows.sums(K.fit_sums, self._left(x), x["v"])
-            beta = self.priors.beta + sums[6] / 2
+            sums = rows.sums(K.fit_both, self._left(x), x["v"])
+            beta = self.priors.beta + sums["train"][6] / 2
             tau = gamma_draw(alpha, beta, self.rng) if gibbs else gamma_mode(alpha, beta)
             yield {**x, "it": it, "tau": tau, "log_tau": math.log(tau), "sums": sums}
 

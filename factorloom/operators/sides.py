@@ -26,7 +26,7 @@ def add(a, b):
 
 
 class LocalSide:
-    """All rows in one block of this process."""
+    """All rows in one block of this process, which may hold test cells beside those that it trains on."""
 
     whole = True
 
@@ -40,39 +40,53 @@ class LocalSide:
         return fn(self.block, *shared)
 
 
-def pack(obs: DataFrame, by: str, other: str, value: str = "r") -> DataFrame:
-    """Cells gathered by row: idx, others (array, ascending), vals. One shuffle on the row key."""
-    cells = F.sort_array(F.collect_list(F.struct(F.col(other).cast("int").alias("o"), F.col(value).cast("double").alias("v"))))
-    return obs.groupBy(F.col(by).cast("bigint").alias("idx")).agg(cells.alias("c")).select("idx", F.transform("c", lambda x: x["o"]).alias("others"), F.transform("c", lambda x: x["v"]).alias("vals"))
+def pack(obs: DataFrame, by: str, other: str, value: str = "r", tag: str | None = None) -> DataFrame:
+    """Cells gathered by row: idx, others (array, ascending), vals, and with a tag column tags. One shuffle on the row key."""
+    tags = [F.col(tag).cast("int").alias("t")] if tag else []
+    cells = F.sort_array(F.collect_list(F.struct(F.col(other).cast("int").alias("o"), F.col(value).cast("double").alias("v"), *tags)))
+    lists = [F.col(f"c.{f}").alias(name) for f, name in (("o", "others"), ("v", "vals"), ("t", "tags"))[: 2 + len(tags)]]
+    return obs.groupBy(F.col(by).cast("bigint").alias("idx")).agg(cells.alias("c")).select("idx", *lists)
+
+
+def slices(batches):
+    """(ids, counts, columns, values, tags or None) of packed rows, BLOCK_ROWS at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, BLOCK_ROWS):
+            part = b.slice(at, BLOCK_ROWS)
+            lists = [part.column(c).flatten().to_numpy(zero_copy_only=False) for c in range(1, b.num_columns)]
+            counts = part.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            yield part.column(0).to_numpy(), counts, lists[0].astype(np.int64), lists[1], lists[2] if len(lists) > 2 else None
 
 
 class SparkSide:
-    """Packed rows on executors; factors are broadcast once a sweep, nothing is shuffled between sweeps."""
+    """Packed rows on executors; factors are broadcast once a sweep, nothing is shuffled between sweeps.
+
+    fold: where rows carry tags, the cells of this tag are tested and not trained on."""
 
     whole = False
 
-    def __init__(self, packed: DataFrame, n: int, keep: bool = True):
+    def __init__(self, packed: DataFrame, n: int, keep: bool = True, fold: int | None = None):
         # Spark recomputes lost partitions of this cache from the packed rows' shuffle. A side that is read once need not be kept.
-        self.packed, self.n = packed.persist() if keep else packed, n
+        self.packed, self.n, self.fold = packed.persist() if keep else packed, n, fold
 
     def close(self) -> None:
         self.packed.unpersist()
 
+    @staticmethod
+    def _bounded(shared) -> None:
+        size = sum(x.nbytes for x in shared if isinstance(x, np.ndarray))
+        if size > BROADCAST_BYTES:
+            raise ValueError(f"factors of {size} bytes exceed the broadcast bound of {BROADCAST_BYTES}; fit them in blocks (blocked.py), lower the number of factors or raise sides.BROADCAST_BYTES")
+
     def _collect(self, fn, shared, summed: bool) -> list:
         """(ids, result) of each block, or with summed (first id, sum) of each task; all tasks run at once."""
         spark = self.packed.sparkSession
-        size = sum(x.nbytes for x in shared if isinstance(x, np.ndarray))
-        if size > BROADCAST_BYTES:
-            raise ValueError(f"factors of {size} bytes exceed the broadcast bound of {BROADCAST_BYTES}; lower the number of factors or raise sides.BROADCAST_BYTES")
-        sent = spark.sparkContext.broadcast(shared)
+        self._bounded(shared)
+        sent, fold = spark.sparkContext.broadcast(shared), self.fold
 
         def blocks(batches):
-            for b in batches:
-                for at in range(0, b.num_rows, BLOCK_ROWS):
-                    part = b.slice(at, BLOCK_ROWS)
-                    counts = part.column(1).value_lengths().to_numpy(zero_copy_only=False)
-                    block = Block(part.column(0).to_numpy(), counts, part.column(1).flatten().to_numpy().astype(np.int64), part.column(2).flatten().to_numpy())
-                    yield block.ids, fn(block, *sent.value)
+            for ids, counts, idx, val, tag in slices(batches):
+                yield ids, fn(Block.parted(ids, counts, idx, val, None if fold is None else tag == fold), *sent.value)
 
         def packet(x):
             return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(x)], pa.binary())], ["out"])
@@ -107,14 +121,13 @@ class SparkSide:
 
     def frame(self, fn, *shared) -> DataFrame:
         """Like rows(), but as a DataFrame idx, vec that stays on the executors."""
+        self._bounded(shared)
         sent = self.packed.sparkSession.sparkContext.broadcast(shared)
 
         def run(batches):
-            for b in batches:
-                counts = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
-                block = Block(b.column(0).to_numpy(), counts, b.column(1).flatten().to_numpy().astype(np.int64), b.column(2).flatten().to_numpy())
-                x = np.asarray(fn(block, *sent.value), float)
+            for ids, counts, idx, val, _ in slices(batches):
+                x = np.asarray(fn(Block(ids, counts, idx, val), *sent.value), float)
                 ends = pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], ["idx", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], ["idx", "vec"])
 
         return self.packed.mapInArrow(run, "idx bigint, vec array<double>")

@@ -2,6 +2,9 @@
 
 A trial is a small dict (size, fold, restart, seed); the matrix is broadcast once, and each task fits its model on
 the cells that its trial trains on. Everything that must be compared comes back as a few numbers a trial.
+
+A matrix that is too large for that is a batched.FoldedMatrix: every search and cross-validation here takes one in place
+of Cells, and its models are fitted side by side on executors, over the folds that it carries.
 """
 
 from __future__ import annotations
@@ -122,6 +125,18 @@ def _fit_trial(shared, trial):
     return out
 
 
+def runner(spark: SparkSession, cells, fold=None):
+    """run(setup, trials) -> results, over a matrix in this process or on executors."""
+    if isinstance(cells, Cells):
+        return lambda setup, trials: run_trials(spark, (setup, cells, fold), trials, _fit_trial)
+    return cells.run
+
+
+def _folded(spark: SparkSession, cells, folds: int, seed: int):
+    """A runner over folds of the cells (those that a FoldedMatrix carries)."""
+    return runner(spark, cells, fold_numbers(cells, folds, seed) if isinstance(cells, Cells) else None)
+
+
 def _trial(setup: Setup, k: int, l: int | None, restart: int, **more) -> dict:
     return {"K": k, "L": l, "restart": restart, "seed": hash((setup.seed, k, l or 0, restart, *sorted(v for v in more.values() if v is not None))) % 2**31, **more}
 
@@ -147,7 +162,7 @@ class Search:
     def _run(self, spark, cells, sizes, fold=None, number=None) -> None:
         more = {} if number is None else {"fold": number}
         todo = [_trial(self.setup, k, l, n, **more) for k, l in sizes if (k, l) not in self.results for n in range(self.setup.restarts)]
-        self._take(run_trials(spark, (self.setup, cells, fold), todo, _fit_trial))
+        self._take(runner(spark, cells, fold)(self.setup, todo))
 
     def all_values(self, metric: str) -> list[tuple]:
         if metric not in METRICS:
@@ -204,7 +219,13 @@ class GreedySearch(Search):
         super().__init__(setup)
         self.values_k, self.values_l = sorted(values_k), sorted(values_l)
 
-    def search(self, spark, cells: Cells, metric: str, fold=None, number=None) -> GreedySearch:
+    def search(self, spark, cells, metric: str, fold=None, number=None) -> GreedySearch:
+        for sizes in self.steps(metric):
+            self._run(spark, cells, sizes, fold, number)
+        return self
+
+    def steps(self, metric: str):
+        """The sizes that must be known next; their results are to be taken before the next step is asked for."""
         a = b = 0
         at = lambda x, y: (self.values_k[x], self.values_l[y])
 
@@ -214,12 +235,12 @@ class GreedySearch(Search):
 
         while True:
             steps = [(x, y) for x, y in ((a + 1, b), (a, b + 1), (a + 1, b + 1)) if x < len(self.values_k) and y < len(self.values_l)]
-            self._run(spark, cells, [at(a, b), *(at(*s) for s in steps)], fold, number)
+            yield [at(a, b), *(at(*s) for s in steps)]
             if not steps:
-                return self
+                return
             best = min(steps, key=lambda s: value(*s))
             if value(a, b) < value(*best):
-                return self
+                return
             a, b = best
 
 
@@ -227,9 +248,9 @@ def mean_of(rows: list[dict]) -> dict[str, float]:
     return {m: float(np.mean([r[m] for r in rows])) for m in ("MSE", "R^2", "Rp")}
 
 
-def _refit(spark, setup: Setup, cells: Cells, fold: np.ndarray, chosen: dict[int, tuple]) -> list[dict]:
+def _refit(run, setup: Setup, chosen: dict[int, tuple]) -> list[dict]:
     trials = [_trial(setup, *size, n, fold=f, refit=1) for f, size in chosen.items() for n in range(setup.restarts)]
-    rows = [r for r in run_trials(spark, (setup, cells, fold), trials, _fit_trial) if "error" not in r]
+    rows = [r for r in run(setup, trials) if "error" not in r]
     out = []
     for f in chosen:
         own = [r for r in rows if r["fold"] == f]
@@ -251,37 +272,45 @@ class CrossValidated:
         return spark.createDataFrame(rows, "fold int, K int, L int, metric string, value double")
 
 
-def line_search_cv(spark, cells: Cells, setup: Setup, values_k: list[int], folds: int, metric: str = "AIC") -> CrossValidated:
+def line_search_cv(spark, cells, setup: Setup, values_k: list[int], folds: int, metric: str = "AIC") -> CrossValidated:
     """For each fold, the best size on its training part by the metric, refitted and judged on the fold; all folds at once."""
-    fold = fold_numbers(cells, folds, setup.seed)
-    trials = [_trial(setup, k, None, n, fold=f) for f in range(folds) for k in values_k for n in range(setup.restarts)]
-    rows = run_trials(spark, (setup, cells, fold), trials, _fit_trial)
+    run = _folded(spark, cells, folds, setup.seed)
+    rows = run(setup, [_trial(setup, k, None, n, fold=f) for f in range(folds) for k in values_k for n in range(setup.restarts)])
     chosen = {}
     for f in range(folds):
         search = Search(setup)
         search._take([r for r in rows if r["fold"] == f])
         chosen[f] = (search.best_value(metric), None)
-    best = [r["test"] for r in _refit(spark, setup, cells, fold, chosen)]
+    best = [r["test"] for r in _refit(run, setup, chosen)]
     return CrossValidated(best, mean_of(best), chosen)
 
 
-def greedy_search_cv(spark, cells: Cells, setup: Setup, values_k: list[int], values_l: list[int], folds: int, metric: str = "AIC", select_on: str = "train") -> CrossValidated:
-    """The same for the tri-factorisation by greedy search. select_on "all" lets the search see the test cells too."""
-    fold = fold_numbers(cells, folds, setup.seed)
-    chosen = {}
-    for f in range(folds):
-        search = GreedySearch(setup, values_k, values_l)
-        search.search(spark, cells, metric, *((fold, f) if select_on == "train" else ()))
-        chosen[f] = search.best_value(metric)
-    best = [r["test"] for r in _refit(spark, setup, cells, fold, chosen)]
+def greedy_search_cv(spark, cells, setup: Setup, values_k: list[int], values_l: list[int], folds: int, metric: str = "AIC", select_on: str = "train") -> CrossValidated:
+    """The same for the tri-factorisation by greedy search: all folds take a step at once. select_on "all" lets the search
+    see the test cells too."""
+    run = _folded(spark, cells, folds, setup.seed)
+    searches = {f: GreedySearch(setup, values_k, values_l) for f in range(folds)}
+    steps = {f: s.steps(metric) for f, s in searches.items()}
+    while steps:
+        todo = []
+        for f in list(steps):
+            sizes = next(steps[f], None)
+            if sizes is None:
+                del steps[f]
+                continue
+            more = {"fold": f} if select_on == "train" else {}
+            todo += [(f, _trial(setup, *size, n, **more)) for size in sizes if size not in searches[f].results for n in range(setup.restarts)]
+        for (f, _), r in zip(todo, run(setup, [t for _, t in todo])):
+            searches[f]._take([r])
+    chosen = {f: s.best_value(metric) for f, s in searches.items()}
+    best = [r["test"] for r in _refit(run, setup, chosen)]
     return CrossValidated(best, mean_of(best), chosen)
 
 
-def matrix_cv(spark, cells: Cells, setup: Setup, parameters: list[dict], folds: int) -> dict[str, dict]:
+def matrix_cv(spark, cells, setup: Setup, parameters: list[dict], folds: int) -> dict[str, dict]:
     """For each parameter set (K, L) the mean errors over folds, by its JSON; failed sets have an error instead. All trials at once."""
-    fold = fold_numbers(cells, folds, setup.seed)
-    trials = [_trial(setup, p["K"], p.get("L"), 0, fold=f) for p in parameters for f in range(folds)]
-    return averaged(run_trials(spark, (setup, cells, fold), trials, _fit_trial), parameters)
+    run = _folded(spark, cells, folds, setup.seed)
+    return averaged(run(setup, [_trial(setup, p["K"], p.get("L"), 0, fold=f) for p in parameters for f in range(folds)]), parameters)
 
 
 def averaged(rows: list[dict], parameters: list[dict]) -> dict[str, dict]:
@@ -300,15 +329,25 @@ def find_best(performances: dict[str, dict], criterion: str = "MSE", low_better:
     return json.loads(min(performances, key=lambda k: value(performances[k])))
 
 
-def nested_cv(spark, cells: Cells, setup: Setup, parameters: list[dict], folds: int, inner_folds: int | None = None) -> CrossValidated:
-    """Outer folds are judged with the parameter set that does best on inner folds of their training part; two jobs in all."""
+def nested_cv(spark, cells, setup: Setup, parameters: list[dict], folds: int, inner_folds: int | None = None) -> CrossValidated:
+    """Outer folds are judged with the parameter set that does best on inner folds of their training part. In this process,
+    two jobs in all; on executors, each training part is packed anew."""
     inner_folds = inner_folds or folds
-    fold = fold_numbers(cells, folds, setup.seed)
-    trials = [_trial(setup, p["K"], p.get("L"), 0, fold=f, inner=n, inner_folds=inner_folds, fold_seed=setup.seed + 1 + f) for f in range(folds) for p in parameters for n in range(inner_folds)]
-    rows = run_trials(spark, (setup, cells, fold), trials, _fit_trial)
+    run = _folded(spark, cells, folds, setup.seed)
+    inner = lambda f: [_trial(setup, p["K"], p.get("L"), 0, fold=f, inner=n, inner_folds=inner_folds, fold_seed=setup.seed + 1 + f) for p in parameters for n in range(inner_folds)]
+    rows = []
+    if isinstance(cells, Cells):
+        rows = run(setup, [t for f in range(folds) for t in inner(f)])
+    else:
+        for f in range(folds):
+            part = cells.within(f, inner_folds, setup.seed + 1 + f)
+            try:
+                rows += [r | {"fold": f} for r in part.run(setup, [t | {"fold": t["inner"]} for t in inner(f)])]
+            finally:
+                part.close()
     chosen = {}
     for f in range(folds):
         best = find_best(averaged([r for r in rows if r["fold"] == f], parameters))
         chosen[f] = (best["K"], best.get("L"))
-    out = [r["test"] for r in _refit(spark, setup, cells, fold, chosen)]
+    out = [r["test"] for r in _refit(run, setup, chosen)]
     return CrossValidated(out, mean_of(out), chosen)
