@@ -106,6 +106,11 @@ def read_back(formatted: Column, template: Template = CHATML) -> Column:
     return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.struct(unescape(F.regexp_extract(p, whole, 1)).alias("role"), unescape(F.regexp_extract(p, whole, 2)).alias("text")))
 
 
+def loss_read_back(turns: Column, template: Template = CHATML) -> Column:
+    """All text under the loss mask of turns that were read back: the texts of the template's loss roles."""
+    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"].isin(*template.loss_roles)), lambda t: t["text"]), "")
+
+
 def loss_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped."""
+    """All text under the loss mask of segments, unescaped."""
     return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")

@@ -33,7 +33,7 @@ def test_format_and_read_back(spark):
     rows = [(c, t, r, s, "x") for c, turns in convs.items() for t, r, s in turns]
     random.shuffle(rows)
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, block string")
-    out = chat.format_conversations(df).select("*", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss"))
+    out = chat.format_conversations(df).select("*", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss")).withColumn("read", chat.loss_read_back(F.col("turns")))
     got = {r.conv_id: r for r in out.collect()}
     assert set(got) == set(convs)
     for c, turns in convs.items():
@@ -43,5 +43,12 @@ def test_format_and_read_back(spark):
         assert (r.n_turns, r.end_state, r.valid) == (len(turns), state, state == "assistant")
         order = sorted(((t is not None, t or 0), a or "", s or "") for t, a, s in turns)
         assert [(t.role, t.text) for t in r.turns] == [(a, s) for _, a, s in order]
-        assert r.loss == "".join(s for _, a, s in order if a == "assistant")
+        assert r.loss == r.read == "".join(s for _, a, s in order if a == "assistant")
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_a_very_long_text(spark):
+    long = "<|im_end|>\\x<|" * 200_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    r = chat.format_conversations(df).select("valid", chat.read_back(F.col("formatted")).alias("turns")).withColumn("loss", chat.loss_read_back(F.col("turns"))).first()
+    assert r.valid and [t.text for t in r.turns] == [long, long] and r.loss == long
