@@ -8,8 +8,8 @@ over all positions of its whole text.
 Words are runs of letters: A-Z are lower-cased, other ASCII characters separate, bytes from 0x80 on belong to
 words; longer words are cut into stretches of SPAN bytes, and every stretch is labelled.
 
-The training sample is bounded in rows (max_documents) and in the characters of each (max_chars): a stretch that
-begins at a place given by the id's hash. Labels are of every position of whole texts, however long.
+The training sample is bounded in rows (max_documents); each gives the words of its whole text with their counts, which
+tasks count. Labels are of every position of whole texts, however long.
 
 Cases: a text that is null or has no letter (numerals and signs are none) is "und" with score 0, as is every text if nothing was learned (no
 labelled rows). Rows with a null id or language are never learned from. Repeated rows get equal results. An
@@ -148,14 +148,18 @@ class ByteNet:
     def params(self) -> list[np.ndarray]:
         return [self.there.W, self.there.U, self.there.b, self.back.W, self.back.U, self.back.b, self.O, self.o]
 
-    def fit(self, examples: list[tuple[str, list[bytes]]], steps: int = 250, batch: int = 256, rate: float = 0.02, seed: int = 11) -> None:
-        """Adam over batches with as many words of each language; examples: (language, words of a document)."""
+    def fit(self, examples: list[tuple[str, list[bytes] | dict[bytes, int]]], steps: int = 250, batch: int = 256, rate: float = 0.02, seed: int = 11) -> None:
+        """Adam over batches with as many words of each language, each as likely as it is frequent; examples: (language, words
+        of a document, or their counts)."""
         rng = np.random.default_rng(seed)
-        pools = [[w for lang, words in examples if lang == name for w in words] for name in self.langs]
+        counts = {name: Counter() for name in self.langs}
+        for lang, words in examples:
+            counts[lang].update(words)
+        pools = [(list(c), np.cumsum(list(c.values()))) for c in counts.values()]
         m, v = [np.zeros_like(p) for p in self.params()], [np.zeros_like(p) for p in self.params()]
         for k in range(1, steps + 1):
             target = rng.integers(0, len(pools), batch)
-            words = [pools[t][i] for t, i in zip(target, (rng.random(batch) * [len(pools[t]) for t in target]).astype(int))]
+            words = [pools[t][0][np.searchsorted(pools[t][1], x * pools[t][1][-1], side="right")] for t, x in zip(target, rng.random(batch))]
             _, grads = self.step(words, target)
             size = rate * (1 - k / (steps + 1))
             for p, g, a, b in zip(self.params(), grads, m, v):
@@ -164,14 +168,21 @@ class ByteNet:
                 p -= size * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.999**k)) + 1e-8)
 
 
-def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_documents: int = 800, max_chars: int = 4000) -> ByteNet | None:
-    """A network from at most max_documents of the rows where learn holds (by a hash of the id), each giving a
-    stretch of at most max_chars characters. None if there are none."""
-    n = F.char_length(text_col)
-    start = F.pmod(F.xxhash64(id_col), F.greatest(n - max_chars, F.lit(1))).cast("int") + 1
+def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_documents: int = 800) -> ByteNet | None:
+    """A network from at most max_documents of the rows where learn holds (by a hash of the id), each with its whole text.
+    None if there are none."""
+    arrow_limits(docs.sparkSession)
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    rows = sample_by_hash(rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.substring(F.col(text_col), start, F.lit(max_chars)).alias("text")), "id", max_documents)
-    examples = [(r.lang, words) for r in rows.collect() if LETTER.search(r.text) and (words := stretches(r.text))]
+    rows = sample_by_hash(rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")), "id", max_documents)
+
+    def count(batches):
+        for b in batches:
+            words = [Counter(stretches(t)) if LETTER.search(t) else Counter() for t in b.column(2).to_pylist()]
+            lists = pa.array([list(c) for c in words], pa.list_(pa.binary())), pa.array([list(c.values()) for c in words], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(1), *lists], ["lang", "words", "times"])
+
+    found = rows.mapInArrow(count, "lang string, words array<binary>, times array<bigint>").collect()
+    examples = [(r.lang, dict(zip(map(bytes, r.words), r.times))) for r in found if r.words]
     if not examples:
         return None
     net = ByteNet(sorted({lang for lang, _ in examples}))

@@ -76,3 +76,11 @@ def test_numerals_are_no_letters():
     net = ByteNet(["a", "b"])
     got = Reader(net).read(["½ ² ①", "Ⅳ", "ः 1", "x½", "漢", "1_2"])
     assert [g[0] == "und" for g in got] == [True, True, True, False, False, True]
+
+
+def test_whole_texts_are_learned_from(spark):
+    """Words beyond the first thousands of characters count."""
+    rows = [(k, "qqq " * 3000 + text(lang, 400), lang) for k in range(40) for lang in [list(SOUNDS)[k % len(SOUNDS)]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out, c = identify(df.select("doc_id", F.expr("substring(text, 12001)").alias("text")), train(df, F.lit(True)))
+    assert sum({k: lang for k, _, lang in rows}[r.doc_id] == r[c["lang_pred"]] for r in out.collect()) >= 38
