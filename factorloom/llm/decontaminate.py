@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, fresh, materialize
+from .common import arrow_limits, forget, fresh, materialize
 from .fmindex import FMIndex
 
 #: A shard closes at so many bytes of text; the benchmark is sent to tasks in blocks of at most so many bytes.
-SHARD_BYTES, BLOCK_BYTES = 8 << 20, 32 << 20
+SHARD_BYTES, BLOCK_BYTES = 8 << 20, 8 << 20
 #: Words are runs of digits, letters and bytes from 0x80 on; A-Z are lower-cased; all else separates.
 FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -38,21 +38,36 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Phrases:
-    """The windows of a benchmark, numbered by word, and the items of each."""
+    """The windows of a benchmark, as rows of word numbers by length, and the items of each (names by number).
+
+    Arrays of 32-bit numbers throughout: a block of the benchmark takes some ten times its size while it is numbered, and
+    less after."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], size: int):
         self.number: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({item for item, _ in items})
+        named = {item: k for k, item in enumerate(self.names)}
+        made: dict[int, list[tuple[int, np.ndarray]]] = {}
+        put = self.number.setdefault
         for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
-            for k in range(max(1, len(ids) - size + 1) if ids else 0):
-                windows.setdefault(tuple(ids[k : k + size]), set()).add(item)
-        by_length: dict[int, list[tuple[int, ...]]] = {}
-        for w in windows:
-            by_length.setdefault(len(w), []).append(w)
-        self.groups = [(n, np.array(ws, np.int64), [sorted(windows[w]) for w in ws]) for n, ws in sorted(by_length.items())]
+            ids = np.array([put(w, len(self.number) + 1) for w in words_of(text)], np.int32)
+            if len(ids):
+                made.setdefault(min(len(ids), size), []).append((named[item], ids))
+        self.groups = [(n, *self._windows(n, made.pop(n))) for n in sorted(made)]
         self.shortest = self.groups[0][0] if self.groups else 0
 
+    @staticmethod
+    def _windows(n: int, texts: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct windows of n words, where each one's items begin, and the items."""
+        rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(ids, n) for _, ids in texts])
+        item = np.repeat(np.array([k for k, _ in texts], np.int32), [len(ids) - n + 1 for _, ids in texts])
+        order = np.lexsort((item, *rows.T[::-1]))
+        rows, item = rows[order], item[order]
+        new = np.concatenate(([True], (rows[1:] != rows[:-1]).any(1)))
+        fresh_item = new | np.concatenate(([True], item[1:] != item[:-1]))
+        window = np.cumsum(new)[fresh_item] - 1
+        return rows[new], np.searchsorted(window, np.arange(int(new.sum()) + 1)), item[fresh_item]
+
     def find(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
         """For the words of a shard's documents: offsets of the documents, a flag for each word, the items of each document."""
         offsets = np.concatenate(([0], np.cumsum([len(d) for d in docs], dtype=np.int64)))
@@ -74,7 +89,7 @@ class Phrases:
         seq = ids[at]
         index = FMIndex(seq, len(self.number))
         doc_of = np.searchsorted(offsets[1:] + np.arange(1, len(docs) + 1), at, side="right")
-        for n, patterns, items in self.groups:
+        for n, patterns, first, items in self.groups:
             lo, hi = index.search(patterns)
             count = hi - lo
             if not count.any():
@@ -87,7 +102,7 @@ class Phrases:
             np.add.at(hit, word, 1)
             np.add.at(hit, word + n, -1)
             for d, w in np.unique(np.stack((doc, which), 1), axis=0).tolist():
-                found[d].update(items[w])
+                found[d].update(self.names[k] for k in items[first[w] : first[w + 1]].tolist())
         return offsets, np.cumsum(hit)[:-1] > 0, found
 
 
@@ -105,9 +120,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     out = docs.select("*", F.lit(0).cast("bigint").alias(names["n_words"]), F.lit(0).cast("bigint").alias(names["n_hit"]), F.array().cast("array<string>").alias(names["items"]), F.array().cast(SPAN).alias(names["spans"]))
     at, width = docs.columns.index(text_col), len(docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(names["n_words"], T.LongType()), T.StructField(names["n_hit"], T.LongType()), T.StructField(names["items"], T.ArrayType(T.StringType())), T.StructField(names["spans"], SPAN)])
+    kept = out
     for k in range(blocks):
-        if k:  # one block at a time: what the last has found is written
+        if k:  # one block at a time: what the last has found is written, and what it read is deleted
             out = materialize(spark, out)
+            forget(spark, kept)
+            kept = out
         block = [(r.id, bytes(r.text)) for r in items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).distinct().collect()]
         out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), at, width, size), schema)
     return out, names

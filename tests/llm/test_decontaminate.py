@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from factorloom.llm.decontaminate import Phrases, cut_spans, is_contaminated, scan, words_of
+from factorloom.llm.decontaminate import BLOCK_BYTES, Phrases, cut_spans, is_contaminated, scan, words_of
 from factorloom.llm.fmindex import FMIndex
 
 import numpy as np
@@ -75,3 +75,35 @@ def test_empty_tables_and_cutting(spark):
     assert cut_spans(None, [(0, 1)]) is None
     assert Phrases([], 13).find([[b"a"]])[1].tolist() == [False]
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_a_block_of_the_benchmark_is_small():
+    """A megabyte: a block of eight takes eight times that, under 300 MB."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    vocab = [f"w{k}" for k in range(60_000)]
+    items, n = [], 0
+    while n < 1 << 20:
+        items.append((str(len(items)), " ".join(rng.choices(vocab, k=rng.randint(1, 300))).encode()))
+        n += len(items[-1][1])
+    tracemalloc.start()
+    phrases = Phrases(items, 13)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert BLOCK_BYTES <= 8 << 20 and most < 36 << 20 and held < 20 << 20 and len(phrases.groups) == 13
+
+
+def test_repeated_rows_and_tables_of_blocks(spark):
+    import os
+
+    words = " ".join(f"w{k}" for k in range(20))
+    df = spark.createDataFrame([(1, words), (1, words), (None, words), (2, "x y")], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(f"w{n}" for n in range(k, k + 13))) for k in range(6)], "item_id long, text string")
+    scan(df, b, block_bytes=200)[0].count()
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(base))
+    out, c = scan(df, b, block_bytes=200)
+    rows = out.collect()
+    assert [(r[c["n_hit"]], len(r[c["items"]])) for r in sorted(rows, key=lambda r: str(r.doc_id))] == [(18, 6), (18, 6), (0, 0), (18, 6)]
+    assert len(set(os.listdir(base)) - before) == 1  # what the last block reads
