@@ -98,3 +98,12 @@ def test_a_head_over_two_lines_and_a_whole_notice(spark):
     out, c = scan(spark.createDataFrame(files, "doc_id long, path string, text string"), all_words=True, keep_text=False)
     assert "text" not in out.columns
     assert {r.doc_id: r[c["effective"]] for r in out.where("doc_id < 10").collect()} == {1: "GPL-2.0", 2: "GPL-2.0", 3: "MIT", 4: "MIT"}
+
+
+def test_repeated_rows(spark):
+    files = [(1, "a/LICENSE", "Released under the MIT License"), (1, "a/LICENSE", "Released under the MIT License"), (2, "a/x", "int main"), (2, "a/x", "int main"), (None, "b/y", None)]
+    files += [(10 + k, f"d/{k}", f"words of the file {k}") for k in range(20)]
+    out, c = scan(spark.createDataFrame(files, "doc_id long, path string, text string"), all_words=True)
+    rows = [(r.doc_id, r[c["effective"]]) for r in out.collect()]
+    assert len(rows) == 25 and [e for d, e in rows if d == 1] == ["MIT", "MIT"] and [e for d, e in rows if d == 2] == ["MIT", "MIT"]
+    assert [e for d, e in rows if d is None] == [None]

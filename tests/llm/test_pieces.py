@@ -56,3 +56,10 @@ def test_model_with_crossing_pieces_is_encoded_whole():
     words.by_word = False
     (ids, said), = words.encode_all(["some  text"])
     assert np.frombuffer(ids, "<u4").tolist() == words.sp.encode("some  text", add_bos=True, add_eos=True) and said == "some  text"
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "one  text"), (1, "one  text"), (None, "one  text"), (1, "other")], "doc_id long, text string")
+    out, c = pieces.encode(df, MODEL)
+    got = sorted((r.doc_id or 0, r.text, len(r[c["ids"]]), r[c["decoded"]]) for r in out.collect())
+    assert len(got) == 4 and got[1] == got[2] and got[0][1:] == got[1][1:]

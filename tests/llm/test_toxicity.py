@@ -66,3 +66,13 @@ def test_counterfactuals_of_documents_of_any_size():
         rest = {f for x in words - {"gay"} for f in features_of(x)}
         want = [(set(features_of("gay")) - rest, set(features_of(o)) - rest) for o in ("lesbian", "bisexual", "straight", "queer") if o not in words]
         assert counterfactuals(words) == want
+
+
+def test_repeated_rows_get_equal_scores(spark):
+    docs, labels, _ = made(spark, biased=False)
+    model = train(docs.union(docs.limit(5)), labels.union(labels.limit(5)), F.lit(True))
+    out, s = score(docs.limit(3).union(docs.limit(3)), model)
+    found = {}
+    for r in out.collect():
+        found.setdefault(r.doc_id, []).append(r[s])
+    assert all(len(x) == 2 and x[0] == x[1] for x in found.values())
