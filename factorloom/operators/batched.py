@@ -17,6 +17,7 @@ import threading
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,7 +144,7 @@ class FoldedMatrix:
         plan = [(summed, fold, fn) for _, (_, summed, fold, fn, _, _) in asked]
 
         def packet(x):
-            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(x)], pa.binary())], ["out"])
+            return pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(x)], pa.binary())], ["out"])
 
         def run(batches):
             first, totals = None, {}

@@ -6,6 +6,8 @@ new values of its own rows, or sums over its cells. Columns are the rows of the
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 from ..functions.special import RowDraws, tn_draw, tn_moments
@@ -141,18 +143,49 @@ def variational(block: Block, own: np.ndarray, other, other_var, rate, tau: floa
 # --- sums over all cells -----------------------------------------------------------------------------------------
 
 
-def cell_sums(r: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """n, and the sums of r, r^2, p, p^2, r p, (r - p)^2 and the I-divergence (where r is 0: p)."""
+@dataclass(frozen=True)
+class Moments:
+    """Of pairs of a truth r and a prediction p: their number, means, centred sums of squares and products, the squared
+    error and the I-divergence, by name or place. Added together, they are those of all pairs; no large sums are
+    subtracted."""
+
+    n: float
+    mean_r: float
+    mean_p: float
+    rr: float
+    pp: float
+    rp: float
+    se: float
+    div: float
+
+    def __getitem__(self, place: int) -> float:
+        return (self.n, self.mean_r, self.mean_p, self.rr, self.pp, self.rp, self.se, self.div)[place]
+
+    def __add__(self, other: Moments) -> Moments:
+        n = self.n + other.n
+        if not self.n or not other.n:
+            return self if self.n else other
+        share, dr, dp = other.n / n, other.mean_r - self.mean_r, other.mean_p - self.mean_p
+        w = self.n * share
+        return Moments(n, self.mean_r + share * dr, self.mean_p + share * dp, self.rr + other.rr + w * dr * dr, self.pp + other.pp + w * dp * dp, self.rp + other.rp + w * dr * dp, self.se + other.se, self.div + other.div)
+
+
+def cell_sums(r: np.ndarray, p: np.ndarray) -> Moments:
+    """Moments of these cells; the divergence of a cell of r = 0 is its prediction."""
+    if not len(r):
+        return Moments(*[0.0] * 8)
     with np.errstate(all="ignore"):
         div = np.where(r > 0, r * np.log(np.where(r > 0, r, 1.0) / p) - r + p, p)
-        return np.array([len(r), r.sum(), (r * r).sum(), p.sum(), (p * p).sum(), (r * p).sum(), ((r - p) ** 2).sum(), div.sum()])
+        mean_r, mean_p = float(r.mean()), float(p.mean())
+        dr, dp = r - mean_r, p - mean_p
+        return Moments(float(len(r)), mean_r, mean_p, float((dr * dr).sum()), float((dp * dp).sum()), float((dr * dp).sum()), float(((r - p) ** 2).sum()), float(div.sum()))
 
 
-def fit_sums(block: Block, own, other) -> np.ndarray:
+def fit_sums(block: Block, own, other) -> Moments:
     return cell_sums(block.val, block.products(own, other))
 
 
-def fit_both(block: Block, own, other) -> dict[str, np.ndarray]:
+def fit_both(block: Block, own, other) -> dict[str, Moments]:
     """The sums of the training cells, and those of the test cells where there are any beside them."""
     out = {"train": fit_sums(block, own, other)}
     return out if block.test is None else out | {"test": fit_sums(block.test, own, other)}
@@ -182,6 +215,15 @@ def middle_ratio(block: Block, f, s, g, k: int, l: int) -> np.ndarray:
         return np.array([(block.val * fk * gl / p).sum(), (fk * gl).sum()])
 
 
+def middle_joint(block: Block, f, s, g) -> dict[str, np.ndarray]:
+    """Numerators and denominators of the multiplicative update of all middle values at once: the minimum of the bound that
+    Jensen's inequality gives of the divergence, in all of them."""
+    with np.errstate(all="ignore"):
+        ratio = block.val / block.products(f @ s, g)
+        own, other = f[block.at], g[block.idx]
+        return {"top": own.T @ block.sums(ratio[:, None] * other), "low": own.T @ block.sums(other)}
+
+
 def middle_multiplicative(block: Block, f, s, g) -> np.ndarray:
     """The whole sweep over the middle values, for a block that holds all cells."""
     s = s.copy()

@@ -1,8 +1,10 @@
 """K-means of partially observed points: distances and centres use known coordinates only.
 
-Points are the rows of one side of a matrix and coordinates those of the other (see sides.py), so one loop serves
-matrices in this process and on executors. What passes through the driver is a cluster and a distance for each point
-and the centres; both are held to the bound of the sides' broadcasts.
+Points are the rows of one side of a matrix and coordinates those of the other (see sides.py). Distances are summed over
+the cells that are there, so memory follows the cells of a block, not its points times coordinates.
+
+fit_sides() gives an array of clusters, for beginnings of models; fit_table() leaves points where they are: a pass over them
+gives the sums of each cluster and the few points that are furthest from their centres, and the driver holds the centres.
 
 Cases: a point without cells is refused; a coordinate that no point has is dropped; ties go to the lowest cluster; a
 point that shares no coordinate with any centre goes to the last; an empty cluster takes the point furthest from its
@@ -29,10 +31,24 @@ def one_hot(assigned: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _dense(block: Block, m: int) -> tuple[np.ndarray, np.ndarray]:
-    x, known = np.zeros((len(block.ids), m)), np.zeros((len(block.ids), m))
-    x[block.row, block.idx], known[block.row, block.idx] = block.val, 1.0
-    return x, known
+def distances(block: Block, centres: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Mean squared distance of each point to each centre over coordinates known to both; inf where there are none. Only
+    cells are touched."""
+    out = np.full((len(block.ids), len(centres)), np.inf)
+    for c in range(len(centres)):
+        known = have[c, block.idx]
+        shared = np.bincount(block.row, known, len(block.ids))
+        square = np.bincount(block.row, known * (block.val - centres[c, block.idx]) ** 2, len(block.ids))
+        out[:, c] = np.divide(square, shared, out=out[:, c], where=shared > 0)
+    return out
+
+
+def _chosen(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of distances to all centres the nearest (the last where none is known) and the distance (then nan)."""
+    best = d.argmin(1)
+    best[np.isinf(d).all(1)] = d.shape[1] - 1
+    own = d[np.arange(len(d)), best]
+    return best, np.where(np.isinf(own), np.nan, own)
 
 
 def assign(x: np.ndarray, known: np.ndarray, centres: np.ndarray, have: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,15 +59,34 @@ def assign(x: np.ndarray, known: np.ndarray, centres: np.ndarray, have: np.ndarr
     with np.errstate(invalid="ignore", divide="ignore"):
         d = np.maximum(square, 0) / shared
     d[shared == 0] = np.inf
-    best = d.argmin(1)
-    best[np.isinf(d).all(1)] = len(centres) - 1
-    own = d[np.arange(len(x)), best]
-    return best, np.where(np.isinf(own), np.nan, own)
+    return _chosen(d)
 
 
 def nearest(block: Block, centres: np.ndarray, have: np.ndarray) -> np.ndarray:
     """Cluster and distance of each point of a block."""
-    return np.stack(assign(*_dense(block, centres.shape[1]), centres, have), 1).astype(float)
+    return np.stack(_chosen(distances(block, centres, have)), 1).astype(float)
+
+
+class Furthest:
+    """The points furthest from their centres (distance, point, cluster, coordinates, values), so many at most. Merged by +."""
+
+    def __init__(self, rows: list[tuple], most: int):
+        self.rows, self.most = sorted(rows, key=lambda r: (-r[0], r[1]))[:most], most
+
+    def __add__(self, other: Furthest) -> Furthest:
+        return Furthest(self.rows + other.rows, self.most)
+
+
+def table_pass(block: Block, centres: np.ndarray, have: np.ndarray) -> dict:
+    """Sums and counts of the coordinates of each cluster's points, members of each, and the furthest points."""
+    k, m = centres.shape
+    best, d = _chosen(distances(block, centres, have))
+    at = best[block.row] * m + block.idx
+    out = {"sum": np.bincount(at, block.val, k * m).reshape(k, m), "count": np.bincount(at, minlength=k * m).reshape(k, m).astype(float), "members": np.bincount(best, minlength=k)}
+    known = np.flatnonzero(~np.isnan(d))
+    far = known[np.lexsort((block.ids[known], -d[known]))][: 2 * k]
+    cells = [slice(block.ptr[p], block.ptr[p + 1]) for p in far]
+    return out | {"far": Furthest([(float(d[p]), int(block.ids[p]), int(best[p]), block.idx[c].copy(), block.val[c].copy()) for p, c in zip(far, cells)], 2 * k)}
 
 
 def member_sums(block: Block, assigned: np.ndarray, k: int, m: int) -> dict[str, np.ndarray]:
@@ -80,12 +115,12 @@ def _print(block: Block) -> np.ndarray:
 
 
 class MaskedKMeans:
-    """k clusters of the rows of a side."""
+    """k clusters of the rows of a side. passes: at most so many over the points."""
 
-    def __init__(self, k: int, seed: int = 0):
+    def __init__(self, k: int, seed: int = 0, passes: int = MAX_PASSES):
         if k <= 0:
             raise ValueError("K should be greater than 0.")
-        self.k, self.rng = k, np.random.default_rng([seed, 29])
+        self.k, self.rng, self.passes = k, np.random.default_rng([seed, 29]), passes
 
     def fit(self, i, j, r, n: int, m: int) -> np.ndarray:
         """The cluster of each of n points with coordinates r at (i, j), in this process."""
@@ -108,7 +143,7 @@ class MaskedKMeans:
             warnings.warn(f"More clusters ({self.k}) than points or distinct points ({points.n}, {distinct}).", stacklevel=2)
         centres, have = np.stack([self._random() for _ in range(self.k)]), np.tile(seen.astype(float), (self.k, 1))
         assigned = np.full(points.n, -1)
-        for _ in range(MAX_PASSES):
+        for _ in range(self.passes):
             out = points.rows(nearest, centres, have)
             new, distance = out[:, 0].astype(int), out[:, 1]
             if (new == assigned).all():
@@ -123,6 +158,47 @@ class MaskedKMeans:
         self.centres, self.have = centres, have
         return assigned
 
+    def fit_table(self, points, coordinates, centres: np.ndarray | None = None) -> DataFrame:
+        """idx and cluster of each point, on executors; centres: where to begin (else at random).
+
+        The loop ends when a pass gives the sums of the one before. An empty cluster takes the furthest point, as above;
+        where points run out (fewer distinct ones than clusters) it gets a random centre."""
+        bounds = coordinates.rows(_range)
+        seen = np.isfinite(bounds[:, 0]) & (bounds[:, 1] >= bounds[:, 0])
+        self.low, self.high = np.where(seen, bounds[:, 0], 0.0), np.where(seen, bounds[:, 1], 0.0)
+        distinct = points.frame(_print).agg(F.countDistinct("vec")).first()[0]
+        if self.k > points.n or self.k > distinct:
+            warnings.warn(f"More clusters ({self.k}) than points or distinct points ({points.n}, {distinct}).", stacklevel=2)
+        centres = np.stack([self._random() for _ in range(self.k)]) if centres is None else np.asarray(centres, float)
+        have, last = np.tile(seen.astype(float), (self.k, 1)), None
+        for _ in range(self.passes):
+            sums = points.sums(table_pass, centres, have)
+            if last is not None and all((sums[x] == last[x]).all() for x in ("sum", "count")):
+                break
+            last = {x: sums[x].copy() for x in ("sum", "count")}
+            if distinct >= self.k:
+                self._moved(sums)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                centres = np.where(sums["count"] > 0, sums["sum"] / sums["count"], 0.0)
+            have = (sums["count"] > 0).astype(float)
+            for c in np.flatnonzero(sums["members"] == 0):
+                centres[c], have[c] = self._random(), seen.astype(float)
+        self.centres, self.have = centres, have
+        return points.frame(nearest, centres, have).select("idx", F.element_at("vec", 1).cast("int").alias("cluster"))
+
+    @staticmethod
+    def _moved(sums: dict) -> None:
+        """Give each empty cluster the furthest point that is left; a donor emptied by that is looked at again."""
+        for _, _, donor, idx, val in sums["far"].rows:
+            empty = np.flatnonzero(sums["members"] == 0)
+            if not len(empty):
+                return
+            for c, sign in ((donor, -1), (empty[0], 1)):
+                sums["sum"][c, idx] += sign * val
+                sums["count"][c, idx] += sign
+                sums["members"][c] += sign
+            sums["sum"][sums["count"] == 0] = 0.0
+
     def _random(self) -> np.ndarray:
         return self.rng.uniform(self.low, self.high)
 

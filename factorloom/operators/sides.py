@@ -10,6 +10,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,7 +90,7 @@ class SparkSide:
                 yield ids, fn(Block.parted(ids, counts, idx, val, None if fold is None else tag == fold), *sent.value)
 
         def packet(x):
-            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(x)], pa.binary())], ["out"])
+            return pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(x)], pa.binary())], ["out"])
 
         def run(batches):
             first = total = None

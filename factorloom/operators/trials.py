@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .models import METRICS, Cells, Factorizer, Priors
+from .tables import exists
 
 #: Cells of a matrix that may be broadcast to all tasks.
 BROADCAST_CELLS = 50_000_000
@@ -137,6 +138,60 @@ def _folded(spark: SparkSession, cells, folds: int, seed: int):
     return runner(spark, cells, fold_numbers(cells, folds, seed) if isinstance(cells, Cells) else None)
 
 
+class Logged:
+    """Trials over a matrix (in this process, with the fold of each cell, or a FoldedMatrix) that are kept in a table.
+
+    A trial is named by the matrix's name, the setup and all that makes the trial; its result is written once, after each
+    wave of trials. What an earlier run has written, whole or stopped half way, is read and not run again: the table of
+    wanted trials is anti-joined with it. Searches and cross-validations take it in place of the matrix."""
+
+    def __init__(self, spark: SparkSession, cells, path: str, name: str, fold=None, wave: int = 64):
+        self.spark, self.cells, self.path, self.name, self.fold, self.wave = spark, cells, path, name, fold, wave
+        self.ran = 0
+
+    SCHEMA = "key string, name string, K int, L int, fold int, restart int, error string, result string"
+
+    def frame(self) -> DataFrame:
+        """All that is written, a row for each trial (one of those that two runs at once have both written)."""
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path).dropDuplicates(["key"])
+
+    def key(self, setup: Setup, trial: dict) -> str:
+        plain = lambda x: x.tolist() if isinstance(x, np.ndarray) else x.__dict__
+        return json.dumps([self.name, setup, trial], sort_keys=True, default=plain)
+
+    def run(self, setup: Setup, trials: list[dict]) -> list[dict]:
+        keys = [self.key(setup, t) for t in trials]
+        if not keys:
+            return []
+        wanted = self.spark.createDataFrame(list(enumerate(keys)), "no int, key string")
+        missing = sorted(r.no for r in wanted.join(self.frame().select("key"), "key", "left_anti").select("no").collect())
+        run = runner(self.spark, self.cells, self.fold)
+        for at in range(0, len(missing), self.wave):
+            some = missing[at : at + self.wave]
+            rows = []
+            for no, r in zip(some, run(setup, [trials[no] for no in some])):
+                own = {k: v for k, v in r.items() if k not in trials[no]}
+                rows.append((keys[no], self.name, r["K"], r.get("L"), r.get("fold"), r.get("restart"), r.get("error"), json.dumps(own)))
+            self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+            self.ran += len(some)
+        done = {r.no: json.loads(r.result) for r in wanted.join(self.frame().select("key", "result"), "key").select("no", "result").collect()}
+        return [t | done[no] for no, t in enumerate(trials)]
+
+    def within(self, fold: int, folds: int, seed: int) -> Logged:
+        """The training part of a fold, with folds of its own, in the same table."""
+        name = f"{self.name}/{fold}"
+        if isinstance(self.cells, Cells):
+            inner = part(self.cells, self.fold != fold)
+            return Logged(self.spark, inner, self.path, name, fold_numbers(inner, folds, seed), self.wave)
+        return Logged(self.spark, self.cells.within(fold, folds, seed), self.path, name, None, self.wave)
+
+    def close(self) -> None:
+        if not isinstance(self.cells, Cells):
+            self.cells.close()
+
+
 def _trial(setup: Setup, k: int, l: int | None, restart: int, **more) -> dict:
     return {"K": k, "L": l, "restart": restart, "seed": hash((setup.seed, k, l or 0, restart, *sorted(v for v in more.values() if v is not None))) % 2**31, **more}
 

@@ -12,14 +12,17 @@ RATE = 0.1
 
 
 class FitSQL:
-    """Common table expressions of a fit of k (and l) factors: after each step the cells with all factors beside them."""
+    """Common table expressions of a fit of k (and l) factors: after each step the cells with all factors beside them.
 
-    def __init__(self, method: str, k: int, l: int | None, start: float, name: str = "f"):
-        self.method, self.name, self.tables, self.errors = method, name, [], []
+    source: a relation of i, j, r and train; cells for which train does not hold are tested. joint: the middle factor's
+    values change all at once."""
+
+    def __init__(self, method: str, k: int, l: int | None, start: float, name: str = "f", source: str = "(SELECT *, true AS train FROM obs)", joint: bool = False):
+        self.method, self.name, self.tables, self.errors, self.tests, self.joint = method, name, [], [], [], joint
         self.u, self.v = [f"u{a}" for a in range(k)], [f"v{b}" for b in range(l or k)]
         self.s = [[f"s{a}{b}" for b in range(l)] for a in range(k)] if l else None
         middle = [x for row in self.s or [] for x in row]
-        self._table(f"SELECT i, j, r, {', '.join(f'CAST({start} AS DOUBLE) AS {x}' for x in self.u + self.v + middle)} FROM obs")
+        self._table(f"SELECT i, j, r, train, {', '.join(f'CAST({start} AS DOUBLE) AS {x}' for x in self.u + self.v + middle)} FROM {source}")
         through = lambda a: "(" + " + ".join(f"{self.s[a][b]} * {y}" for b, y in enumerate(self.v)) + ")" if self.s else self.v[a]
         across = lambda b: "(" + " + ".join(f"{x} * {self.s[a][b]}" for a, x in enumerate(self.u)) + ")" if self.s else self.u[b]
         self.steps = {
@@ -36,9 +39,10 @@ class FitSQL:
 
     def _error(self) -> None:
         at = self.now
-        mean = f"(SELECT avg({{}}) FROM {at})"
-        dr, dp = f"(r - {mean.format('r')})", f"({self.p} - {mean.format(self.p)})"
-        self.errors.append(self._table(f"SELECT count(*) AS n, sum((r - {self.p}) ** 2) AS se, sum({dr} * {dr}) AS rr, sum({dp} * {dp}) AS pp, sum({dr} * {dp}) AS rp FROM {at}"))
+        for errors, where in ((self.errors, "WHERE train"), (self.tests, "WHERE NOT train")):
+            mean = f"(SELECT avg({{}}) FROM {at} {where})"
+            dr, dp = f"(r - {mean.format('r')})", f"({self.p} - {mean.format(self.p)})"
+            errors.append(self._table(f"SELECT count(*) AS n, sum((r - {self.p}) ** 2) AS se, sum({dr} * {dr}) AS rr, sum({dp} * {dp}) AS pp, sum({dr} * {dp}) AS rp FROM {at} {where}"))
         self.now = at
 
     def _tau(self) -> str:
@@ -50,16 +54,24 @@ class FitSQL:
             new = f"any_value({x}) * sum({h} * r / {self.p}) / sum({h})"
         else:
             new = f"CASE WHEN sum({h} * {h}) > 0 THEN greatest(0, ({self._tau()} * sum({h} * (r - {self.p} + {x} * {h})) - {RATE}) / ({self._tau()} * sum({h} * {h}))) ELSE any_value({x}) END"
-        found = self._table(f"SELECT {by + ', ' if by else ''}{new} AS x FROM {at}{' GROUP BY ' + by if by else ''}")
+        found = self._table(f"SELECT {by + ', ' if by else ''}{new} AS x FROM {at} WHERE train{' GROUP BY ' + by if by else ''}")
         if by:
             self._table(f"SELECT {at}.* EXCLUDE ({x}), {found}.x AS {x} FROM {at} JOIN {found} USING ({by})")
         else:
             self._table(f"SELECT * EXCLUDE ({x}), (SELECT x FROM {found}) AS {x} FROM {at}")
 
+    def _all_at_once(self) -> None:
+        at, names = self.now, [x for x, _, _ in self.steps["s"]]
+        found = self._table("SELECT " + ", ".join(f"any_value({x}) * sum({h} * r / {self.p}) / sum({h}) AS {x}" for x, h, _ in self.steps["s"]) + f" FROM {at} WHERE train")
+        self._table(f"SELECT c.* EXCLUDE ({', '.join(names)}), {', '.join(f'f.{x}' for x in names)} FROM {at} c, {found} f")
+
     def run(self, iterations: int) -> FitSQL:
         self._error()
         for _ in range(iterations):
             for part in ("s", "u", "v") if self.method == "np" else ("u", "s", "v"):
+                if part == "s" and self.s and self.joint:
+                    self._all_at_once()
+                    continue
                 for step in self.steps[part]:
                     self._step(*step)
             self._error()

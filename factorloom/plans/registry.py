@@ -235,6 +235,15 @@ def metrics_global(spark, sf_dir):
     return global_metrics(_pairs(spark, sf_dir)).select("n", *(r6(c).alias(c) for c in ("mse", "r2", "rp")))
 
 
+@query(f"""{obs_sql()}, pairs AS (SELECT r + 1e8 AS r, avg(r) OVER (PARTITION BY i) + 1e8 AS p FROM obs), held AS (SELECT r, p FROM pairs WHERE floor(r) % 5 <> 0), c AS (SELECT r, p, r - (SELECT avg(r) FROM held) AS dr, p - (SELECT avg(p) FROM held) AS dp FROM held)
+SELECT count(*) AS n, round(avg((r - p) ** 2), 5) AS mse, round(1 - sum((r - p) ** 2) / sum(dr * dr), 5) AS r2, round(sum(dr * dp) / sqrt(sum(dr * dr) * sum(dp * dp)), 5) AS rp FROM c""")
+def metrics_shifted(spark, sf_dir):
+    """Values far from zero, some of which have no prediction."""
+    pairs = _pairs(spark, sf_dir).select((F.col("r") + 1e8).alias("r"), (F.col("p") + 1e8).alias("p"))
+    pairs = pairs.withColumn("p", F.when(F.floor("r") % 5 != 0, F.col("p")))
+    return global_metrics(pairs).select("n", *(F.round(c, 5).alias(c) for c in ("mse", "r2", "rp")))
+
+
 @query(f"{obs_sql()}, {_PAIRS} SELECT round(sum(CASE WHEN r > 0 THEN r * ln(r / p) - r + p ELSE p END), 4) AS i_div FROM pairs")
 def i_div(spark, sf_dir):
     return i_divergence(_pairs(spark, sf_dir)).select(F.round("i_div", 4).alias("i_div"))
@@ -663,4 +672,4 @@ def kernelized_cross_validation(spark, sf_dir):
 
 
 # The rest of the queries stand in modules of their own, which use this one.
-from . import files, fits, splits  # noqa: E402, F401
+from . import draws, files, fits, scaled, splits  # noqa: E402, F401

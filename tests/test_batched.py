@@ -50,11 +50,11 @@ def test_trials_equal_those_of_one_process(spark, both, method, tri):
 
 def test_searches_and_cross_validation(spark, both):
     near, far = both
-    setup = Setup("icm", Priors(rows=1.0, columns=1.0, middle=1.0), "exp", iterations=3, seed=1)
-    for make in (lambda: LineSearch(setup, [1, 2, 3]), lambda: GridSearch(setup, [1, 2], [1, 2])):
+    setup = Setup("icm", Priors(rows=1.0, columns=1.0, middle=1.0), "exp", iterations=1, seed=1)
+    for make in (lambda: LineSearch(setup, [1, 2]), lambda: GridSearch(setup, [1, 2], [1, 2])):
         a, b = make().search(spark, far), make().search(spark, near)
         assert a.results.keys() == b.results.keys() and all(close(a.results[k]["AIC"], b.results[k]["AIC"]) for k in b.results)
-    a, b = (GreedySearch(setup, [1, 2, 3], [1, 2, 3]).search(spark, x, "AIC") for x in (far, near))
+    a, b = (GreedySearch(setup, [1, 2, 3], [1, 2]).search(spark, x, "AIC") for x in (far, near))
     assert a.results.keys() == b.results.keys() and a.best_value("AIC") == b.best_value("AIC")
     a, b = (line_search_cv(spark, x, setup, [1, 2], 3) for x in (far, near))
     assert a.chosen == b.chosen and close(a.average, b.average)
@@ -111,3 +111,42 @@ def test_errors_on_test_cells_in_each_iteration(spark, both):
             s.close()
         for a, b in zip(got.history, want.history):
             assert all(close(a[m], b[m]) for m in ("MSE", "test_MSE", "test_R^2", "test_Rp") if not math.isnan(b[m]))
+
+
+def test_a_stopped_search_goes_on_where_it_was(spark, both, tmp_path):
+    from factorloom.operators.trials import Logged
+
+    near, far = both
+    setup = Setup("icm", Priors(rows=1.0, columns=1.0, middle=1.0), "exp", iterations=1, restarts=2, seed=1)
+    fold = fold_numbers(near, 3, 1)
+    for name, cells, folds in (("near", near, fold), ("far", far, None)):
+        path = str(tmp_path / name)
+        whole = line_search_cv(spark, cells if name == "far" else Logged(spark, near, str(tmp_path / "whole"), "x", fold), setup, [1, 2], 3)
+        log = Logged(spark, cells, path, name, folds, wave=3)
+        real, calls = trials.run_trials, []
+
+        def failing(*a, real=real, calls=calls):
+            calls.append(a)
+            if len(calls) == 3:
+                raise KeyboardInterrupt
+            return real(*a)
+
+        if name == "near":
+            trials.run_trials = failing
+            try:
+                with pytest.raises(KeyboardInterrupt):
+                    line_search_cv(spark, log, setup, [1, 2], 3)
+            finally:
+                trials.run_trials = real
+            assert log.ran == 6 == log.frame().count()
+        again = Logged(spark, cells, path, name, folds, wave=5)
+        got = line_search_cv(spark, again, setup, [1, 2], 3)
+        assert got.chosen == whole.chosen and close(got.average, whole.average)
+        rows = log.frame().collect()
+        assert len(rows) == len({r.key for r in rows}) == 18 and log.ran + again.ran == 18  # 12 trials and 6 refits, none twice
+        third = Logged(spark, cells, path, name, folds)
+        assert close(line_search_cv(spark, third, setup, [1, 2], 3).average, got.average) and third.ran == 0
+    nested = nested_cv(spark, Logged(spark, near, str(tmp_path / "nested"), "n", fold), setup, [{"K": 1}, {"K": 2}], 3, 2)
+    assert len(nested.performances) == 3
+    bad = Logged(spark, near, str(tmp_path / "bad"), "b", fold)
+    assert all("error" in r for r in bad.run(Setup("icm", init="bad"), [trials._trial(setup, 1, None, 0)])) and bad.frame().first().error

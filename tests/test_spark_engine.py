@@ -267,3 +267,56 @@ def test_failed_and_nan_restarts_come_last():
     assert search.results[1, None]["restart"] == 2
     with pytest.raises(ValueError, match="all trials failed"):
         Search(Setup("icm")).best_value("MSE")
+
+
+def test_moments_merge_and_do_not_cancel():
+    from factorloom.operators import kernels as K
+    from factorloom.operators.metrics import from_sums
+
+    rng = np.random.default_rng(1)
+    r = rng.normal(size=10_000)
+    p = r + rng.normal(size=10_000) * 0.5
+    want = from_sums(K.cell_sums(r, p))
+    for shift in (0.0, 1e8):
+        x, y = r + shift, p + shift
+        total = None
+        for part in np.array_split(np.arange(10_000), 37):
+            made = K.cell_sums(x[part], y[part])
+            total = made if total is None else total + made
+        total = total + K.cell_sums(r[:0], p[:0])
+        exact = 1 - np.sum((x - y) ** 2) / np.sum((x - x.mean()) ** 2)
+        assert from_sums(total)["R^2"] == pytest.approx(exact, rel=1e-9)
+        assert from_sums(total)["Rp"] == pytest.approx(want["Rp"], rel=1e-6)
+    assert math.isnan(from_sums(K.cell_sums(r[:0], p[:0]))["MSE"])
+
+
+def test_kmeans_on_executors(spark):
+    """The same clusters as in one process from equal centres, with points that have few cells and an empty cluster."""
+    from factorloom.operators import kernels as K
+    from factorloom.operators.kmeans import distances
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([c + rng.normal(0, 0.3, (20, 6)) for c in (0.0, 10.0, 20.0)])
+    i, j = np.nonzero(rng.random(x.shape) < 0.6)
+    i, j = np.concatenate((i, np.arange(60))), np.concatenate((j, np.arange(60) % 6))
+    i, j = np.array(sorted(set(zip(i.tolist(), j.tolist())))).T
+    obs = spark.createDataFrame([(int(a), int(b), float(x[a, b])) for a, b in zip(i, j)], "i long, j long, r double")
+    sides = spark_sides(obs, 60, 6)
+    centres = np.stack((np.full(6, 1.0), np.full(6, 9.0), np.full(6, 500.0)))
+    found = [r.cluster for r in MaskedKMeans(3, 1).fit_table(*sides, centres).orderBy("idx").collect()]
+    assert [len(set(found[k : k + 20])) for k in (0, 20, 40)] == [1, 1, 1] and len(set(found)) == 3
+    drawn = MaskedKMeans(3, 3).fit_table(*sides)
+    assert drawn.count() == 60 and drawn.columns == ["idx", "cluster"]
+    with pytest.warns(UserWarning):
+        MaskedKMeans(70, 1, passes=2).fit_table(*sides)
+    for s in sides:
+        s.close()
+    # Distances touch cells only: a block of few cells and very many coordinates.
+    wide = K.Block(np.arange(400), np.full(400, 5), rng.integers(0, 1_000_000, 2000), rng.random(2000))
+    import tracemalloc
+
+    centres, have = np.zeros((2, 1_000_000)), np.ones((2, 1_000_000))
+    tracemalloc.start()
+    d = distances(wide, centres, have)
+    assert tracemalloc.get_traced_memory()[1] < 2_000_000 and d.shape == (400, 2)
+    tracemalloc.stop()
