@@ -249,7 +249,8 @@ def _scored(entries: DataFrame, wants: DataFrame, halves: Halves, sizes: np.ndar
             at = pa.array(which, pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(3)), pa.array(shards, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["h1", "h2", "vec", "shard", "cells"])
 
-    visits = materialize(spark, wants.select(*KEY, "vec").mapInArrow(traverse, "h1 bigint, h2 bigint, vec array<double>, shard int, cells array<int>"))
+    spread = wants.select(*KEY, "vec").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a small table, much work
+    visits = materialize(spark, spread.mapInArrow(traverse, "h1 bigint, h2 bigint, vec array<double>, shard int, cells array<int>"))
     copies = visits.groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("of"))
     copies = materialize(spark, copies)  # one row a shard
     rows = rows.join(copies, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
