@@ -28,3 +28,14 @@ def test_query_equals_sql(spark, name):
 def test_all_are_registered():
     names = set(queries.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in names - {"pipeline"}} == {f"op{k}" for k in range(1, 14)}
+
+
+def test_held_out_documents(spark):
+    """Languages are told, and clean documents are left alone."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
+    said = queries.queries()["op8_language"](spark, SF).join(docs, "doc_id").where("held_out and lang is not null and lang_pred <> 'und'")
+    rows = said.collect()
+    assert len(rows) > 20 and sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    rows = queries.queries()["op6_toxicity"](spark, SF).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r.predicted for r in rows if not r.toxic) <= 0.05 * len(rows)

@@ -76,3 +76,41 @@ def test_repeated_rows_get_equal_scores(spark):
     for r in out.collect():
         found.setdefault(r.doc_id, []).append(r[s])
     assert all(len(x) == 2 and x[0] == x[1] for x in found.values())
+
+
+def test_fit_is_the_least_of_its_objective():
+    """Weighted log-loss, squared score changes of the swaps and the sum of weights, written out plainly: no step of any
+    weight lowers it."""
+    import numpy as np
+
+    from factorloom.llm.toxicity import fit
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for n in range(300):
+        label = int(rng.random() < 0.4)
+        rows.append((label, np.array([f for f in range(12) if rng.random() < (0.75 if (f < 4) == bool(label) else 0.2)], np.int64)))
+    swaps = [([0], [5]), ([1, 2], [6]), ([3], [99]), ([98], [97])] * 5
+    penalty, l1 = 2.0, 1e-3
+    model = fit(rows, swaps, l1=l1, penalty=penalty, steps=4000)
+    assert len(model.weights) > 4
+    y = np.array([r[0] for r in rows])
+    x = np.array([[f in set(r[1].tolist()) for f in range(12)] for r in rows], float)
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+
+    def objective(w, b):
+        s = x @ w + b
+        loss = (weight * (np.log1p(np.exp(s)) - y * s)).sum()
+        known = lambda fs: sum(w[f] for f in fs if f < 12)
+        used = [(lost, gained) for lost, gained in swaps if any(f < 12 for f in lost + gained)]
+        return loss + penalty / len(used) * sum((known(lost) - known(gained)) ** 2 for lost, gained in used) + l1 * np.abs(w).sum()
+
+    w, b = np.array([model.weights.get(f, 0.0) for f in range(12)]), model.intercept
+    least = objective(w, b)
+    for step in (1e-1, 1e-2, 1e-3):
+        for f in np.flatnonzero(w):
+            for sign in (-1, 1):
+                moved = w.copy()
+                moved[f] += sign * step
+                assert objective(moved, b) > least - 1e-7
+        assert min(objective(w, b - step), objective(w, b + step)) > least - 1e-7
