@@ -26,6 +26,7 @@ from . import sides
 from .masks import covering_folds, lost_lines, training
 from .metrics import from_sums
 from .models import METRICS, check_numbers
+from .tables import deleted, written
 
 #: Models whose loops run at once.
 AT_ONCE = 64
@@ -49,20 +50,23 @@ class _Side:
 class FoldedMatrix:
     """obs(i, j, r, fold) of n_rows x n_columns, packed on executors."""
 
-    def __init__(self, folded: DataFrame, n_rows: int, n_columns: int):
-        check_numbers(folded, n_rows, n_columns)
+    def __init__(self, folded: DataFrame, n_rows: int, n_columns: int, owned: bool = False):
+        """owned: folded is a written table that close() deletes."""
+        if not owned:  # read several times here: written once, not made again each time
+            folded = written(folded)
+        cells = check_numbers(folded, n_rows, n_columns)
         for axis, what in (("i", "row"), ("j", "column")):
             lost = lost_lines(folded, axis).first()
             if lost is not None:
                 raise ValueError(f"Fully unobserved {what} in the training part of fold {lost.fold}, {what} {lost[axis]}.")
         self.folded, self.n = folded, (n_rows, n_columns)
-        self.packed = [sides.pack(folded, a, b, tag="fold").persist() for a, b in (("i", "j"), ("j", "i"))]
+        self.packed = [sides.pack(folded, a, b, tag="fold", cells=cells).persist() for a, b in (("i", "j"), ("j", "i"))]
         self.passes = 0
 
     @classmethod
     def of(cls, obs: DataFrame, n_rows: int, n_columns: int, folds: int, seed: int) -> FoldedMatrix:
         """With folds whose training parts cover all rows and columns."""
-        return cls(covering_folds(obs, folds, seed), n_rows, n_columns)
+        return cls(covering_folds(obs, folds, seed), n_rows, n_columns, owned=True)
 
     def within(self, fold: int, folds: int, seed: int) -> FoldedMatrix:
         """The training part of a fold, with folds of its own."""
@@ -71,6 +75,7 @@ class FoldedMatrix:
     def close(self) -> None:
         for p in self.packed:
             p.unpersist()
+        deleted(self.folded)
 
     # -- models side by side --
 

@@ -13,7 +13,7 @@ from ..operators.blocked import BlockedFactorizer
 from ..operators.kmeans import MaskedKMeans
 from ..operators.masks import covering_folds
 from ..operators.models import Factorizer, Priors, spark_sides
-from ..operators.tables import written
+from ..operators.tables import deleted, written
 from ..operators.trials import GreedySearch, Setup, _trial, line_search_cv, matrix_cv
 from .fits import RATE, FitSQL, _cells, _found
 from .registry import SEED, query
@@ -146,12 +146,14 @@ def _tested(method: str) -> None:
     def run(spark, sf_dir):
         """Errors on the training cells and on a fold after each iteration, from the same pass."""
         obs, n_i, n_j = observed(spark, sf_dir)
-        far = spark_sides(covering_folds(obs, FOLDS, SEED), n_i, n_j, fold=0)
+        folded = covering_folds(obs, FOLDS, SEED)
+        far = spark_sides(folded, n_i, n_j, fold=0)
         try:
             fit = Factorizer(method, 2, None, PRIORS).fit(*far, 2)
         finally:
             for s in far:
                 s.close()
+            deleted(folded)
         rows = [(h["iteration"], round(float(h["MSE"]), 5), round(float(h["test_MSE"]), 5), round(float(h["test_R^2"]), 6), round(float(h["test_Rp"]), 6)) for h in fit.history]
         return spark.createDataFrame(rows, "iteration int, mse double, test_mse double, test_r2 double, test_rp double")
 
