@@ -3,9 +3,9 @@
 Every line of every file, each two neighbouring lines that have words, and the file as a whole are compared with the
 templates. Term frequencies are those of
 the line; document frequencies of the templates' words are counted over all files; with all_words, as the query asks,
-those of all words of lines that can match, so that the score does not fade as the table grows. Those words stay in
-tables: what the driver gets is a filter of SLOTS bits, by which tasks leave out most other words; the counts come back
-to the texts that have such lines, one row for each such text. A file whose best likeness
+those of all words, so that the score does not fade as the table grows. Words stay in
+tables; the counts of those of lines that can match come back to the texts that have such lines, one row for each such
+text. A file whose best likeness
 reaches the threshold has that licence of its own. A file named like a licence file, or of which most words (by
 default four fifths) lie in matching lines, speaks for its directory and all below it; a file without a licence of its own
 takes that of the nearest such directory. Ancestors are enumerated once for each distinct directory, not for each
@@ -25,10 +25,8 @@ import functools
 import hashlib
 import math
 import re
-import zlib
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,8 +66,8 @@ TEMPLATES = {
 }
 LICENCE_FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying)([._-][^/]*)?$"
 WORD = re.compile(r"[a-z0-9]+")
-#: Places of the filter of words that are counted.
-SLOTS = 1 << 20
+#: Words of which a task holds the counts.
+TABLE_WORDS = 1 << 18
 
 
 def words_of(text: str) -> list[str]:
@@ -168,18 +166,26 @@ def units(text: str | None):
         yield [w for words in lines for w in words], None, None, WHOLE
 
 
-def frequencies(files: DataFrame, text_col: str, wanted) -> DataFrame:
-    """Over all files: in how many each word stands (word, n), of the words that wanted() leaves of a set; the number of
-    files as that of the empty word."""
+def frequencies(files: DataFrame, text_col: str, wanted: frozenset[str] | None = None) -> DataFrame:
+    """Over all files: in how many each word stands (word, n), of all words or those of a set; the number of files as that
+    of the empty word. A task counts all its files before it gives words, TABLE_WORDS at most at a time."""
     at = files.select(text_col)
 
+    def packet(seen: Counter):
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
     def run(batches):
+        seen: Counter = Counter()
         for b in batches:
-            seen: Counter = Counter()
             for text in b.column(0).to_pylist():
-                seen.update(set(words_of(text or "")))
-            left = list(wanted(seen.keys()))
-            yield pa.RecordBatch.from_arrays([pa.array([*left, ""], pa.string()), pa.array([*(seen[w] for w in left), b.num_rows], pa.int64())], ["word", "n"])
+                words = set(words_of(text or ""))
+                seen.update(words if wanted is None else wanted.intersection(words))
+                if len(seen) > TABLE_WORDS:
+                    yield packet(seen)
+                    seen.clear()
+            seen[""] += b.num_rows
+        if seen:
+            yield packet(seen)
 
     return at.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -223,16 +229,8 @@ def matched_by_all_words(files: DataFrame, text_col: str, keep: list[int], field
     rows = materialize(spark, files.mapInArrow(run, schema))
     pairs = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.explode(words).alias("word")).distinct()
     pairs = materialize(spark, pairs)
-    slots = np.zeros(SLOTS, np.bool_)
-    slots[[r.slot for r in pairs.select(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(SLOTS)).cast("int").alias("slot")).distinct().collect()]] = True  # at most SLOTS
-    bits = spark.sparkContext.broadcast(slots.tobytes())
-
-    def wanted(seen):
-        held = bits.value
-        return [w for w in seen if held[zlib.crc32(w.encode()) % SLOTS]]
-
     # Both sides of the join are tables, so that Spark can split a word that most of the texts have.
-    counts = materialize(spark, frequencies(files, text_col, wanted))
+    counts = materialize(spark, frequencies(files, text_col))
     given = materialize(spark, pairs.join(counts, "word").groupBy("k").agg(F.collect_list(F.struct("word", "n")).alias("o")))
     forget(spark, pairs, counts)
     far = rows.where(F.col(key).isNull()).select(*rows.columns[: len(keep)], *(F.lit(0.0 if f.dataType == T.DoubleType() else None).cast(f.dataType).alias(f.name) for f in fields))
@@ -251,7 +249,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     arrow_limits(spark)
     names = {x: fresh(files, x) for x in ("license", "score", "line", "share", "dir", "inherited", "inherited_from", "effective")}
     vocabulary = {w for texts in templates.values() for t in texts for w in words_of(t)}
-    df = {r.word: r.n for r in frequencies(files, text_col, vocabulary.intersection).collect()}  # a row for each word of the templates
+    df = {r.word: r.n for r in frequencies(files, text_col, frozenset(vocabulary)).collect()}  # a row for each word of the templates
     n = df.pop("", 0)
     at = files.columns.index(text_col)
     kinds = {"license": T.StringType(), "score": T.DoubleType(), "line": T.IntegerType(), "share": T.DoubleType()}

@@ -107,3 +107,31 @@ def test_repeated_rows(spark):
     rows = [(r.doc_id, r[c["effective"]]) for r in out.collect()]
     assert len(rows) == 25 and [e for d, e in rows if d == 1] == ["MIT", "MIT"] and [e for d, e in rows if d == 2] == ["MIT", "MIT"]
     assert [e for d, e in rows if d is None] == [None]
+
+
+def test_rows_of_counts_follow_tasks_not_batches(spark, monkeypatch):
+    """A task gives each of its words once, however many batches it reads; a small table gives its words in several turns."""
+    import pyarrow as pa
+
+    from factorloom.llm import licenses
+    from factorloom.llm.licenses import frequencies
+
+    texts = [f"alpha beta word{k % 7}" for k in range(5000)]
+    tasks = []
+
+    class Files:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            tasks.append(run)
+            return spark.createDataFrame([], schema)
+
+    frequencies(Files(), "text", frozenset(["alpha", "word0"]))
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 100])], ["text"]) for k in range(0, 5000, 100)]
+    assert sum(b.num_rows for b in tasks[0](iter(batches))) == 3
+    files = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.word: r.n for r in frequencies(files, "text").collect()}
+    assert got["alpha"] == got[""] == 5000 and got["word0"] == 715 and len(got) == 10
+    monkeypatch.setattr(licenses, "TABLE_WORDS", 4)
+    assert {r.word: r.n for r in frequencies(files, "text").collect()} == got
