@@ -103,3 +103,26 @@ def test_blocks_follow_cells(spark, monkeypatch):
     assert max(most) < 80
     assert got.history[-1]["MSE"] == pytest.approx(want.history[-1]["MSE"], rel=1e-9)
     assert np.allclose(np.array([r.vec for r in got.v.orderBy("idx").collect()]), want.v, rtol=1e-7)
+
+
+def test_kernels_are_made_in_trials(spark):
+    """The driver holds no kernel; likeness needs one matrix of rows by rows, not rows by rows by columns."""
+    import tracemalloc
+
+    from factorloom.operators.kernelized import FilledLikeness, KernelSetup, cross_validate, likeness
+    from factorloom.operators.models import Cells
+
+    x = np.random.default_rng(1).random((30, 8)) * 9
+    want = np.exp(-((x[:, None] - x[None]) ** 2).mean(2) / 50)
+    assert np.allclose(likeness(x, 50.0), want, rtol=1e-12)
+    tracemalloc.start()
+    likeness(np.tile(x, (20, 3)), 50.0)
+    assert tracemalloc.get_traced_memory()[1] < 3 * 600 * 600 * 8
+    tracemalloc.stop()
+    cells = Cells.dense(x, np.random.default_rng(2).random(x.shape) < 0.8)
+    filled = np.full(x.shape, cells.r.mean())
+    filled[cells.i, cells.j] = cells.r
+    given = cross_validate(spark, [likeness(filled, 50.0)], [likeness(filled.T, 50.0)], cells, KernelSetup(iterations=3), [1, 2], 2)
+    made = cross_validate(spark, FilledLikeness(False), FilledLikeness(True), cells, KernelSetup(iterations=3), [1, 2], 2)
+    for k, v in given[0].items():
+        assert made[0][k]["MSE"] == pytest.approx(v["MSE"], rel=1e-9)
