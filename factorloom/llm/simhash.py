@@ -6,6 +6,8 @@ within the threshold has its home among the anchors that the partner's own bits
 than the threshold of bits, so each fingerprint is replicated to exactly those anchors, and homes are compared
 with replicas anchor by anchor. No pair within the threshold can be missed.
 
+Fingerprints, links and components have no bound, so their joins are merged: none is sent to the driver to be broadcast.
+
 Cases: a null or empty text, or one without words, has fingerprint zero and is linked like any other. Very long texts are read whole. Equal
 fingerprints are collapsed before the search, so groups of copies cost one row. Repeated rows of one doc_id
 share a component; in filtering exactly one row of a component stays. Null ids are kept apart as null.
@@ -103,7 +105,7 @@ def linked(spark: SparkSession, prints: DataFrame, threshold: int = 2, code: lis
     homes = prints.select(home(F.col("fp"), code).alias("anchor"), F.col("fp").alias("a"))
     copies = prints.select(F.explode(reached(F.col("fp"), code, threshold)).alias("anchor"), F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
-    return homes.join(copies, "anchor").where((F.col("a") < F.col("b")) & near).select("a", "b")
+    return homes.join(copies.hint("merge"), "anchor").where((F.col("a") < F.col("b")) & near).select("a", "b")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, size: int = 3) -> DataFrame:
@@ -112,7 +114,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = materialize(spark, with_fingerprint(own, "fp", size=size).select("id", "fp"))
     component = _component_of(spark, rows, threshold)
-    return rows.join(component, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return rows.join(component.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def _component_of(spark: SparkSession, rows: DataFrame, threshold: int) -> DataFrame:
@@ -122,9 +124,9 @@ def _component_of(spark: SparkSession, rows: DataFrame, threshold: int) -> DataF
     prints = materialize(spark, rows.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components(spark, linked(spark, prints, threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
     roots = materialize(spark, roots)
-    least = prints.join(roots, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("first").alias("least"))
-    reach = roots.join(least, "root").select("node", "root", "least")
-    out = prints.join(reach, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("least", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    least = prints.join(roots.hint("merge"), F.col("fp") == F.col("node")).groupBy("root").agg(F.min("first").alias("least"))
+    reach = roots.join(least.hint("merge"), "root").select("node", "root", "least")
+    out = prints.join(reach.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("least", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     out = materialize(spark, out)
     forget(spark, prints, roots)
     return out
@@ -142,7 +144,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = materialize(spark, with_fingerprint(narrow, "fp", size=size).select("id", "fp"))
     named = _component_of(spark, rows, threshold)
-    kept = rows.join(named, "fp").where("id <=> component_id").groupBy("id", F.when(F.col("id").isNull(), F.col("root")).alias("root")).agg(F.count("*").alias("n"), F.min("fp").alias("fp"))
+    kept = rows.join(named.hint("merge"), "fp").where("id <=> component_id").groupBy("id", F.when(F.col("id").isNull(), F.col("root")).alias("root")).agg(F.count("*").alias("n"), F.min("fp").alias("fp"))
     kept = materialize(spark, kept)
     forget(spark, rows, named)
     # The ids that stay have no bound: they are merged with the documents, not broadcast, whatever their number.
@@ -156,6 +158,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         result = result.union(rest.groupBy(id_col).agg(first).select(f"{fp}.*"))
     if not kept.where("id is null").isEmpty():
         nameless = with_fingerprint(docs.where(F.col(id_col).isNull()), own, text_col, size)
-        nameless = nameless.join(kept.where("id is null").select(F.col("fp").alias(keep)), F.col(own) == F.col(keep), "left_semi")
+        nameless = nameless.join(kept.where("id is null").select(F.col("fp").alias(keep)).hint("merge"), F.col(own) == F.col(keep), "left_semi")
         result = result.union(nameless.groupBy(own).agg(first).select(f"{fp}.*"))
     return result

@@ -82,3 +82,20 @@ def test_filter_keeps_null_ids_of_different_components(spark):
     rows = [(None, "one text that stands alone here", "a"), (None, "quite another story with other words", "b"), (None, "quite another story with other words", "b"), (1, "the third of them all", "c"), (None, "the third of them all", "d")]
     df = spark.createDataFrame(rows, "doc_id long, text string, keep string")
     assert sorted(r.keep for r in drop_near_duplicates(df).collect()) == ["a", "b", "c"]
+
+
+def test_joins_of_fingerprints_are_not_broadcast(spark, monkeypatch):
+    """Whatever Spark takes their sizes for: the driver would gather them."""
+    from factorloom.llm import simhash
+
+    docs = spark.createDataFrame([(k, f"word{k % 40} and some more words of text {k % 40}") for k in range(200)], "doc_id long, text string")
+    plans, join = [], type(docs).join
+
+    def kept(self, other, *a, **k):
+        out = join(self, other, *a, **k)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(type(docs), "join", kept)
+    assert simhash.drop_near_duplicates(docs).count() == 40
+    assert plans and not [p for p in plans if "BroadcastHashJoin" in p]
