@@ -126,3 +126,30 @@ def test_kernels_are_made_in_trials(spark):
     made = cross_validate(spark, FilledLikeness(False), FilledLikeness(True), cells, KernelSetup(iterations=3), [1, 2], 2)
     for k, v in given[0].items():
         assert made[0][k]["MSE"] == pytest.approx(v["MSE"], rel=1e-9)
+
+
+def test_a_relation_is_dealt_by_its_rows(spark, monkeypatch):
+    """However few partitions a shuffle has otherwise, one reads no more of a larger table."""
+    from pyspark.sql import functions as F
+
+    from factorloom.operators import tables
+    from factorloom.plans import relations
+
+    most, write = [], tables.written
+
+    def kept(df, *a):
+        out = write(df, *a)
+        most.append(out.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 300, raising=False)
+    monkeypatch.setattr(relations, "written", kept)
+    monkeypatch.setattr(relations, "_WRITTEN", {})
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        cells = relations.observed(spark, SF)[0].count()
+    finally:
+        spark.conf.unset(coalesce)
+    assert most[0] < cells / 8  # 20 partitions; the session's 4 held a quarter each
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
