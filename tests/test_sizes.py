@@ -153,3 +153,26 @@ def test_a_relation_is_dealt_by_its_rows(spark, monkeypatch):
         spark.conf.unset(coalesce)
     assert most[0] < cells / 8  # 20 partitions; the session's 4 held a quarter each
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_trials_hold_little_of_a_cell(spark, monkeypatch):
+    """Numbers of cells and folds are sent as small as they are, few trials run at once on a large matrix, results are equal."""
+    from factorloom.operators import trials
+    from factorloom.operators.trials import Setup, greedy_search_cv
+    from factorloom.sources.synthetic import local_toy
+
+    toy, seen, run = local_toy(30, 8, 2, fraction=0.2, seed=4)[0], [], trials.run_trials
+
+    def kept(spark, shared, todo, work, at_a_time=None):
+        seen.append((sum(x.nbytes for x in (shared[1].i, shared[1].j, shared[2])), at_a_time))
+        return run(spark, shared, todo, work, at_a_time)
+
+    setup = Setup("vb", iterations=3, init="random", seed=1)
+    fold = trials.fold_numbers(toy, 2, 1)
+    trial = trials._trial(setup, 2, 2, 0, fold=0)
+    want = trials._fit_trial((setup, toy, fold), trial)
+    monkeypatch.setattr(trials, "run_trials", kept)
+    monkeypatch.setattr(trials, "TRIAL_BYTES", 110 * 2 * len(toy.r), raising=False)
+    assert trials.runner(spark, toy, fold)(setup, [trial])[0] == trial | want
+    assert greedy_search_cv(spark, toy, setup, [1, 2], [1, 2], 2).average["MSE"] > 0
+    assert all(size <= 4 * len(toy.r) and n == 2 for size, n in seen)
