@@ -105,6 +105,38 @@ def test_blocks_follow_cells(spark, monkeypatch):
     assert np.allclose(np.array([r.vec for r in got.v.orderBy("idx").collect()]), want.v, rtol=1e-7)
 
 
+@pytest.mark.parametrize("method, l", [("np", 2), ("icm", 2), ("gibbs", None), ("vb", 2)])
+def test_cells_of_a_column_lie_in_parts(spark, method, l, monkeypatch):
+    """A column of more cells than a task takes, beside a row that has most cells: the fit is the same."""
+    from factorloom.operators import blocked, kernels
+    from factorloom.operators.models import Cells, Factorizer, Priors
+
+    rng = np.random.default_rng(4)
+    seen = rng.random((60, 12)) < 0.15
+    seen[:, :2] = seen[7] = True
+    seen[np.arange(60), np.arange(60) % 12] = True
+    toy = Cells.dense(rng.random((60, 12)) + 0.1, seen)
+    obs = spark.createDataFrame([(int(i), int(j), float(r)) for i, j, r in zip(toy.i, toy.j, toy.r)], "i long, j long, r double")
+    settings = dict(k=2, l=l, priors=Priors(rows=1.0, columns=0.5, middle=2.0), init="ones" if method == "np" else "exp", seed=3, joint=True)
+    want = Factorizer(method, **settings).fit(*toy.sides(), 1)
+    monkeypatch.setattr(blocked, "BLOCK_CELLS", 30)
+    monkeypatch.setattr(kernels, "PART_CELLS", 7)
+    most, blocks = [], blocked.BlockedSide.__init__
+
+    def kept(self, *a):
+        blocks(self, *a)
+        most.append(max(len(r.vals) // 8 for r in self.table.collect()))
+
+    monkeypatch.setattr(blocked.BlockedSide, "__init__", kept)
+    got = blocked.BlockedFactorizer(method, **settings).fit_table(obs, 60, 12, 1)
+    assert max(most) <= 40  # 60 in the longest column
+    for a, b in zip(got.history, want.history, strict=True):
+        for m in ("MSE", "R^2", "i_div", "elbo"):
+            assert a[m] == pytest.approx(b[m], rel=1e-8)
+    assert np.allclose(np.array([r.vec for r in got.u.orderBy("idx").collect()]), want.u, rtol=1e-7)
+    assert np.allclose(np.array([r.vec for r in got.v.orderBy("idx").collect()]), want.v, rtol=1e-7)
+
+
 def test_kernels_are_made_in_trials(spark):
     """The driver holds no kernel; likeness needs one matrix of rows by rows, not rows by rows by columns."""
     import tracemalloc
