@@ -137,6 +137,34 @@ def test_cells_of_a_column_lie_in_parts(spark, method, l, monkeypatch):
     assert np.allclose(np.array([r.vec for r in got.v.orderBy("idx").collect()]), want.v, rtol=1e-7)
 
 
+@pytest.mark.parametrize("method, l", [("icm", None), ("np", 2)])
+def test_passes_hold_a_part_of_a_long_column(spark, method, l, monkeypatch):
+    """The cells and the other side's rows that Python holds at once are a part's, in every pass; the fit is the same."""
+    import pickle
+
+    from factorloom.operators import blocked
+    from factorloom.operators.models import Cells, Factorizer, Priors
+    from factorloom.operators.tables import deleted
+
+    most, half = [], blocked.BlockedSide.half
+
+    def kept(self, *given):
+        held = half(self, *given[:-1], lambda block, own, other: (None, (len(block.val), len(other))))
+        most.extend(max(pickle.loads(r.sums)) for r in held.collect())
+        deleted(held)
+        return half(self, *given)
+
+    monkeypatch.setattr(blocked, "BLOCK_CELLS", 40)
+    monkeypatch.setattr(blocked.BlockedSide, "half", kept)
+    settings = dict(k=2, l=l, priors=Priors(), init="ones" if method == "np" else "exp", seed=3, joint=True)
+    toy = Cells.dense(np.random.default_rng(4).random((240, 3)) + 0.1, np.ones((240, 3), bool))
+    obs = spark.createDataFrame([(int(i), int(j), float(r)) for i, j, r in zip(toy.i, toy.j, toy.r)], "i long, j long, r double")
+    want = Factorizer(method, **settings).fit(*toy.sides(), 1)
+    got = blocked.BlockedFactorizer(method, **settings).fit_table(obs, 240, 3, 1)
+    assert max(most) <= 40  # 240 in a column
+    assert got.history[-1]["MSE"] == pytest.approx(want.history[-1]["MSE"], rel=1e-8)
+
+
 def test_kernels_are_made_in_trials(spark):
     """The driver holds no kernel; likeness needs one matrix of rows by rows, not rows by rows by columns."""
     import tracemalloc
